@@ -36,7 +36,7 @@ def words(text: Column) -> Column:
 def _seeds(rows: DataFrame) -> DataFrame:
     """rows(words, ...) with pos and seed for each mask at each position."""
     last = F.size("words") - SPAN
-    placed = rows.filter(last >= 0).withColumn("pos", F.explode(F.sequence(F.lit(0), last)))
+    placed = rows.withColumn("pos", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))))
     seeds = [
         F.xxhash64(F.lit(m), *[F.col("words")[F.col("pos") + i] for i, one in enumerate(mask) if one == "1"])
         for m, mask in enumerate(MASKS)
@@ -44,19 +44,23 @@ def _seeds(rows: DataFrame) -> DataFrame:
     return placed.withColumn("seed", F.explode(F.array(*seeds)))
 
 
-def _agreement(item: str, text: str, at: str, share: float) -> tuple[Column, Column]:
-    """Words that agree at this offset, and whether a window of the item agrees enough. at: the item's word 0 in the text."""
+def _agreement(item: str, text: str, at: str) -> Column:
+    """1 or 0 for each word of the item: the text's word beside it is the same. at: the item's word 0 in the text."""
     first = F.greatest(F.lit(0), F.col(at))
     skipped = first - F.col(at)
     beside = F.concat(F.array_repeat(F.lit(""), skipped), F.slice(F.col(text), first + 1, F.greatest(F.size(item) - skipped, F.lit(0))))
-    same = F.zip_with(F.col(item), beside, lambda a, b: F.when(a == b, 1).otherwise(0))
-    width = F.least(F.size(item), F.lit(WINDOW))
-    total = F.aggregate(same, F.lit(0), lambda x, y: x + y)
-    windows = F.transform(
-        F.sequence(F.lit(1), F.size(item) - width + 1),
-        lambda s: F.aggregate(F.slice(same, s, width), F.lit(0), lambda x, y: x + y),
-    )
-    return total, F.array_max(windows) >= F.ceil(width * share)
+    return F.zip_with(F.col(item), beside, lambda a, b: F.when(a == b, 1).otherwise(0))
+
+
+def _sum(flags: Column) -> Column:
+    return F.aggregate(flags, F.lit(0), lambda x, y: x + y)
+
+
+def _enough(flags: str, share: float) -> Column:
+    """Whether a window of the item agrees enough."""
+    width = F.least(F.size(flags), F.lit(WINDOW))
+    windows = F.transform(F.sequence(F.lit(1), F.size(flags) - width + 1), lambda s: _sum(F.slice(F.col(flags), s, width)))
+    return F.array_max(windows) >= F.ceil(width * share)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
@@ -67,10 +71,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> Dat
     table = F.broadcast(seeds) if small_enough(seeds, BROADCAST_ROWS) else seeds
     tokens = docs.select("doc_id", words(F.col("text")).alias("words"))
     hits = _seeds(tokens).join(table, "seed").select("doc_id", "item_id", "item", "words", (F.col("pos") - F.col("item_pos")).alias("at"))
-    total, enough = _agreement("item", "words", "at", share)
-    found = hits.select("doc_id", "item_id", F.size("item").alias("n_words"), total.alias("n_same"), enough.alias("enough"), F.greatest(F.col("at"), F.lit(0)).alias("first_word"))
+    # the same offset has a hit for many positions: its words are compared once they have met
+    beside = hits.select("doc_id", "item_id", "at", _agreement("item", "words", "at").alias("same"))
+    offsets = beside.groupBy("doc_id", "item_id", "at").agg(F.first("same").alias("same"))
+    found = offsets.filter(_enough("same", share)).select(
+        "doc_id", "item_id", F.size("same").alias("n_words"), _sum(F.col("same")).alias("n_same"), F.greatest(F.col("at"), F.lit(0)).alias("first_word")
+    )
     best = F.max(F.struct(F.col("n_same"), (-F.col("first_word")).alias("back")))
-    grouped = found.filter("enough").groupBy("doc_id", "item_id").agg(F.first("n_words").alias("n_words"), best.alias("best"))
+    grouped = found.groupBy("doc_id", "item_id").agg(F.first("n_words").alias("n_words"), best.alias("best"))
     return grouped.select(
         "doc_id", "item_id", F.col("n_words").cast("long"), F.col("best.n_same").cast("long").alias("n_same"), (-F.col("best.back")).cast("long").alias("first_word")
     )
