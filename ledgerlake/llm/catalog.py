@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import decontaminate, licenses, line_dedup, simhash, token_files, warc
+from ledgerlake.llm import decontaminate, licenses, line_dedup, media, packing, quality, secrets, simhash, token_files, warc
 
-_MODULES = (token_files, warc, simhash, licenses, line_dedup, decontaminate)
+_MODULES = (token_files, secrets, quality, warc, packing, media, simhash, licenses, line_dedup, decontaminate)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
