@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from ledgerlake.plans import (  # noqa: F401  importing registers
+    blocks,
+    conditions,
+    functions,
+    joins,
+    ledger,
+    lines,
+    mining,
+    rollups,
+    sources,
+    streams,
+    windows,
+)
+from ledgerlake.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-from ledgerlake.session import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-__all__ = ["ORACLES", "QUERIES", "table"]
+__all__ = ["ORACLES", "QUERIES"]
