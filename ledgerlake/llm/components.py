@@ -24,7 +24,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges(u, v), u <> v; root is the least node reachable.
+    """(node, root) for every node of edges(u, v), u <> v, but the roots; root is the least node reachable.
 
     Each round is written to the shared folder, so lineage stays short and a lost executor costs one
     round at most. Rounds grow with the logarithm of the longest path.

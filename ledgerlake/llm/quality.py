@@ -1,10 +1,10 @@
 """Operator 3: quality classification by co-training of a text view and a page-metadata view.
 
-The text view sees hashed words of the whole text; the metadata view sees language, source, length, line and word
-statistics and the shares of some symbols. Each view has a logistic regression. They are fitted on labelled documents, then
+The text view sees which usual words the whole text has; the metadata view sees language, source, length, line, word and
+repetition statistics and the shares of some symbols. Each view has a logistic regression. They are fitted on labelled documents, then
 for ROUNDS rounds each view labels the documents of an unlabelled pool of which it is confident, and the other view is
-fitted anew with them. A part of the labelled documents is held out from all of that; on it a last regression
-on both views' scores gives calibrated probabilities, and with them every document is scored.
+fitted anew with them. A part of the labelled documents is held out from all of that; on it each view is calibrated. The
+calibrated odds of both views, multiplied, score every document.
 
 A document is acceptable when its label says quality 1 and toxic 0, so toxic documents are rejected like poor ones. One is
 rejected when its calibrated probability is below KEEP.
@@ -19,24 +19,31 @@ is there to fit on, every document has score 1 and is kept. Extra columns are no
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import FeatureHasher, HashingTF, Normalizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, FeatureHasher, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import documents, written
 
-MAX_LABELLED = 6_000
-MAX_POOL = 6_000
+MAX_LABELLED = 20_000
+MAX_POOL = 10_000
 ROUNDS = 2
 CONFIDENT = 0.97
-KEEP = 0.5
-TEXT_DIMENSIONS = 1 << 15
+KEEP = 0.35
+VOCABULARY = 20_000
+#: A word counts if it stands in more than this share of the documents of the fit.
+WORD_SHARE = 1 / 400
 CATEGORY_DIMENSIONS = 64
-ITERATIONS = 25
+ITERATIONS = 40
+#: L1 weight: few words decide, the rest count nothing.
+PENALTY = 5e-3
 _SYMBOLS = "!?#*$%&|@=<>{}"
-_PARTS = 1 << 20
+VIEWS = {"text_view": "text_score", "meta_view": "meta_score"}
+_PARTS = 1 << 40
 
 
 def _share(symbol: str) -> Column:
@@ -44,7 +51,7 @@ def _share(symbol: str) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, lang, source, ...) with text_view and meta_view vectors, their inputs dropped."""
+    """docs(doc_id, text, lang, source, ...) with words and the meta_view vector, their inputs dropped."""
     base = docs.withColumns({c: F.coalesce(c, F.lit("")) for c in ("text", "lang", "source")})
     chars, lines = F.char_length("text"), F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     blanks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit(" "), F.lit("")))
@@ -52,12 +59,17 @@ def features(docs: DataFrame) -> DataFrame:
         "m_chars": F.log1p(chars), "m_lines": F.log1p(lines), "m_line": F.log1p(chars / (lines + 1)), "m_word": chars / (blanks + lines + 1),
         "m_bytes": F.octet_length("text") / (chars + 1),
     } | {f"m_{i}": _share(s) * 10 for i, s in enumerate(_SYMBOLS)}
-    wide = base.withColumns(numbers).withColumn("words", F.split("text", "\\s+"))
-    wide = HashingTF(inputCol="words", outputCol="tf", numFeatures=TEXT_DIMENSIONS, binary=True).transform(wide)
-    wide = Normalizer(inputCol="tf", outputCol="text_view").transform(wide)
+    # letters only: case, digits and symbols are the other view's
+    wide = base.withColumns(numbers).withColumn("words", F.array_remove(F.split(F.lower("text"), r"[^\p{L}]+"), ""))
+    n, next_ = F.size("words"), F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1)))
+    repeated = F.size(F.filter(F.zip_with("words", next_, lambda a, b: a == b), lambda same: same))
+    counts = {"m_words": F.log1p(n), "m_distinct": F.log1p(F.size(F.array_distinct("words"))), "m_repeated": repeated / (n + 1)}
+    wide = wide.withColumns(counts)
+    numbers |= counts
     wide = FeatureHasher(inputCols=["lang", "source"], outputCol="categories", numFeatures=CATEGORY_DIMENSIONS).transform(wide)
     wide = VectorAssembler(inputCols=[*numbers, "categories"], outputCol="meta_view").transform(wide)
-    return wide.drop("text", "lang", "source", "words", "tf", "categories", *numbers)
+    # a word that every document has: no vocabulary is empty
+    return wide.withColumn("words", F.array_append("words", F.lit("*"))).drop("text", "lang", "source", "categories", *numbers)
 
 
 def _sampled(ids: DataFrame, rows: int, seed: str) -> DataFrame:
@@ -69,7 +81,7 @@ def _sampled(ids: DataFrame, rows: int, seed: str) -> DataFrame:
 
 
 def fit_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(label, held, text_view, meta_view): the bounded labelled and unlabelled rows; label is null in the pool."""
+    """(label, held, words, meta_view): the bounded labelled and unlabelled rows; label is null in the pool."""
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min(good.cast("double")).alias("label"))
     chosen = written(_sampled(known, MAX_LABELLED, "labelled"), "fit-labels")
@@ -80,11 +92,11 @@ def fit_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # both sides are bounded by the two parameters above
     picked = narrow.join(F.broadcast(chosen.unionByName(pool)), "doc_id").dropDuplicates(["doc_id"])
     held = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(10)) < 3
-    return written(features(picked).select("label", (held & F.col("label").isNotNull()).alias("held"), "text_view", "meta_view"), "fit-features")
+    return written(features(picked).select("label", (held & F.col("label").isNotNull()).alias("held"), "words", "meta_view"), "fit-features")
 
 
 def _logistic(view: str) -> LogisticRegression:
-    return LogisticRegression(featuresCol=view, labelCol="label", maxIter=ITERATIONS, regParam=1e-4, rawPredictionCol="raw", probabilityCol="probability", predictionCol="prediction")
+    return LogisticRegression(featuresCol=view, labelCol="label", maxIter=ITERATIONS, regParam=PENALTY, elasticNetParam=1.0, rawPredictionCol="raw", probabilityCol="probability", predictionCol="prediction")
 
 
 def _score(model, rows: DataFrame, name: str) -> DataFrame:
@@ -93,27 +105,42 @@ def _score(model, rows: DataFrame, name: str) -> DataFrame:
 
 
 class CoTrained:
-    """Both views' models and the regression that combines them; None where nothing could be fitted."""
+    """Both views' models with their calibrations (slope, offset) and the prior odds; empty where nothing could be fitted."""
 
-    def __init__(self, text, meta, combined):
-        self.text, self.meta, self.combined = text, meta, combined
+    def __init__(self, vocabulary=None, models=None, calibrations=None, prior=1.0):
+        self.vocabulary, self.models, self.calibrations, self.prior = vocabulary, models, calibrations, prior
 
     def score(self, docs: DataFrame) -> DataFrame:
         """docs(doc_id, text, lang, source, ...) with text_score, meta_score (log-odds) and score (probability)."""
         rows = features(docs)
-        if self.text is None:
-            return rows.drop("text_view", "meta_view").withColumns({"text_score": F.lit(0.0), "meta_score": F.lit(0.0), "score": F.lit(1.0)})
-        scored = _score(self.meta, _score(self.text, rows, "text_score"), "meta_score").drop("text_view", "meta_view")
-        a, b = (float(x) for x in self.combined.coefficients)
-        odds = F.col("text_score") * a + F.col("meta_score") * b + float(self.combined.intercept)
+        if self.models is None:
+            return rows.drop("words", "meta_view").withColumns({"text_score": F.lit(0.0), "meta_score": F.lit(0.0), "score": F.lit(1.0)})
+        scored = self.vocabulary.transform(rows).drop("words")
+        odds = F.lit(-math.log(self.prior))
+        for view, name in VIEWS.items():
+            slope, offset = self.calibrations[view]
+            scored = _score(self.models[view], scored, name).drop(view).withColumn(name, F.col(name) * slope + offset)
+            odds = odds + F.col(name)
+        # views that are independent given the class: their calibrated odds multiply, the prior counts once
         return scored.withColumn("score", 1 / (1 + F.exp(-odds)))
 
 
+def _calibrated(model, held: DataFrame) -> tuple[float, float]:
+    """Slope and offset that turn a view's log-odds into calibrated ones, from documents it was not fitted on."""
+    rows = VectorAssembler(inputCols=["odds"], outputCol="scores").transform(_score(model, held, "odds"))
+    fitted = LogisticRegression(featuresCol="scores", labelCol="label", maxIter=ITERATIONS, regParam=1e-3).fit(rows)
+    return max(0.0, float(fitted.coefficients[0])), float(fitted.intercept)
+
+
 def co_train(table: DataFrame) -> CoTrained:
     """Fits both views in rounds on fit_table()'s rows."""
     train = table.filter("label IS NOT NULL AND NOT held")
     if train.select("label").distinct().count() < 2:
-        return CoTrained(None, None, None)
+        return CoTrained()
+    least = max(2, int(table.count() * WORD_SHARE))
+    vocabulary = CountVectorizer(inputCol="words", outputCol="text_view", vocabSize=VOCABULARY, minDF=least, binary=True).fit(table)
+    table = written(vocabulary.transform(table).drop("words"), "fit-views")
+    train = table.filter("label IS NOT NULL AND NOT held")
     pool = table.filter("label IS NULL").drop("label")
     views = {"text_view": train, "meta_view": train}
     models = {}
@@ -128,10 +155,8 @@ def co_train(table: DataFrame) -> CoTrained:
     held = table.filter("held")
     if held.select("label").distinct().count() < 2:
         held = train
-    both = _score(models["meta_view"], _score(models["text_view"], held, "text_score"), "meta_score")
-    both = VectorAssembler(inputCols=["text_score", "meta_score"], outputCol="scores").transform(both)
-    combined = LogisticRegression(featuresCol="scores", labelCol="label", maxIter=ITERATIONS, regParam=1e-3).fit(both)
-    return CoTrained(models["text_view"], models["meta_view"], combined)
+    share = held.agg(F.avg("label")).first()[0]
+    return CoTrained(vocabulary, models, {view: _calibrated(model, held) for view, model in models.items()}, share / (1 - share))
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

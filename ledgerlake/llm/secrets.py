@@ -33,7 +33,7 @@ DEPTH = 6
 NEIGHBOUR_DIMENSIONS = 32
 #: Times that a word must stand in the corpus to count for coverage.
 MIN_WORD_COUNT = 5
-_PARTS = 1 << 20
+_PARTS = 1 << 40
 _EDGES = "\"'`!#$%&*,;:()[]{}<>.?|"
 _VALUE = r"^[A-Za-z0-9+/_=.@~-]+$"
 _NAMES = r"(?i)(token|secret|passw|api.?key|access.?key|private.?key|credential|auth)"

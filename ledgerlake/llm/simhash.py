@@ -124,11 +124,11 @@ def near_dedup(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFram
     Rows with a null doc_id cannot be named, so they all stay.
     """
     found = classes(docs, shingle, distance)
-    keep = found.filter((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select("doc_id").distinct()
-    columns = [F.col(c) for c in docs.columns]
-    stays = docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
+    keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     first = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*columns))
-    return stays.withColumn("__row", F.row_number().over(first)).filter("__row = 1 OR doc_id IS NULL").drop("__row")
+    stays = docs.join(keep, "doc_id", "left_semi").select(*columns, F.row_number().over(first).alias("__row"))
+    return stays.filter("__row = 1").select(*columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,12 +87,12 @@ class _WarcWriter(DataSourceArrowWriter):
 
     def records(self, row: dict) -> Iterator[bytes]:
         key = "" if row["id"] is None else str(row["id"])
-        own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, key)}>" if key else f"<urn:uuid:{uuid.uuid4()}>"
+        own = f"<urn:uuid:{uuid.uuid4()}>"  # rows may repeat an id, records may not; a task's attempt that is not committed is not read
         fields = {"WARC-Record-ID": own, "WARC-Date": _DATE, "WARC-Target-URI": (row["url"] or "about:blank").replace("\r", "%0D").replace("\n", "%0A"), "WARC-Payload-Digest": f"sha1:{row['digest']}", "Content-Type": "application/http;msgtype=response", "X-Archive-Key": key or None}
         payload = row["payload"] or b""
         if row["refers_to"] is not None:
             head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % row["n_bytes"]
-            yield record({"WARC-Type": "revisit"} | fields | {"WARC-Profile": _PROFILE, "WARC-Refers-To": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, str(row['refers_to']))}>", "X-Archive-Refers-To-Key": row["refers_to"]}, head)
+            yield record({"WARC-Type": "revisit"} | fields | {"WARC-Profile": _PROFILE, "X-Archive-Refers-To-Key": row["refers_to"]}, head)
             return
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
         if len(block) <= self.segment:
@@ -104,8 +104,7 @@ class _WarcWriter(DataSourceArrowWriter):
             if n == 1:
                 yield record({"WARC-Type": "response"} | fields | numbered, part)
             else:
-                part_id = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{own}#{n}')}>"
-                yield record({"WARC-Type": "continuation", "WARC-Record-ID": part_id, "WARC-Date": _DATE, "WARC-Segment-Origin-ID": own} | numbered, part)
+                yield record({"WARC-Type": "continuation", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": _DATE, "WARC-Segment-Origin-ID": own} | numbered, part)
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         entries, out, size, name = [], None, 0, ""
