@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Where str.splitlines would break a line.
-BREAKS = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85  ]"
+BREAKS = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 
 
 def explode_lines(files: DataFrame, text: str, *keys: str) -> DataFrame:

@@ -150,10 +150,10 @@ def learned_mapping_match(spark: SparkSession, sf: str) -> DataFrame:
     return own.union(anyone).groupBy("o_orderkey").agg(F.min_by("mapping", "updated").alias("mapping"))
 
 
-@query("""WITH m AS (SELECT DISTINCT s_suppkey AS device, s_nationkey * 8 + s_suppkey % 8 AS network FROM supplier)
+@query("""WITH m AS (SELECT DISTINCT s_suppkey AS device, s_nationkey * 2 + s_suppkey % 2 AS network FROM supplier)
 SELECT a.device AS a, b.device AS b, min(a.network) AS network FROM m a JOIN m b ON a.network = b.network AND a.device < b.device GROUP BY 1, 2""")
 def subnet_adjacency(spark: SparkSession, sf: str) -> DataFrame:
-    member = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("device"), (F.col("s_nationkey") * 8 + F.col("s_suppkey") % 8).alias("network")).distinct()
+    member = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("device"), (F.col("s_nationkey") * 2 + F.col("s_suppkey") % 2).alias("network")).distinct()
     left, right = member.withColumnRenamed("device", "a"), member.withColumnRenamed("device", "b")
     return left.join(right, "network").filter("a < b").groupBy("a", "b").agg(F.min("network").alias("network"))
 

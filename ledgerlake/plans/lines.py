@@ -13,7 +13,7 @@ from ledgerlake.plans.facts import lines as order_lines
 from ledgerlake.registry import query
 from ledgerlake.session import table
 
-PATTERNS = [("number_first", r"[0-9]"), ("license", r".*License"), ("upper", r"[A-Z]{2,}\b"), ("article", r"(The|Le|La|Der|Die|El)\b"), ("short", r".{1,20}$")]
+PATTERNS = [("number_first", r"[0-9]"), ("license", r".*License"), ("upper", r"[A-Z]{2,}[ !.,]"), ("article", r"(The|Le|La|Der|Die|El)[ .,]"), ("short", r".{1,20}$")]
 
 _LINES = """
 parts AS (SELECT doc_id, lang, source, string_split(text, chr(10)) AS p FROM documents),
@@ -185,10 +185,13 @@ def template_id(spark: SparkSession, sf: str) -> DataFrame:
     return templates(spark, sf).select("template").distinct().select("template", ln.template_id(F.col("template")).alias("template_id"), operands.alias("operands"))
 
 
-@query(f"WITH {_LINES} SELECT count(*) AS n_lines, 0::BIGINT AS misses FROM lines WHERE trim(regexp_replace(raw, '[ \\t\\r\\n\\x0b\\x0c]+', ' ', 'g')) <> ''")
+_ESCAPED = r"regexp_replace(template, '([\\.\[\](){}^$|?+*])', '\\\1', 'g')"
+
+
+@query(TEMPLATES + f" SELECT DISTINCT sha256(template) AS template_sha256, sha256('^' || replace(replace({_ESCAPED}, '<\\*>', '(.+)'), ' ', '\\s+') || '$') AS pattern_sha256 FROM tpl")
 def template_to_regex(spark: SparkSession, sf: str) -> DataFrame:
-    rows = templates(spark, sf).withColumn("line", F.trim(F.regexp_replace("raw", r"[ \t\r\n\x0b\x0c]+", " "))).filter("line <> ''")
-    return rows.agg(F.count("*").alias("n_lines"), F.count_if(~F.expr("line rlike pattern")).alias("misses")) if "pattern" in rows.columns else rows.withColumn("pattern", ln.template_regex(F.col("template"))).agg(F.count("*").alias("n_lines"), F.count_if(~F.expr("line rlike pattern")).alias("misses"))
+    distinct = templates(spark, sf).select("template").distinct()
+    return distinct.select(F.sha2("template", 256).alias("template_sha256"), F.sha2(ln.template_regex(F.col("template")), 256).alias("pattern_sha256"))
 
 
 @query(TEMPLATES + " SELECT doc_id, template, count(*) AS size, min(line_no) AS first_line FROM tpl GROUP BY 1, 2")
@@ -204,7 +207,7 @@ def training_queue(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(TEMPLATES + ", s AS (SELECT template, doc_id, line_no, raw, row_number() OVER (PARTITION BY template ORDER BY doc_id, line_no) AS r FROM tpl) SELECT template, array_to_string(list(raw ORDER BY r), chr(10)) AS samples FROM s WHERE r <= 5 GROUP BY 1")
 def cluster_samples(spark: SparkSession, sf: str) -> DataFrame:
-    # the five least (document, line) of a template, kept as the rows are read: no group is sorted whole
+    # the filter on row_number lets Spark keep five rows of a template in each task before the shuffle
     five = templates(spark, sf).withColumn("r", F.row_number().over(Window.partitionBy("template").orderBy("doc_id", "line_no"))).filter("r <= 5")
     listed = five.groupBy("template").agg(F.array_sort(F.collect_list(F.struct("r", "raw"))).alias("s"))
     return listed.select("template", F.array_join(F.transform("s", lambda x: x["raw"]), "\n").alias("samples"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,8 +40,6 @@ def config_files_source(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, length(text) AS chars, sha256(text) AS text_sha256 FROM documents WHERE nfc_normalize(text) = text AND NOT regexp_matches(text, '[ªº²³¹¼½¾ﬀ-ﬆ]')")
 def decode_normalise(spark: SparkSession, sf: str) -> DataFrame:
-    import pandas as pd
-
     @F.pandas_udf("string")
     def slow(values: pd.Series) -> pd.Series:
         import unicodedata

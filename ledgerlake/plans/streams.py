@@ -14,7 +14,7 @@ FILES = 4
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
 
 
 @query("SELECT event_id, event_type, CASE WHEN value < 0 THEN 'error' ELSE 'ok' END AS state FROM events")
