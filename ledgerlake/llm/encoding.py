@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import os
 import unicodedata
-
-import numpy as np
+from array import array
 
 #: Pieces that a worker keeps; beyond it the table starts anew, which costs time and changes nothing.
-TABLE_ROWS = 400_000
+TABLE_ROWS = 600_000
+_STOPS = ".,;:!?*$#&%"
 
 _BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -48,14 +48,20 @@ class Encoder:
         #: Lower-casing vocabularies drop white space; the others keep it in their pieces.
         self.folds = spec.get("normalizer") is not None
         self.pieces = regex.compile(_WORD_PATTERN if self.folds else _BYTE_PATTERN).findall
+        self.lead = "" if self.folds else " "
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         found = self.known.get(piece)
         if found is None:
-            shown = "".join(_ALPHABET[b] for b in piece.encode())
-            found = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            if piece.isascii() and piece.isalnum():
+                shown = piece
+            elif piece[0] == " " and piece.isascii() and piece[1:].isalnum():
+                shown = _ALPHABET[32] + piece[1:]
+            else:
+                shown = "".join([_ALPHABET[b] for b in piece.encode()])
+            found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
             if len(self.known) >= TABLE_ROWS:
                 self.known.clear()
             self.known[piece] = found
@@ -66,13 +72,30 @@ class Encoder:
         if text.isascii():
             return text.lower()
         text = unicodedata.normalize("NFC", text)
-        return "".join(c.lower() for c in text)
+        return "".join([c.lower() for c in text]) if "Σ" in text else text.lower()  # only a sigma's lower case depends on what follows
 
     def _run(self, text: str) -> bytes:
         if self.folds:
             text = self._fold(text)
         return b"".join(map(self._piece, self.pieces(text)))
 
+    def _part(self, part: str, lead: str) -> bytes:
+        """The ids of what stands between two spaces, with the space before it where that is kept.
+
+        A word with plain punctuation behind it, and such words around one line break, need no pattern.
+        """
+        core = part.rstrip(_STOPS)
+        stops = part[len(core) :]
+        if core.isalpha():
+            if self.folds and not (core := self._fold(core)).isalpha():
+                return self._run(part)  # a letter whose lower case has a mark of its own
+            word = self._piece(lead + core)
+            return word + self._piece(stops) if stops else word
+        a, found, b = part.partition("\n")
+        if found and a and b and not a[-1].isspace() and not b[0].isspace():
+            return self._part(a, lead) + (b"" if self.folds else self._piece("\n")) + self._part(b, "")
+        return self._run(lead + part)
+
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -81,7 +104,7 @@ class Encoder:
         if not self.folds:
             if "" in parts or any(p[0].isspace() or p[-1].isspace() for p in parts):
                 return self._run(text)  # white space beside a space changes where pieces begin
-            first, parts = self._run(parts[0]), parts[1:]
+            first, parts = self._part(parts[0], ""), parts[1:]
         try:
             body = b"".join([known[p] for p in parts])
         except KeyError:
@@ -89,7 +112,7 @@ class Encoder:
                 known.clear()
             for p in parts:
                 if p not in known:
-                    known[p] = self._run(p if self.folds else " " + p)
+                    known[p] = self._part(p, self.lead)
             body = b"".join([known[p] for p in parts])
         return body if self.folds else first + body
 
