@@ -41,6 +41,8 @@ CATEGORY_DIMENSIONS = 64
 ITERATIONS = 40
 #: L1 weight: few words decide, the rest count nothing.
 PENALTY = 5e-3
+#: Tasks of each step of a fit; the fit's rows are bounded, so more would only wait for one another.
+FIT_TASKS = 6
 _SYMBOLS = "!?#*$%&|@=<>{}"
 VIEWS = {"text_view": "text_score", "meta_view": "meta_score"}
 _PARTS = 1 << 40
@@ -139,7 +141,7 @@ def co_train(table: DataFrame) -> CoTrained:
         return CoTrained()
     least = max(2, int(table.count() * WORD_SHARE))
     vocabulary = CountVectorizer(inputCol="words", outputCol="text_view", vocabSize=VOCABULARY, minDF=least, binary=True).fit(table)
-    table = written(vocabulary.transform(table).drop("words"), "fit-views")
+    table = written(vocabulary.transform(table).drop("words"), "fit-views").coalesce(FIT_TASKS)
     train = table.filter("label IS NOT NULL AND NOT held")
     pool = table.filter("label IS NULL").drop("label")
     views = {"text_view": train, "meta_view": train}
