@@ -1,13 +1,14 @@
 """Operator 2: secret scans, false positives removed by a random forest.
 
-Candidates are the words of a text that, without quotes and punctuation around them, are MIN_CHARS or more characters of
-the alphabets in which keys and tokens are written. The forest sees a candidate's length and classes of characters, the number of
+Candidates are the pieces of a text's words, cut at quotes, colons, equals signs, brackets and all other signs outside the
+alphabets in which keys and tokens are written, of LONG_CHARS or more characters, or of MIN_CHARS or more if they hold a digit or an
+inner capital or stand by a name. The piece before a cut, such as a name in token=value, is a neighbour of the next. The forest sees a candidate's length and classes of characters, the number of
 changes between letters, digits and others, how usual its character transitions are, how far the corpus's own words
 cover it, its path (source and language) and the words next to it. Transitions and coverage are counted over the
 words of all documents. It is fitted on labelled findings, at most about MAX_FINDINGS of them chosen by a hash, and
 judges every candidate.
 
-Labelled findings are (doc_id, word, label). The registered query takes them from the documents by rules that are
+Labelled findings are (doc_id, word, part, label). The registered query takes them from the documents by rules that are
 sure: long hexadecimal or mixed values beside a name such as token or secret are findings; addresses, plain words,
 plain numbers and network addresses are false positives. All else is left for the forest.
 
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import documents, written
 
-MIN_CHARS = 16
+MIN_CHARS = 8
+#: From here on any value is a candidate; shorter ones hold a digit or an inner capital, or stand by a name.
+LONG_CHARS = 16
 MAX_FINDINGS = 10_000
 TREES = 20
 DEPTH = 6
@@ -36,6 +39,9 @@ MIN_WORD_COUNT = 5
 _PARTS = 1 << 40
 _EDGES = "\"'`!#$%&*,;:()[]{}<>.?|"
 _VALUE = r"^[A-Za-z0-9+/_=.@~-]+$"
+#: A run of a value's signs with the quotes and the sign of a name that follow it.
+_PIECE = r"[A-Za-z0-9+/_.@~-]+[\"'`]*[:=]*"
+_IN_ADDRESS = r"(://[^\s/@:\"']*):([^\s/@\"']+)@"
 _NAMES = r"(?i)(token|secret|passw|api.?key|access.?key|private.?key|credential|auth)"
 
 
@@ -49,15 +55,26 @@ def _classes(value: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, lang, word, value, before2, before1, after1); word counts a text's words from 0."""
-    placed = words(docs).select("doc_id", "source", "lang", "words", F.posexplode("words").alias("word", "raw"))
-    long_enough = placed.filter(F.octet_length("raw") >= MIN_CHARS)
-    near = lambda i: F.lower(F.coalesce(F.get("words", F.col("word") + i), F.lit("")))
-    named = long_enough.select(
+    """(doc_id, source, lang, word, part, value, before2, before1, after1); word counts a text's words from 0, part a word's pieces."""
+    placed = words(docs).select("doc_id", "source", "lang", "words", F.posexplode("words").alias("word", "raw")).filter(F.octet_length("raw") >= MIN_CHARS)
+    near = lambda i: F.coalesce(F.get("words", F.col("word") + i), F.lit(""))
+    # the place of a password in an address is as good as a name
+    plain = F.when(F.contains("raw", F.lit("://")), F.regexp_replace("raw", _IN_ADDRESS, "$1 password=$2 ")).otherwise(F.col("raw"))
+    pieces = F.regexp_extract_all(plain, F.lit(_PIECE), 0)
+    around = placed.select(
         "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), "word",
-        F.btrim("raw", F.lit(_EDGES)).alias("value"), near(-2).alias("before2"), near(-1).alias("before1"), near(1).alias("after1"),
+        near(-2).alias("b2"), near(-1).alias("b1"), near(1).alias("a1"), pieces.alias("pieces"),
     )
-    return named.filter((F.octet_length("value") >= MIN_CHARS) & F.col("value").rlike(_VALUE))
+    each = around.select("*", F.posexplode("pieces").alias("part", "piece")).filter(F.octet_length("piece") >= MIN_CHARS)
+    row = F.concat(F.array("b2", "b1"), F.col("pieces"), F.array("a1"))
+    at = lambda i: F.lower(F.get(row, F.col("part") + 2 + i))
+    named = each.select(
+        "doc_id", "source", "lang", "word", "part", F.btrim("piece", F.lit(_EDGES)).alias("value"),
+        at(-2).alias("before2"), at(-1).alias("before1"), at(1).alias("after1"),
+    )
+    size = F.octet_length("value")
+    odd = F.col("value").rlike("[0-9]|[a-z][A-Z]") | F.col("before1").rlike(_NAMES) | F.col("before2").rlike(_NAMES)
+    return named.filter((size >= MIN_CHARS) & ((size >= LONG_CHARS) | odd) & F.col("value").rlike(_VALUE))
 
 
 def corpus_grams(docs: DataFrame) -> DataFrame:
@@ -94,12 +111,12 @@ def with_features(found: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def rule_labels(features: DataFrame) -> DataFrame:
-    """Labelled findings by rules that are sure: (doc_id, word, label)."""
+    """Labelled findings by rules that are sure: (doc_id, word, part, label)."""
     value = F.col("value")
     secret = (F.col("f_name") == 1) & (F.col("f_sign") == 1) & (F.col("f_digits") > 0.1) & (F.char_length("value") >= 20) & ~value.contains("@")
     no = value.contains("@") | value.rlike("^[A-Za-z'-]+$") | value.rlike("^[0-9]+$") | value.rlike(r"^\d+(\.\d+){3}$")
     label = F.when(secret, 1.0).when(no, 0.0)
-    return features.select("doc_id", "word", label.alias("label")).filter("label IS NOT NULL AND doc_id IS NOT NULL")
+    return features.select("doc_id", "word", "part", label.alias("label")).filter("label IS NOT NULL AND doc_id IS NOT NULL")
 
 
 def judge(features: DataFrame, findings: DataFrame) -> DataFrame:
@@ -107,11 +124,11 @@ def judge(features: DataFrame, findings: DataFrame) -> DataFrame:
     n = findings.count()
     if n > MAX_FINDINGS:  # of the rarer kind as many as of the other
         part = {r.label: r.n for r in findings.groupBy("label").agg(F.count("*").alias("n")).collect()}
-        draw = F.pmod(F.xxhash64(F.lit("finding"), "doc_id", "word"), F.lit(_PARTS))
+        draw = F.pmod(F.xxhash64(F.lit("finding"), "doc_id", "word", "part"), F.lit(_PARTS))
         share = {k: int(_PARTS * min(1.0, MAX_FINDINGS / 2 / v)) for k, v in part.items()}
         findings = findings.filter(draw < F.when(F.col("label") == 1, share.get(1.0, _PARTS)).otherwise(share.get(0.0, _PARTS)))
-    chosen = findings.dropDuplicates(["doc_id", "word"])
-    train = written(features.join(F.broadcast(chosen), ["doc_id", "word"]).select("vector", "label"), "secret-findings")
+    chosen = findings.dropDuplicates(["doc_id", "word", "part"])
+    train = written(features.join(F.broadcast(chosen), ["doc_id", "word", "part"]).select("vector", "label"), "secret-findings")
     kinds = [r[0] for r in train.select("label").distinct().collect()]
     if len(kinds) == 2:
         forest = RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=7, probabilityCol="p", rawPredictionCol="raw", predictionCol="y")

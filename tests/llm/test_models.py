@@ -88,3 +88,16 @@ def test_secrets_with_odd_rows(spark):
     got = secrets.scan(docs).collect()
     assert len(got) == 2 and all(0 <= r.probability <= 1 for r in got)
     assert secrets.scan(docs.limit(0)).count() == 0
+
+
+def test_secrets_are_found_in_unspaced_forms(spark):
+    texts = ['api_key="0a1B2c3D4e"', "password:hunterxyz", '{"token":"Zx81kkQp","n":1}', "postgres://admin:s3cretpw@db.example.com/x", "token=0123456789abcdef0123", "token = x1y2z3w4", "ordinary sentences"]
+    docs = spark.createDataFrame([(i, f"before {t} after", "s", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    found = {(r.doc_id, r.value) for r in secrets.candidates(docs).collect()}
+    assert {(0, "0a1B2c3D4e"), (1, "hunterxyz"), (2, "Zx81kkQp"), (3, "s3cretpw"), (4, "0123456789abcdef0123"), (5, "x1y2z3w4")} <= found
+    assert not [x for x in found if x[0] == 6]
+    features = secrets.with_features(secrets.candidates(docs), secrets.corpus_grams(docs))
+    named = {(r.doc_id, r.value): (r.f_name, r.f_sign) for r in features.collect()}
+    assert all(named[x] == (1, 1) for x in [(0, "0a1B2c3D4e"), (1, "hunterxyz"), (2, "Zx81kkQp"), (3, "s3cretpw"), (4, "0123456789abcdef0123"), (5, "x1y2z3w4")])
+    labels = {(r.doc_id, r.label) for r in secrets.rule_labels(features).collect()}
+    assert (4, 1.0) in labels
