@@ -18,18 +18,24 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+#: Temporary folders of local sessions without a checkpoint folder, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder, as a URI, below the one in spark.checkpoint.dir.
 
-    Where that setting is missing (tests, a laptop) a temporary folder is set once for the session.
+    Where that setting is missing, the folder set by setCheckpointDir() is used, and on a local master (tests, a laptop) a temporary
+    one. On a cluster without either this is a ValueError: executors on other hosts could not see a local folder.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or _LOCAL.get(context.applicationId)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    if "://" not in root and not root.startswith("file:"):
-        root = f"file://{root}" if root.startswith("/") else root
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if root.startswith("/"):
+        root = f"file://{root}"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -3,7 +3,9 @@
 Both vocabularies used here decide ids inside pieces that never cross a space between two
 characters that are not white space. So a text is cut at those spaces, the ids of a piece come from a table
 that the worker keeps, and the library's model runs only on pieces it has not met. The result is the
-one of encode(text, add_special_tokens=False) with special strings taken as text.
+one of Tokenizer.from_file(path).encode(text, add_special_tokens=False): a special string inside a text has the
+special id, and such texts are left to the library whole. A vocabulary whose file describes other cutting or folding than
+these two is encoded by the library alone.
 """
 
 from __future__ import annotations
@@ -18,6 +20,15 @@ _STOPS = ".,;:!?*$#&%"
 
 _BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What a vocabulary file says of its normalizer and pre-tokenizer where the patterns above hold; fixed values of the file format.
+_BYTE_CUTS = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+_WORD_CUTS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _WORD_PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -41,12 +52,16 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        cuts = (spec.get("normalizer"), spec.get("pre_tokenizer"))
+        plain = all(not t["normalized"] and t["content"] for t in spec.get("added_tokens", []))
+        #: Whether the cutting below is that of the file.
+        self.known_cuts = plain and cuts in (_BYTE_CUTS, _WORD_CUTS)
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
         #: Lower-casing vocabularies drop white space; the others keep it in their pieces.
-        self.folds = spec.get("normalizer") is not None
+        self.folds = cuts[0] is not None
         self.pieces = regex.compile(_WORD_PATTERN if self.folds else _BYTE_PATTERN).findall
         self.lead = "" if self.folds else " "
         self.known: dict[str, bytes] = {}
@@ -99,6 +114,8 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self.known_cuts or any(map(text.__contains__, self.added)):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         parts = text.split(" ")
         known = self.parts
         if not self.folds:

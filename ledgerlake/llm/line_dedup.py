@@ -1,6 +1,6 @@
 """Operator 9: line deduplication over levelled sorted runs of line hashes.
 
-Documents are taken in batches of descending doc_id. A batch's line keys are counted, merge-anti-joined with
+Documents are taken in batches of descending doc_id, each of about BATCH_DOCS rows and never fewer than BATCHES of them. A batch's line keys are counted, merge-anti-joined with
 the runs that earlier batches left, and written as a run of their own: keys that no run has carry the largest doc_id
 holding them, keys met before add their count only. A run is bucketed and sorted by hash, so joins against it need
 no new shuffle of the run. When a level has FANOUT runs they are compacted into one run of the next level, and
@@ -9,12 +9,17 @@ at the end all levels into one, from which the repeated keys are read.
 A line's key is the line without ASCII white space at both ends, A-Z lower-cased. Keys of at least MIN_CHARS code
 points found in at least MIN_DOCS documents lose all their lines except in the largest doc_id holding them. Keys are
 compared by 128 bits of hash. Null and empty texts have one empty line. Rows with a null doc_id are one document
-below all others; rows that share a doc_id are one document. An empty table gives no rows.
+below all others; rows that share a doc_id are one document. Lines go back to their rows by doc_id and text, so the rows of
+a frequent or null id spread. An empty table gives no rows.
+
+Runs are bucketed tables, which only the session's catalog can hold: they are made in the current database and dropped at the
+end, also after a failure. Their files lie in the shared folder.
 """
 
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +28,9 @@ from ledgerlake.llm.common import ascii_lower, documents, shared_dir, written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
+#: Least number of batches, and the rows of a batch beyond which there are more.
 BATCHES = 4
+BATCH_DOCS = 50_000_000
 FANOUT = 2
 SPACE = " \t\n\x0b\f\r"
 _NO_ID = -(1 << 63)
@@ -90,32 +97,41 @@ def _id(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column), F.lit(_NO_ID))
 
 
+@contextmanager
+def _line_runs(spark: SparkSession):
+    runs = LineRuns(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    try:
+        yield runs
+    finally:
+        runs.close()
+
+
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, h1, h2) of the lines that go; null ids are the least long."""
+    """(doc_id, text_hash, h1, h2) of the lines that go; null ids are the least long."""
     spark = docs.sparkSession
-    lines = docs.select(_id().alias("doc_id"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
-    long_enough = lines.select("doc_id", F.btrim("line", F.lit(SPACE)).alias("line")).filter(F.char_length("line") >= min_chars)
+    lines = docs.select(_id().alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
+    long_enough = lines.select("doc_id", "text_hash", F.btrim("line", F.lit(SPACE)).alias("line")).filter(F.char_length("line") >= min_chars)
     h1, h2 = _hashes(ascii_lower(F.col("line")))
-    cuts = docs.select(F.percentile_approx(_id(), [i / BATCHES for i in range(1, BATCHES)])).first()[0] or []
-    batch = F.lit(0)
-    for cut in sorted(set(cuts)):
-        batch = batch + (F.col("doc_id") <= F.lit(cut)).cast("int")  # the largest ids have batch 0
+    batches = max(BATCHES, -(-docs.count() // BATCH_DOCS))
+    cuts = docs.select(F.percentile_approx(_id(), [i / batches for i in range(1, batches)], max(10_000, 10 * batches))).first()[0] or []
+    # the largest ids have batch 0: as many cuts lie below an id as batches come after its own
+    after = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda cut: F.col("doc_id") <= cut)) if cuts else F.lit(0)
     path = shared_dir(spark, "line-keys")
-    long_enough.select("doc_id", h1.alias("h1"), h2.alias("h2")).distinct().withColumn("batch", batch).write.partitionBy("batch").parquet(path)
-    keys = spark.read.schema("doc_id long, h1 long, h2 long, batch int").parquet(path)
-    runs = LineRuns(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    for b in range(len(set(cuts)) + 1):
-        runs.add(keys.filter(F.col("batch") == b).groupBy("h1", "h2").agg(F.max("doc_id").alias("last_doc"), F.count("*").alias("n_docs")))
-    known = written(runs.compacted().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"), "line-repeats")
-    runs.close()
-    return keys.join(known, ["h1", "h2"]).filter(F.col("doc_id") < F.col("last_doc")).select("doc_id", "h1", "h2")
+    long_enough.select("doc_id", "text_hash", h1.alias("h1"), h2.alias("h2")).distinct().withColumn("batch", after).write.partitionBy("batch").parquet(path)
+    keys = spark.read.schema("doc_id long, text_hash long, h1 long, h2 long, batch int").parquet(path)
+    with _line_runs(spark) as runs:
+        for b in range(len(set(cuts)) + 1):
+            own = keys.filter(F.col("batch") == b).select("doc_id", "h1", "h2").distinct()
+            runs.add(own.groupBy("h1", "h2").agg(F.max("doc_id").alias("last_doc"), F.count("*").alias("n_docs")))
+        known = written(runs.compacted().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"), "line-repeats")
+    return keys.join(known, ["h1", "h2"]).filter(F.col("doc_id") < F.col("last_doc")).select("doc_id", "text_hash", "h1", "h2")
 
 
 def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with __lines (array) and __kept (array), the lines before and after."""
-    gone = repeated_lines(docs, min_chars, min_docs).groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("__gone"))
-    gone = gone.withColumnRenamed("doc_id", "__id").hint("shuffle_hash")
-    both = docs.withColumn("__id", _id()).join(gone, "__id", "left").drop("__id")
+    gone = repeated_lines(docs, min_chars, min_docs).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("h1", "h2")).alias("__gone"))
+    gone = gone.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    both = docs.withColumns({"__id": _id(), "__hash": F.xxhash64("text")}).join(gone, ["__id", "__hash"], "left").drop("__id", "__hash")
     split = both.withColumn("__lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
 
     def stays(line: Column) -> Column:

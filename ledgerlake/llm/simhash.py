@@ -24,8 +24,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ledgerlake.llm import near_copies
 from ledgerlake.llm.common import documents, written
 from ledgerlake.llm.components import components
 
@@ -118,17 +118,24 @@ def classes(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """docs with one row of each class: that of its least doc_id, of rows with that id the first by text.
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...) with one row of each group of near copies: five-word shingles, similarity 0.8 or more.
 
-    Rows with a null doc_id cannot be named, so they all stay.
+    Texts are compared by their sets of shingles (near_copies.py); rows with equal sets are one node. Fingerprints of the
+    sets that lie within two bits are found by links(); a node whose set is verified to be similar to that of its group's least node
+    leaves at once. Fingerprints of similar sets may differ in up to 11 bits, beyond what small Hamming balls reach, so
+    the remaining nodes meet by the prefixes of their sets, which finds every pair. No two of the kept rows are near copies.
+
+    A row is kept for its own text: rows that share a doc_id, or have none, are separate. Of rows with equal sets that of least doc_id
+    stays, null last, then by a hash of the row. Null, empty and blank texts are equal. An empty table gives no rows.
     """
-    found = classes(docs, shingle, distance)
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    first = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*columns))
-    stays = docs.join(keep, "doc_id", "left_semi").select(*columns, F.row_number().over(first).alias("__row"))
-    return stays.filter("__row = 1").select(*columns).unionByName(docs.filter("doc_id IS NULL"))
+    nodes = near_copies.nodes(docs.select(F.coalesce("text", F.lit("")).alias("text")))
+    distinct = written(nodes.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    roots = components(links(distinct.select("fp"), 2))
+    grouped = nodes.select("node", "fp").join(roots, nodes.fp == roots.node, "left").select(nodes.node, F.coalesce("root", "fp").alias("root"))
+    least = grouped.groupBy("root").agg(F.min("node").alias("u"), F.count("*").alias("n")).filter("n > 1")
+    asked = grouped.join(least.drop("n"), "root").filter("node > u").select("u", F.col("node").alias("v"))
+    return near_copies.kept(docs, nodes, asked)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,9 @@ Layout, all little-endian::
     footer   : block starts u64, doc_ids i64, doc starts u64, doc lengths u32
     trailer  : blocks u64, documents u64, ids u64, footer start u64, footer crc32 u32, "PFOR0001"
 
+A task writes its documents into files of at most about FILE_IDS ids, and the manifest names, every RANGE_IDS ids, a document at which
+reading may begin; so files stay small and a reader's tasks are even, however many tasks wrote.
+
 Null and empty texts have the end id only. Documents with a null doc_id come first. Documents that share a doc_id
 follow one another in the order of their texts. An empty table gives no files and no rows. Other columns are
 not read.
@@ -44,6 +47,8 @@ _TAIL = struct.Struct("<QQQQI8s")
 #: Blocks that are packed or unpacked together.
 GROUP = 256
 NO_ID = -(1 << 63)
+FILE_IDS = 128 << 20
+RANGE_IDS = 8 << 20
 
 
 def _bit_length(values: np.ndarray) -> np.ndarray:
@@ -127,7 +132,7 @@ def decode_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class _Written(WriterCommitMessage):
-    entry: dict
+    entries: list[dict]
 
 
 class _FileBuilder:
@@ -139,6 +144,8 @@ class _FileBuilder:
         self.held = 0
         self.starts: list[int] = []
         self.docs: list[tuple[int, int, int]] = []
+        #: (document, ids before it) at which reading may begin.
+        self.cuts: list[tuple[int, int]] = [(0, 0)]
         self.ids = 0
         self._put(MAGIC)
 
@@ -148,6 +155,8 @@ class _FileBuilder:
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         n = len(ids) // 4
+        if self.ids - self.cuts[-1][1] >= RANGE_IDS:
+            self.cuts.append((len(self.docs), self.ids))
         self.docs.append((NO_ID if doc_id is None else doc_id, self.ids, n))
         self.ids += n
         self.buffer.append(ids)
@@ -171,11 +180,11 @@ class _FileBuilder:
         at = self.at
         self._put(footer)
         self._put(_TAIL.pack(len(self.starts), len(docs), self.ids, at, zlib.crc32(footer), MAGIC))
-        return {"documents": len(docs), "ids": self.ids, "bytes": self.at}
+        return {"documents": len(docs), "ids": self.ids, "bytes": self.at, "cuts": self.cuts}
 
 
 class _TokenWriter(DataSourceArrowWriter):
-    """Each task encodes its documents in order and writes a file of its own name; commit lists the files."""
+    """Each task encodes its documents in order and writes files of its own names; commit lists the files."""
 
     def __init__(self, options: dict):
         self.path, self.tokenizer, self.end_id = options["path"], options["tokenizer"], int(options["end_id"])
@@ -183,35 +192,41 @@ class _TokenWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        part, builder, end = TaskContext.get().partitionId(), None, np.array([self.end_id], "<u4").tobytes()
-        name, run = f"part-{part:06d}-{uuid.uuid4().hex}.pfor", encoder(self.tokenizer)
-        out = None
+        part, end, run = TaskContext.get().partitionId(), np.array([self.end_id], "<u4").tobytes(), encoder(self.tokenizer)
+        entries, builder, out, name = [], None, None, ""
         for batch in iterator:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 if builder is None:
+                    name = f"part-{part:06d}-{uuid.uuid4().hex}.pfor"
                     store, path = open_store(f"{self.path}/{name}")
                     store.create_dir(path.rpartition("/")[0], recursive=True)
                     out = store.open_output_stream(path)
                     builder = _FileBuilder(out)
                 builder.add(doc_id, run.ids(text.as_py()) + end)
-        if builder is None:
-            return _Written({})
-        entry = builder.close()
-        out.close()
-        return _Written(entry | {"file": name, "part": part})
+                if builder.ids >= FILE_IDS:
+                    entries.append(builder.close() | {"file": name, "place": [part, len(entries)]})
+                    out.close()
+                    builder = None
+        if builder is not None:
+            entries.append(builder.close() | {"file": name, "place": [part, len(entries)]})
+            out.close()
+        return _Written(entries)
 
     def commit(self, messages: list) -> None:
-        files = sorted((m.entry for m in messages if m is not None and m.entry), key=lambda e: e["part"])
-        write_manifest(self.path, files)
+        write_manifest(self.path, sorted((e for m in messages if m is not None for e in m.entries), key=lambda e: e["place"]))
 
     def abort(self, messages: list) -> None:
         """Nothing to undo: readers see the files of a manifest only."""
 
 
 @dataclass
-class _File(InputPartition):
+class _Range(InputPartition):
+    """Documents [begin, end) of a file; first is the number of ids in all files before it."""
+
     uri: str
     first: int
+    begin: int
+    end: int
 
 
 class _TokenReader(DataSourceReader):
@@ -221,16 +236,17 @@ class _TokenReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         found, first = [], 0
         for e in read_manifest(self.path):
-            found.append(_File(f"{self.path}/{e['file']}", first))
+            begins = [d for d, _ in e["cuts"]]
+            found += [_Range(f"{self.path}/{e['file']}", first, b, c) for b, c in zip(begins, [*begins[1:], e["documents"]], strict=True)]
             first += e["ids"]
-        return found or [_File("", 0)]
+        return found or [_Range("", 0, 0, 0)]
 
-    def read(self, partition: _File) -> Iterator:
+    def read(self, partition: _Range) -> Iterator:
         if not partition.uri:
             return
         import pyarrow as pa
 
-        for docs, starts, lengths, values in read_file(partition.uri):
+        for docs, starts, lengths, values in read_file(partition.uri, partition.begin, partition.end):
             ends = np.cumsum(lengths)
             raw = values.tobytes()
             yield pa.RecordBatch.from_arrays(
@@ -244,8 +260,8 @@ class _TokenReader(DataSourceReader):
             )
 
 
-def read_file(uri: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """doc_ids, starts in the file, lengths and ids of successive runs of whole documents of about GROUP blocks."""
+def read_file(uri: str, begin: int = 0, end: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """doc_ids, starts in the file, lengths and ids of successive runs of whole documents [begin, end) of about GROUP blocks."""
     store, path = open_store(uri)
     with store.open_input_file(path) as src:
         size = src.size()
@@ -259,9 +275,9 @@ def read_file(uri: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np
         docs = np.frombuffer(footer, "<i8", n_docs, 8 * blocks)
         starts = np.frombuffer(footer, "<u8", n_docs, 8 * (blocks + n_docs)).astype(np.int64)
         lengths = np.frombuffer(footer, "<u4", n_docs, 8 * (blocks + 2 * n_docs)).astype(np.int64)
-        ends, d = starts + lengths, 0
-        while d < n_docs:
-            e = max(d + 1, int(np.searchsorted(ends, starts[d] + BLOCK * GROUP, "right")))
+        ends, d, stop = starts + lengths, begin, n_docs if end is None else end
+        while d < stop:
+            e = min(stop, max(d + 1, int(np.searchsorted(ends, starts[d] + BLOCK * GROUP, "right"))))
             b, c = starts[d] // BLOCK, -(-ends[e - 1] // BLOCK)
             src.seek(int(block_at[b]))
             values = decode_blocks(src.read(int(block_at[c] - block_at[b])), block_at[b:c] - block_at[b])

@@ -1,8 +1,10 @@
-import hashlib
+import itertools
 import random
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from ledgerlake.llm import decontaminate, licenses, line_dedup
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -76,45 +78,54 @@ def test_runs_are_compacted_by_level(spark):
 
 
 def plain_overlaps(rows, bench):
+    """Every offset of every item, without seeds: those must lose nothing."""
     found = {}
     for item_id, item in bench:
-        a = words(item)
+        if not (a := words(item)):
+            continue
         for doc_id, text in rows:
             b = words(text)
             for at in range(-len(a) + 1, len(b)):
                 same = [int(0 <= at + j < len(b) and b[at + j] == a[j]) for j in range(len(a))]
-                seeded = any(
-                    all(same[p + i] for i, c in enumerate(m) if c == "1") and 0 <= at + p and at + p + 11 <= len(b)
-                    for m in decontaminate.MASKS
-                    for p in range(len(a) - 10)
-                )
                 width = min(len(a), 20)
-                if seeded and max(sum(same[s : s + width]) for s in range(len(a) - width + 1)) >= -(-width * 8 // 10):
-                    best = (sum(same), -max(at, 0))
+                if max(sum(same[s : s + width]) for s in range(len(a) - width + 1)) >= (width if width < 10 else -(-width * 8 // 10)):
+                    best = (sum(same), -max(at, 0), len(a))
                     found[doc_id, item_id] = max(found.get((doc_id, item_id), best), best)
-    return {(d, i, len(words(dict(bench)[i])), n, -f) for (d, i), (n, f) in found.items()}
+    return {(d, i, w, n, -f) for (d, i), (n, f, w) in found.items()}
+
+
+def test_masks_fit_between_all_replaced_words():
+    for length in range(10, 21):
+        spots = [{at + i for i, c in enumerate(m) if c == "1"} for m in decontaminate.MASKS for at in range(length - len(m) + 1)]
+        for replaced in itertools.combinations(range(length), length - -(-length * 8 // 10)):
+            assert any(not spot & set(replaced) for spot in spots)
 
 
-def test_overlaps_equal_the_plain_version(spark):
+def test_overlaps_equal_the_plain_version(spark, monkeypatch):
     rng = random.Random(2)
     vocabulary = ["w%d" % i for i in range(60)] + ["the", "of", "é"]
-    bench = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate((40, 30, 22, 15, 5, 0))] + [(9, None)]
-    rows = [(None, None), (1, ""), (2, "few words")]
-    for d in range(10, 40):
-        item = (bench[d % 5][1] or "").split()
-        changed = [w if rng.random() > 0.1 * (d % 4) else "new" for w in item][: rng.choice([len(item), 25])]
+    bench = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate((40, 30, 22, 15, 12, 10, 9, 5, 0))]
+    bench += [(20, None), (21, "one two three"), (22, "pair wise"), (23, "single"), (0, "another text of an item id " * 3), (24, bench[2][1])]
+    rows = [(None, None), (1, ""), (2, "few words"), (3, "a one two three b"), (4, "pair, wise!"), (5, "a single word"), (6, "two three one"), (6, bench[0][1]), (6, "x " + bench[1][1])]
+    for d in range(10, 50):
+        item = (bench[d % 8][1] or "").split()
+        changed = [w if rng.random() > 0.08 * (d % 4) else "new" for w in item][: rng.choice([len(item), 25])]
         own = rng.choices(vocabulary, k=30)
         rows.append((d, " ".join(own[:15] + changed + own[15:]).upper() if d % 3 else " ".join(changed)))
-    rows.append(rows[5])
+    rows += [rows[5], (None, bench[3][1]), (None, "clean text without an id")]
     docs = spark.createDataFrame([(a, b, "x") for a, b in rows], "doc_id long, text string, item_id string").repartition(3)
     items = spark.createDataFrame(bench, "item_id long, text string")
-    got = [tuple(r) for r in decontaminate.overlaps(docs.select("doc_id", "text"), items).collect()]
-    assert len(got) == len(set(got)) and set(got) == plain_overlaps(rows, bench)
-    assert len(got) > 5
+    want = plain_overlaps(rows, bench)
+    assert len(want) > 20
+    for limit, order in ((500_000, F.col("doc_id")), (0, F.desc("text"))):  # with and without broadcasts, in other orders
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+        got = [tuple(r) for r in decontaminate.overlaps(docs.select("doc_id", "text").orderBy(order), items).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
     left = decontaminate.decontaminated(docs, items)
     assert left.columns == docs.columns
-    bad = {g[0] for g in got}
-    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(d) for d, _ in rows if d not in bad)
+    clean = [(d, t) for d, t in rows if not plain_overlaps([(d, t)], bench)]
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(clean, key=str)
+    assert (6, "two three one") in clean
     assert decontaminate.overlaps(docs.select("doc_id", "text").limit(0), items).count() == 0
     assert decontaminate.overlaps(docs.select("doc_id", "text"), items.limit(0)).count() == 0
 
@@ -149,7 +160,3 @@ def test_license_scan(spark):
     assert by[12].labels == "" and 0 < by[12].score < 0.7
     assert all(0 <= r.score <= 1 for r in got)
     assert licenses.scan(docs.select("doc_id", "text").limit(0)).count() == 0
-
-
-def test_digest_of_an_emptied_document():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from ledgerlake.llm import near_copies
+from ledgerlake.llm import near_copies, simhash
 
 
 def shingles(text, k=5):
@@ -47,4 +47,4 @@ def test_no_near_copy_stays_and_nothing_else_goes(spark, monkeypatch):
 
 
 def test_near_copies_of_an_empty_table(spark):
-    assert near_copies.without_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert simhash.near_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0

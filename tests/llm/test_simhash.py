@@ -84,11 +84,15 @@ def test_classes_with_odd_rows(spark):
     prints = [(d, plain_fingerprint(t)) for d, t in rows]
     want = sorted(((d is not None, d, p, c) for (d, p), c in zip(prints, plain_classes(prints), strict=True)), key=str)
     assert got == want
-    kept = simhash.near_dedup(docs).collect()
-    ids = [r.doc_id for r in kept if r.doc_id is not None]
-    assert sorted(ids) == sorted({c for _, d, _, c in want if c is not None and d == c})
-    assert sum(r.doc_id is None for r in kept) == 2
-    assert kept[0].__fields__ == ["doc_id", "text", "fp"]
+
+
+def test_near_dedup_judges_rows_not_ids(spark):
+    a, c = "one two three four five six seven eight nine ten", "an unlike text that stands only once in this little table"
+    rows = [(1, a), (5, a), (5, c), (None, a), (None, None), (2, "")]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, fp string").repartition(3)
+    kept = simhash.near_dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == [(1, a), (2, ""), (5, c)]
 
 
 def test_empty_table(spark):
