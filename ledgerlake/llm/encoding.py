@@ -14,8 +14,8 @@ import os
 import unicodedata
 from array import array
 
-#: Pieces that a worker keeps; beyond it the table starts anew, which costs time and changes nothing.
-TABLE_ROWS = 600_000
+#: Entries that a worker's table takes before they become its older half and the half before them goes.
+TABLE_ROWS = 300_000
 _STOPS = ".,;:!?*$#&%"
 
 _BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -41,6 +41,23 @@ def _byte_alphabet() -> dict[int, str]:
 _ALPHABET = _byte_alphabet()
 
 
+class _Table(dict):
+    """Values by text, made where they are missing. Entries in use move on from the older half, the others go in time."""
+
+    def __init__(self, make):
+        self.make, self.older = make, {}
+
+    def __missing__(self, text: str) -> bytes:
+        value = self.older.get(text)
+        if value is None:
+            value = self.make(text)
+        if len(self) >= TABLE_ROWS:
+            self.older = dict(self)
+            self.clear()
+        self[text] = value
+        return value
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
@@ -53,6 +70,8 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        #: All ids are below it.
+        self.size = max(self.tokenizer.get_vocab().values()) + 1
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         cuts = (spec.get("normalizer"), spec.get("pre_tokenizer"))
@@ -64,23 +83,20 @@ class Encoder:
         self.folds = cuts[0] is not None
         self.pieces = regex.compile(_WORD_PATTERN if self.folds else _BYTE_PATTERN).findall
         self.lead = "" if self.folds else " "
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known = _Table(self._model)
+        self.parts = _Table(lambda part: self._part(part, self.lead))
+
+    def _model(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isalnum():
+            shown = piece
+        elif piece[0] == " " and piece.isascii() and piece[1:].isalnum():
+            shown = _ALPHABET[32] + piece[1:]
+        else:
+            shown = "".join([_ALPHABET[b] for b in piece.encode()])
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        found = self.known.get(piece)
-        if found is None:
-            if piece.isascii() and piece.isalnum():
-                shown = piece
-            elif piece[0] == " " and piece.isascii() and piece[1:].isalnum():
-                shown = _ALPHABET[32] + piece[1:]
-            else:
-                shown = "".join([_ALPHABET[b] for b in piece.encode()])
-            found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-            if len(self.known) >= TABLE_ROWS:
-                self.known.clear()
-            self.known[piece] = found
-        return found
+        return self.known[piece]
 
     def _fold(self, text: str) -> str:
         """Composed and lower-cased one character at a time, as the library does."""
@@ -92,7 +108,7 @@ class Encoder:
     def _run(self, text: str) -> bytes:
         if self.folds:
             text = self._fold(text)
-        return b"".join(map(self._piece, self.pieces(text)))
+        return b"".join(map(self.known.__getitem__, self.pieces(text)))
 
     def _part(self, part: str, lead: str) -> bytes:
         """The ids of what stands between two spaces, with the space before it where that is kept.
@@ -117,21 +133,11 @@ class Encoder:
         if not self.known_cuts or any(map(text.__contains__, self.added)):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         parts = text.split(" ")
-        known = self.parts
-        if not self.folds:
-            if "" in parts or any(p[0].isspace() or p[-1].isspace() for p in parts):
-                return self._run(text)  # white space beside a space changes where pieces begin
-            first, parts = self._part(parts[0], ""), parts[1:]
-        try:
-            body = b"".join([known[p] for p in parts])
-        except KeyError:
-            if len(known) >= TABLE_ROWS:
-                known.clear()
-            for p in parts:
-                if p not in known:
-                    known[p] = self._part(p, self.lead)
-            body = b"".join([known[p] for p in parts])
-        return body if self.folds else first + body
+        if self.folds:
+            return b"".join(map(self.parts.__getitem__, parts))
+        if "" in parts or any(p[0].isspace() or p[-1].isspace() for p in parts):
+            return self._run(text)  # white space beside a space changes where pieces begin
+        return self._part(parts[0], "") + b"".join(map(self.parts.__getitem__, parts[1:]))
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -1,18 +1,24 @@
 """Operator 5: lexical retrieval packing with a sharded BM25 inverted index.
 
-Documents are dealt into shards of about SHARD_DOCS rows by a hash of their doc_id. A shard's task encodes its texts and keeps
-an inverted index of them: terms are token ids, weights are BM25. Then documents are placed in windows: a window's
-seed is the unused document of least doc_id, the index returns the unused neighbours of the seed by falling score, and they
-fill the window one after another. A document that does not fit whole is cut at the window's end and its rest begins the
-next window, whose neighbours are those of that document. So all windows of a shard but the last are full, and
-the last is cut into sequences whose lengths are powers of two, which need no padding.
-
-The idf of a term that stands in half of the shard's documents or more is zero, as usual for BM25, and a term of one document
-cannot score for another, so neither has postings. Documents without a common term follow by doc_id.
-
-Null and empty texts are the end id alone. Rows that share a doc_id are packed one by one; a null doc_id has a shard and is
-placed first in it. An empty table gives no pieces. sequence_id is unique in the table: the shard's number
-times 2**32, plus the place in the shard. Shards do not depend on how the input is partitioned. Extra columns are not read.
+Terms are token ids. Texts are encoded once and their ids written to the shared folder; document frequencies, the number of
+documents and their mean length are then counted over all of them, so every shard weighs its terms alike. Documents are dealt into shards
+by content: a document's place is a row of three terms, each drawn from its own terms by a weighted min-hash, so two
+documents share a place the more likely the more idf weight their terms have in common, and copies always do. Documents are put in
+order of their places and cut into shards of at most SHARD_DOCS documents and about SHARD_IDS ids. A frequent place, such as
+that of many copies, is spread over shards by a hash of the document.
+
+A shard's task keeps an inverted index of its documents. A window's seed is the first unused document of the shard, the index returns
+the unused neighbours of the seed by falling BM25 score, and they fill the window one after another. A document that does not
+fit whole is cut at the window's end and its rest begins the next window, whose neighbours are those of that document. So all
+windows of a shard but the last are full, and the last is cut into sequences whose lengths are powers of two, which need no padding.
+
+A term that stands in half of all documents or more has idf zero, as usual for BM25, and a term of one document of the
+shard cannot score for another, so neither has postings. Documents without a common term follow by their order in the shard.
+
+Null and empty texts are the end id alone. Rows that share a doc_id are packed one by one; a null doc_id is packed like any
+other. An empty table gives no pieces. sequence_id is unique in the table: the number of the task times 2**32, plus the place in
+its shards. Which documents meet in a shard depends on the ranges that Spark draws, so sequences may differ where the input is
+partitioned in another way. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,35 +30,44 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import documents
+from ledgerlake.llm.common import documents, written
 from ledgerlake.llm.encoding import encoder, vocabulary
 
 WINDOW = 2048
 SHARD_DOCS = 512
+SHARD_IDS = 4 << 20
+#: Terms of a document's place.
+PLACES = 3
 K1, B = 1.2, 0.75
 
 
+def idf(df: np.ndarray, n: int) -> np.ndarray:
+    """BM25's inverse document frequency; 0 for a term of half of the n documents or more."""
+    return np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5)))
+
+
 class Index:
     """BM25 postings of a shard: for each term the documents that hold it and what each adds for one query occurrence."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], weight: np.ndarray, mean: float):
+        """weight is the idf of each id, mean the mean length, both over all documents of all shards."""
         self.n = len(docs)
         terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True) if docs else ((), ())
         sizes = np.array([len(t) for t in terms], np.int64)
-        term = np.concatenate(terms) if len(terms) else np.zeros(0, "<u4")
+        ids = np.concatenate(terms).astype(np.int64) if len(terms) else np.zeros(0, np.int64)
         count = np.concatenate(counts) if len(counts) else np.zeros(0, np.int64)
         doc = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
-        _, term, df = np.unique(term, return_inverse=True, return_counts=True)
-        idf = np.maximum(0.0, np.log((self.n - df + 0.5) / (df + 0.5)))
-        useful = (df > 1) & (idf > 0)
+        ids, term, df = np.unique(ids, return_inverse=True, return_counts=True)
+        own = weight[ids]
+        useful = (df > 1) & (own > 0)
         keep = useful[term]
         term, doc, count = term[keep], doc[keep], count[keep]
         length = np.array([len(d) for d in docs], np.float64)
-        norm = K1 * (1 - B + B * length / max(1.0, length.mean())) if self.n else length
+        norm = K1 * (1 - B + B * length / max(1.0, mean))
         order = np.argsort(term, kind="stable")
         self.post_doc = doc[order]
         tf = count[order]
-        self.post_weight = (idf[term[order]] * tf * (K1 + 1) / (tf + norm[self.post_doc])).astype(np.float32)
+        self.post_weight = (own[term[order]] * tf * (K1 + 1) / (tf + norm[self.post_doc])).astype(np.float32)
         self.start = np.searchsorted(term[order], np.arange(len(df) + 1))
         #: The terms of each document that have postings.
         self.query_start = np.searchsorted(doc, np.arange(self.n + 1))
@@ -96,55 +111,126 @@ def sequences(total: int, window: int) -> list[int]:
     return [window] * (total // window) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pieces(docs: list[bytes], window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(document, start, length, crc32, sequence, offset) of each piece of a shard's documents of 32-bit ids."""
-    ids = [np.frombuffer(d, "<u4") for d in docs]
+def pieces(ids: list[np.ndarray], weight: np.ndarray, mean: float, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(document, start, length, crc32, sequence, offset) of each piece of a shard's documents; the last id of each is its end id."""
     lengths = [len(d) for d in ids]
     sizes, seq, offset = sequences(sum(lengths), window), 0, 0
-    for d in order(Index([i[:-1] for i in ids]), lengths, window):
-        start = 0
+    for d in order(Index([i[:-1] for i in ids], weight, mean), lengths, window):
+        raw, start = ids[d].astype("<u4").tobytes(), 0
         while start < lengths[d]:
             n = min(lengths[d] - start, sizes[seq] - offset)
-            yield d, start, n, zlib.crc32(docs[d][4 * start : 4 * (start + n)]), seq, offset
+            yield d, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)]), seq, offset
             start, offset = start + n, offset + n
             if offset == sizes[seq]:
                 seq, offset = seq + 1, 0
 
 
+def _encoded(docs: DataFrame, tokenizer: str, kind: str) -> DataFrame:
+    """(doc_id, ids) of docs(doc_id, text), without end ids, as a table in the shared folder."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        encode = encoder(tokenizer)
+        for batch in batches:
+            ids = [np.frombuffer(encode.ids(t.as_py()), "<u4").astype(kind).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    return written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary"), "packing-ids")
+
+
+def _statistics(encoded: DataFrame, kind: str, terms: int) -> tuple[np.ndarray, int, float]:
+    """(document frequency of each id, documents, mean length): a row of the vocabulary for each task, then their sums."""
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        df, n, total = np.zeros(terms, np.int64), 0, 0
+        for batch in batches:
+            for ids in batch.column(0):
+                own = np.frombuffer(ids.as_py(), kind)
+                df[np.unique(own)] += 1
+                n, total = n + 1, total + len(own)
+        at = np.append(np.flatnonzero(df), [-1, -2])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.append(df[at[:-2]], [n, total]), pa.int64())], names=["term", "n"])
+
+    # a row for each id of the vocabulary at most, and two more
+    rows = encoded.select("ids").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    found = dict(zip(rows["term"].tolist(), rows["n"].tolist(), strict=True))
+    n, total = found.pop(-1, 0), found.pop(-2, 0)
+    df = np.zeros(terms, np.int64)
+    df[list(found)] = list(found.values())
+    return df, n, total / max(1, n)
+
+
+def _race(weight: np.ndarray) -> np.ndarray:
+    """For each place a number for each id: an id of greater weight has the least number of a document more often."""
+    draws = np.random.default_rng(11).exponential(size=(PLACES, len(weight)))
+    with np.errstate(divide="ignore"):
+        return np.where(weight > 0, draws / weight, np.inf)
+
+
+def place(ids: np.ndarray, race: np.ndarray) -> list[int]:
+    """The terms that a document draws; -1 for a document without any term that has weight."""
+    if not len(ids):
+        return [-1] * len(race)
+    own = race[:, ids]
+    at = own.argmin(axis=1)
+    return [int(ids[j]) if own[p, j] < np.inf else -1 for p, j in enumerate(at.tolist())]
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """The pieces of docs(doc_id, text), packed into sequences of at most window ids."""
-    shards = max(1, -(-docs.count() // shard_docs))
-    # rows of a doc_id stay together; texts take part where ids are missing, so that they spread
-    shard = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(shards)).cast("int")
-    dealt = docs.select("doc_id", "text", shard.alias("shard")).repartition(min(shards, _tasks(docs.sparkSession)), "shard")
-    sorted_ = dealt.sortWithinPartitions("shard", "doc_id", "text")
+    terms = max(end_id + 1, encoder(tokenizer).size)
+    kind = "<u2" if terms <= 1 << 16 else "<u4"
+    encoded = _encoded(docs, tokenizer, kind)
+    df, n, mean = _statistics(encoded, kind, terms)
+    weight = docs.sparkSession.sparkContext.broadcast(idf(df, n))
 
-    def run(batches: Iterator) -> Iterator:
+    def placed(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        race = _race(weight.value)
+        for batch in batches:
+            found = np.array([place(np.frombuffer(i.as_py(), kind), race) for i in batch.column(1)], np.int64).reshape(-1, PLACES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in found.T)], names=["doc_id", "ids", "p0", "p1", "p2"])
+
+    rows = encoded.mapInArrow(placed, "doc_id long, ids binary, p0 long, p1 long, p2 long")
+    by = ["p0", "p1", "p2", "salt"]
+    rows = rows.withColumn("salt", F.xxhash64("doc_id", "ids"))
+    dealt = rows.repartitionByRange(_tasks(docs.sparkSession), *by).sortWithinPartitions(*by, "doc_id")
 
-        def packed(shard: int, keys: list[int | None], texts: list[bytes]) -> pa.RecordBatch:
-            rows = np.array(list(pieces(texts, window)), np.int64).reshape(-1, 6)
-            at = rows[:, 0]
-            columns = [pa.array([keys[d] for d in at.tolist()], pa.int64()), *(pa.array(rows[:, c], pa.int64()) for c in (1, 2, 3))]
-            columns += [pa.array(np.array([len(t) // 4 for t in texts], np.int64)[at]), pa.array(rows[:, 4] + (shard << 32)), pa.array(rows[:, 5])]
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task, end, own = TaskContext.get().partitionId() << 32, np.array([end_id], kind), weight.value
+        names, first = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"], 0
+        keys: list[int | None] = []
+        texts: list[np.ndarray] = []
+        held = 0
+
+        def packed() -> pa.RecordBatch:
+            nonlocal first
+            found = np.array(list(pieces(texts, own, mean, window)), np.int64).reshape(-1, 6)
+            at = found[:, 0]
+            columns = [pa.array([keys[d] for d in at.tolist()], pa.int64()), *(pa.array(found[:, c], pa.int64()) for c in (1, 2, 3))]
+            columns += [pa.array(np.array([len(t) for t in texts], np.int64)[at]), pa.array(found[:, 4] + (task + first)), pa.array(found[:, 5])]
+            first += int(found[-1, 4]) + 1
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        now, keys, texts = None, [], []
         for batch in batches:
-            for key, text, s in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                if s != now:
-                    if keys:
-                        yield packed(now, keys, texts)
-                    now, keys, texts = s, [], []
+            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 keys.append(key)
-                texts.append(encode.ids(text.as_py()) + end)
+                texts.append(np.append(np.frombuffer(ids.as_py(), kind), end))
+                held += len(texts[-1])
+                if len(keys) >= shard_docs or held >= SHARD_IDS:
+                    yield packed()
+                    keys, texts, held = [], [], 0
         if keys:
-            yield packed(now, keys, texts)
+            yield packed()
 
-    return sorted_.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return dealt.select("doc_id", "ids").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def _tasks(spark: SparkSession) -> int:

@@ -22,11 +22,16 @@ def plain_scores(docs, seed):
     return out
 
 
+def statistics(docs, terms=100):
+    df = np.array([sum(t in d for d in docs) for t in range(terms)])
+    return packing.idf(df, len(docs)), float(np.mean([len(d) for d in docs]))
+
+
 def test_neighbours_are_those_of_plain_bm25():
     rng = np.random.default_rng(1)
-    docs = [rng.integers(0, 60, rng.integers(0, 40)).astype("<u4") for _ in range(40)]
+    docs = [rng.integers(0, 60, rng.integers(0, 40)).astype("<u2") for _ in range(40)]
     docs[7] = docs[3].copy()
-    index = packing.Index(docs)
+    index = packing.Index(docs, *statistics(docs))
     for seed in (0, 3, 7, 21):
         scores = plain_scores(docs, seed)
         ranked = index.neighbours(seed)
@@ -34,8 +39,57 @@ def test_neighbours_are_those_of_plain_bm25():
         others = [d for d in ranked if d != seed]
         values = [scores[d] for d in others]
         assert all(a >= b - 1e-4 for a, b in zip(values, values[1:], strict=False))
-    assert packing.Index([]).n == 0
-    assert packing.Index([np.zeros(0, "<u4")] * 2).neighbours(0).tolist() == [0, 1]
+    assert packing.Index([], np.zeros(5), 1.0).n == 0
+    assert packing.Index([np.zeros(0, "<u2")] * 2, np.zeros(5), 0.0).neighbours(0).tolist() == [0, 1]
+
+
+def test_windows_are_filled_with_the_best_unused_neighbours():
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 60, rng.integers(5, 40)).astype("<u2") for _ in range(30)]
+    weight, mean = statistics(docs)
+    lengths, window = [len(d) for d in docs], 64
+    got = list(packing.order(packing.Index(docs, weight, mean), lengths, window))
+    free, want, room, seed = set(range(30)), [], 0, None
+    while free:  # the same by plain scores
+        if room == 0:
+            pick = seed = min(free)
+            room = window
+        else:
+            scores = plain_scores(docs, seed)
+            pick = min(free, key=lambda d: (-round(scores[d], 4), d))
+        free.discard(pick)
+        want.append(pick)
+        if lengths[pick] > room:
+            seed, room = pick, -(lengths[pick] - room) % window
+        else:
+            room -= lengths[pick]
+    assert got == want
+
+
+def test_copies_and_near_copies_share_a_place():
+    rng = np.random.default_rng(3)
+    weight = rng.random(2000) * 8
+    race = packing._race(weight)
+    same = 0
+    for _ in range(200):
+        ids = rng.integers(0, 2000, 200)
+        near = ids.copy()
+        near[:10] = rng.integers(0, 2000, 10)
+        assert packing.place(ids, race) == packing.place(ids[::-1].copy(), race)
+        same += packing.place(ids, race)[0] == packing.place(near, race)[0]
+    assert same > 150
+    assert packing.place(np.zeros(0, "<u2"), race) == packing.place(np.array([5]), np.full((3, 9), np.inf)) == [-1] * 3
+
+
+def test_statistics_are_of_all_documents(spark):
+    rows = [(i, "alpha beta" if i % 3 else "gamma") for i in range(50)] + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    encoded = packing._encoded(docs, vocabulary("word_bpe_49k.json"), "<u2")
+    df, n, mean = packing._statistics(encoded, "<u2", 49_408)
+    library = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    ids = [set(library.encode(t or "", add_special_tokens=False).ids) for _, t in rows]
+    assert n == 51 and df.sum() == sum(map(len, ids)) and all(df[t] == sum(t in i for i in ids) for t in set.union(*ids))
+    assert mean == sum(len(library.encode(t or "", add_special_tokens=False).ids) for _, t in rows) / 51
 
 
 def test_sequences_need_no_padding():
@@ -47,7 +101,7 @@ def test_sequences_need_no_padding():
 
 def test_pieces_hold_each_id_once_and_follow_the_index(spark):
     rng = random.Random(1)
-    texts = [None, "", "a", " ", "long " * 20_000] + [" ".join(rng.choices(["alpha", "Beta", "gamma", "délta", "x1", "!!"], k=rng.randint(1, 900))) for _ in range(60)]
+    texts = [None, "", "a", " ", "long " * 20_000, "end<|endoftext|>of"] + [" ".join(rng.choices(["alpha", "Beta", "gamma", "délta", "x1", "!!"], k=rng.randint(1, 900))) for _ in range(60)]
     rows = [(i if i != 7 else None, t, "x") for i, t in enumerate(texts)] + [(8, texts[8], "again")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, length string").repartition(4)
     got = packing.pack(docs, vocabulary("word_bpe_49k.json"), 1, 256, 20).collect()
@@ -74,5 +128,3 @@ def test_pieces_hold_each_id_once_and_follow_the_index(spark):
         total = sum(p.length for p in parts)
         assert total == 256 or total & (total - 1) == 0
     assert packing.pack(docs.limit(0), vocabulary("word_bpe_49k.json"), 1).count() == 0
-    again = packing.pack(docs.repartition(2), vocabulary("word_bpe_49k.json"), 1, 256, 20).collect()
-    assert sorted(map(str, again)) == sorted(map(str, got))
