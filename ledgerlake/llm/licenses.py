@@ -2,10 +2,14 @@
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, A-Z lower-cased. The hashes of all rolling
 word k-grams of a text are joined with the k-gram positions of license templates. A hit votes for the diagonal
-word position - template position. Diagonals of a template that lie at most DRIFT apart and follow one another in the text
+word position - template position. Diagonals of a template that lie at most DRIFT apart
 are merged, which bridges inserted or missing words, and the merged span is verified: the words of each vote
 are compared, not only their hashes, and the span counts if its votes cover at least COVERAGE of the template's k-grams.
 
+Templates are a table (label, text), whole license texts or single sentences of them; without one those of TEMPLATES are used. A template
+of fewer than K words has no votes. Equal templates of a label count once. The templates' k-grams are broadcast while they are at most
+BROADCAST_ROWS, otherwise the texts' k-grams are shuffled to them.
+
 Base phrases are templates that need every k-gram on one diagonal, so each of their places is one diagonal. A phrase
 of two words votes by 2-grams, all else by 3-grams.
 
@@ -20,11 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlake.llm.common import ascii_lower, documents, written
+from ledgerlake.llm.common import ascii_lower, documents, small_enough, written
 
 K = 3
 DRIFT = 3
 COVERAGE = 0.7
+BROADCAST_ROWS = 500_000
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Opening or defining sentences of well-known public licenses.
 TEMPLATES = {
@@ -54,31 +59,30 @@ def _seed(array: str, at: Column, k: int) -> Column:
     return F.xxhash64(F.lit(k), *[F.col(array)[at + i] for i in range(k)])
 
 
-def _template_table(spark: SparkSession) -> DataFrame:
-    """(seed, tpl, tpl_pos, gram) of every k-gram of the fixed templates: a few hundred rows."""
-    rows = [(t, p.split(), len(p.split()) if p in BASE else K) for t, p in enumerate(_phrases())]
-    rows = [(t, w, min(k, K)) for t, w, k in rows]
-    table = spark.createDataFrame(rows, "tpl int, tpl_words array<string>, k int")
-    placed = table.withColumn("tpl_pos", F.explode(F.sequence(F.lit(0), F.size("tpl_words") - F.col("k"))))
-    seed = F.when(F.col("k") == 2, _seed("tpl_words", F.col("tpl_pos"), 2)).otherwise(
-        F.xxhash64(F.lit(3), *[F.get("tpl_words", F.col("tpl_pos") + i) for i in range(3)])
-    )
-    return placed.select(seed.alias("seed"), "tpl", "tpl_pos", F.slice("tpl_words", F.col("tpl_pos") + 1, F.col("k")).alias("gram"))
+def default_templates(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(label, text) for label, texts in TEMPLATES.items() for text in texts], "label string, text string")
 
 
-def _phrases() -> list[str]:
-    return [*BASE, *[p for ps in TEMPLATES.values() for p in ps]]
+def _templates(spark: SparkSession, templates: DataFrame) -> DataFrame:
+    """(tpl, label, base, k, tpl_words, n_grams) of the base phrases and of templates(label, text)."""
+    base = spark.createDataFrame([(i, label, True, p.split()) for i, (p, label) in enumerate(BASE.items())], "tpl long, label string, base boolean, tpl_words array<string>")
+    own = templates.filter("label IS NOT NULL").select("label", words(F.col("text")).alias("tpl_words")).distinct()
+    own = own.filter(F.size("tpl_words") >= K).select(F.xxhash64("label", "tpl_words").alias("tpl"), "label", F.lit(False).alias("base"), "tpl_words")
+    both = base.unionByName(own).withColumn("k", F.least(F.size("tpl_words"), F.lit(K)))
+    return written(both.withColumn("n_grams", F.size("tpl_words") - F.col("k") + 1), "license-templates")
 
 
-def _facts() -> list[tuple[int, str, bool, int]]:
-    """(tpl, label, base, k-grams) of every template."""
-    labels = [*BASE.values(), *[label for label, ps in TEMPLATES.items() for _ in ps]]
-    return [(t, labels[t], t < len(BASE), max(1, len(p.split()) - K + 1)) for t, p in enumerate(_phrases())]
+def _grams(templates: DataFrame) -> DataFrame:
+    """(seed, tpl, tpl_pos, gram) of every k-gram of the templates."""
+    placed = templates.withColumn("tpl_pos", F.explode(F.sequence(F.lit(0), F.col("n_grams") - 1)))
+    seed = F.when(F.col("k") == 2, _seed("tpl_words", F.col("tpl_pos"), 2)).otherwise(
+        F.xxhash64(F.lit(3), *[F.get("tpl_words", F.col("tpl_pos") + i) for i in range(3)])
+    )
+    return placed.select(seed.alias("seed"), "tpl", "tpl_pos", F.slice("tpl_words", F.col("tpl_pos") + 1, F.col("k")).alias("gram"))
 
 
-def votes(docs: DataFrame) -> DataFrame:
-    """(row_id, doc_id, n_words, tpl, pos, tpl_pos): every vote, and for every row one line with tpl null."""
-    spark = docs.sparkSession
+def votes(docs: DataFrame, templates: DataFrame) -> DataFrame:
+    """(row_id, doc_id, n_words, tpl, pos, tpl_pos): every vote, and for every row one line with tpl null; templates are _templates()."""
     tokens = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", words(F.col("text")).alias("words"))
     n = F.size("words")
     # position -1 stands for the row itself, so that texts without any vote keep their word count
@@ -89,15 +93,17 @@ def votes(docs: DataFrame) -> DataFrame:
     two = F.when(pos >= 0, F.xxhash64(F.lit(2), *[F.get("words", pos + i) for i in range(2)]))
     seeds = F.when(F.get("words", pos).isin(twos), F.array(three, two)).otherwise(F.array(three))
     seeded = placed.withColumn("seed", F.explode(seeds))
-    met = seeded.join(F.broadcast(_template_table(spark)), "seed", "left")
+    grams = written(_grams(templates), "license-grams")
+    met = seeded.join(F.broadcast(grams) if small_enough(grams, BROADCAST_ROWS) else grams, "seed", "left")
     same = _gram("words", pos, F.size("gram")) == F.col("gram")
     return met.filter((pos < 0) | same).select("row_id", "doc_id", n.alias("n_words"), "tpl", "pos", "tpl_pos")
 
 
-def places(found: DataFrame) -> DataFrame:
+def places(found: DataFrame, templates: DataFrame) -> DataFrame:
     """(row_id, tpl, label, base, first_word, coverage) of each merged span of votes."""
-    facts = F.broadcast(found.sparkSession.createDataFrame(_facts(), "tpl int, label string, base boolean, n_grams int"))
-    own = found.filter("tpl IS NOT NULL").select("row_id", "tpl", (F.col("pos") - F.col("tpl_pos")).alias("diagonal"), "tpl_pos", "pos").join(facts, "tpl")
+    facts = templates.select("tpl", "label", "base", "n_grams")
+    own = found.filter("tpl IS NOT NULL").select("row_id", "tpl", (F.col("pos") - F.col("tpl_pos")).alias("diagonal"), "tpl_pos", "pos")
+    own = own.join(F.broadcast(facts) if small_enough(facts, BROADCAST_ROWS) else facts, "tpl")
     by = Window.partitionBy("row_id", "tpl").orderBy("diagonal", "pos")
     step = F.col("diagonal") - F.lag("diagonal").over(by)
     new = F.when(step.isNull() | (step > F.when(F.col("base"), 0).otherwise(DRIFT)), 1).otherwise(0)
@@ -109,10 +115,12 @@ def places(found: DataFrame) -> DataFrame:
     return merged.drop("span")
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs(doc_id, text): words, base places, labels and score."""
-    found = written(votes(docs), "license-votes")
-    spans = places(found)
+def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
+    """One row for each row of docs(doc_id, text): words, base places, labels and score; templates are (label, text)."""
+    spark = docs.sparkSession
+    known = _templates(spark, default_templates(spark) if templates is None else templates)
+    found = written(votes(docs, known), "license-votes")
+    spans = places(found, known)
     whole = F.col("base") & (F.col("coverage") == 1)
     label = F.when(whole | (~F.col("base") & (F.col("coverage") >= COVERAGE)), F.col("label"))
     judged = spans.groupBy("row_id").agg(

@@ -1,25 +1,28 @@
 """Operator 3: quality classification by co-training of a text view and a page-metadata view.
 
 The text view sees which usual words the whole text has; the metadata view sees language, source, length, line, word and
-repetition statistics and the shares of some symbols. Each view has a logistic regression. They are fitted on labelled documents, then
-for ROUNDS rounds each view labels the documents of an unlabelled pool of which it is confident, and the other view is
-fitted anew with them. A part of the labelled documents is held out from all of that; on it each view is calibrated. The
-calibrated odds of both views, multiplied, score every document.
+repetition statistics and the shares of some symbols. A labelled document is good, poor (quality 0) or toxic, and each view has a
+multinomial logistic regression of these kinds, so that toxic words need not make up for good prose. They are fitted on labelled
+documents, then for ROUNDS rounds each view labels the documents of an unlabelled pool of whose kind it is confident, and the other
+view is fitted anew with them. A part of the labelled documents is held out from all of that; on it each view's odds of poor or
+toxic against good are calibrated. The calibrated odds of both views, multiplied, score every document with the
+probability that it is good; one below KEEP is rejected.
 
-A document is acceptable when its label says quality 1 and toxic 0, so toxic documents are rejected like poor ones. One is
-rejected when its calibrated probability is below KEEP.
+README.md has the shares of held-out documents kept and rejected at KEEP.
 
-Only the fit is bounded: at most MAX_LABELLED labelled rows and MAX_POOL unlabelled ones, both chosen by a hash of the
-doc_id, with their features in a table in the shared folder. Scoring reads every whole text.
+Only the fit is bounded: at most about MAX_LABELLED labelled rows, and half as many of the pool that may get labels, both chosen by a hash
+of the doc_id, with their features in a table in the shared folder. Scoring reads every whole text.
 
 Null texts count as empty, null languages and sources as "". Rows with a null doc_id are scored and never fitted on. Repeated
-rows get equal scores. Labels that are null, or that name no document, are not used. Where no labelled document of either kind
-is there to fit on, every document has score 1 and is kept. Extra columns are not read, and clashing names do no harm.
+rows get equal scores. Labels that are null, or that name no document, are not used; of several for one document the worst
+counts. Where good documents, or both other kinds, are missing among the labelled ones to fit on, every document has score 1 and is
+kept; a kind that is missing alone is never found. Extra columns are not read, and clashing names do no harm.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, FeatureHasher, VectorAssembler
@@ -30,19 +33,19 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.common import documents, written
 
 MAX_LABELLED = 20_000
-MAX_POOL = 10_000
 ROUNDS = 2
 CONFIDENT = 0.97
-KEEP = 0.35
-VOCABULARY = 20_000
-#: A word counts if it stands in more than this share of the documents of the fit.
-WORD_SHARE = 1 / 400
+#: More likely good than not.
+KEEP = 0.5
+VOCABULARY = 60_000
+#: A word counts if it stands in so many documents of the fit: an insult may be rare.
+WORD_DOCS = 3
 CATEGORY_DIMENSIONS = 64
 ITERATIONS = 40
 #: L1 weight: few words decide, the rest count nothing.
 PENALTY = 5e-3
-#: Tasks of each step of a fit; the fit's rows are bounded, so more would only wait for one another.
-FIT_TASKS = 6
+#: Rows of the fit for each task; its steps are short, and more tasks would only wait for one another.
+TASK_ROWS = 5_000
 _SYMBOLS = "!?#*$%&|@=<>{}"
 VIEWS = {"text_view": "text_score", "meta_view": "meta_score"}
 _PARTS = 1 << 40
@@ -83,13 +86,13 @@ def _sampled(ids: DataFrame, rows: int, seed: str) -> DataFrame:
 
 
 def fit_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(label, held, words, meta_view): the bounded labelled and unlabelled rows; label is null in the pool."""
-    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min(good.cast("double")).alias("label"))
+    """(label, held, words, meta_view): the bounded rows; label is 0 good, 1 poor, 2 toxic, and null in the pool."""
+    kind = F.when(F.coalesce("toxic", F.lit(0)) == 1, 2.0).when(F.col("quality") == 1, 0.0).otherwise(1.0)
+    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max(kind).alias("label"))
     chosen = written(_sampled(known, MAX_LABELLED, "labelled"), "fit-labels")
     narrow = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", "lang", "source")
     ids = narrow.select("doc_id")
-    pool = _sampled(ids, MAX_POOL, "pool").join(known.select("doc_id"), "doc_id", "left_anti").distinct()
+    pool = _sampled(ids, MAX_LABELLED // 2, "pool").join(known.select("doc_id"), "doc_id", "left_anti").distinct()
     pool = written(pool.withColumn("label", F.lit(None).cast("double")), "fit-pool")
     # both sides are bounded by the two parameters above
     picked = narrow.join(F.broadcast(chosen.unionByName(pool)), "doc_id").dropDuplicates(["doc_id"])
@@ -98,67 +101,78 @@ def fit_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _logistic(view: str) -> LogisticRegression:
-    return LogisticRegression(featuresCol=view, labelCol="label", maxIter=ITERATIONS, regParam=PENALTY, elasticNetParam=1.0, rawPredictionCol="raw", probabilityCol="probability", predictionCol="prediction")
+    return LogisticRegression(featuresCol=view, labelCol="label", family="multinomial", maxIter=ITERATIONS, regParam=PENALTY, elasticNetParam=1.0, rawPredictionCol="raw", probabilityCol="probability", predictionCol="prediction")
 
 
 def _score(model, rows: DataFrame, name: str) -> DataFrame:
-    """rows with the model's log-odds of the acceptable class."""
-    return model.transform(rows).withColumn(name, vector_to_array("raw")[1]).drop("raw", "probability", "prediction")
+    """rows with the model's log-odds of each other kind against good, an array."""
+    raw = vector_to_array("raw")
+    return model.transform(rows).withColumn(name, F.transform(raw, lambda x: x - raw[0])).drop("raw", "probability", "prediction")
+
+
+def _sure(model, pool: DataFrame) -> DataFrame:
+    """The rows of pool of whose kind the model is confident, with that label."""
+    p = vector_to_array("probability")
+    known = model.transform(pool).withColumn("label", F.when(F.array_max(p) >= CONFIDENT, F.col("prediction")))
+    return known.filter("label IS NOT NULL").drop("raw", "probability", "prediction")
 
 
 class CoTrained:
-    """Both views' models with their calibrations (slope, offset) and the prior odds; empty where nothing could be fitted."""
+    """Both views' models, their calibrations (slope, offset) and prior odds by kind; empty where nothing could be fitted."""
 
-    def __init__(self, vocabulary=None, models=None, calibrations=None, prior=1.0):
-        self.vocabulary, self.models, self.calibrations, self.prior = vocabulary, models, calibrations, prior
+    def __init__(self, vocabulary=None, models=None, calibrations=None, priors=None):
+        self.vocabulary, self.models, self.calibrations, self.priors = vocabulary, models, calibrations, priors
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """docs(doc_id, text, lang, source, ...) with text_score, meta_score (log-odds) and score (probability)."""
+        """docs(doc_id, text, lang, source, ...) with text_score, meta_score (log-odds of good) and score (its probability)."""
         rows = features(docs)
         if self.models is None:
             return rows.drop("words", "meta_view").withColumns({"text_score": F.lit(0.0), "meta_score": F.lit(0.0), "score": F.lit(1.0)})
         scored = self.vocabulary.transform(rows).drop("words")
-        odds = F.lit(-math.log(self.prior))
+        odds = {kind: F.lit(-math.log(prior)) for kind, prior in self.priors.items()}
         for view, name in VIEWS.items():
-            slope, offset = self.calibrations[view]
-            scored = _score(self.models[view], scored, name).drop(view).withColumn(name, F.col(name) * slope + offset)
-            odds = odds + F.col(name)
-        # views that are independent given the class: their calibrated odds multiply, the prior counts once
-        return scored.withColumn("score", 1 / (1 + F.exp(-odds)))
-
-
-def _calibrated(model, held: DataFrame) -> tuple[float, float]:
-    """Slope and offset that turn a view's log-odds into calibrated ones, from documents it was not fitted on."""
-    rows = VectorAssembler(inputCols=["odds"], outputCol="scores").transform(_score(model, held, "odds"))
-    fitted = LogisticRegression(featuresCol="scores", labelCol="label", maxIter=ITERATIONS, regParam=1e-3).fit(rows)
+            scored = _score(self.models[view], scored, "odds").drop(view)
+            own = {kind: F.col("odds")[kind] * slope + offset for kind, (slope, offset) in self.calibrations[view].items()}
+            # views that are independent given the kind: their calibrated odds multiply, the prior counts once
+            scored = scored.withColumns({f"{name}_{kind}": value for kind, value in own.items()}).drop("odds")
+            odds = {kind: value + F.col(f"{name}_{kind}") for kind, value in odds.items()}
+        all_of = lambda values: reduce(lambda a, b: a + b, [F.exp(v) for v in values])
+        out = scored.withColumn("score", 1 / (1 + all_of(odds.values())))
+        for name in VIEWS.values():
+            out = out.withColumn(name, -F.log(all_of([F.col(f"{name}_{kind}") for kind in odds])))
+        return out.drop(*[f"{name}_{kind}" for name in VIEWS.values() for kind in odds])
+
+
+def _calibrated(model, held: DataFrame, kind: int) -> tuple[float, float]:
+    """Slope and offset that turn a view's log-odds of a kind into calibrated ones, from documents it was not fitted on."""
+    rows = _score(model, held.filter(F.col("label").isin(0, kind)), "odds").select(F.col("odds")[kind].alias("x"), (F.col("label") == kind).cast("double").alias("label"))
+    fitted = LogisticRegression(featuresCol="scores", labelCol="label", maxIter=ITERATIONS, regParam=1e-3).fit(VectorAssembler(inputCols=["x"], outputCol="scores").transform(rows))
     return max(0.0, float(fitted.coefficients[0])), float(fitted.intercept)
 
 
 def co_train(table: DataFrame) -> CoTrained:
     """Fits both views in rounds on fit_table()'s rows."""
-    train = table.filter("label IS NOT NULL AND NOT held")
-    if train.select("label").distinct().count() < 2:
+    count = {(r.label, r.held): r.n for r in table.groupBy("label", "held").agg(F.count("*").alias("n")).collect()}
+    kinds = [k for k in (1, 2) if count.get((k, False))]
+    if not count.get((0, False)) or not kinds:
         return CoTrained()
-    least = max(2, int(table.count() * WORD_SHARE))
-    vocabulary = CountVectorizer(inputCol="words", outputCol="text_view", vocabSize=VOCABULARY, minDF=least, binary=True).fit(table)
-    table = written(vocabulary.transform(table).drop("words"), "fit-views").coalesce(FIT_TASKS)
+    n = sum(count.values())
+    vocabulary = CountVectorizer(inputCol="words", outputCol="text_view", vocabSize=VOCABULARY, minDF=min(WORD_DOCS, n), binary=True).fit(table)
+    tasks = max(1, min(n // TASK_ROWS, table.sparkSession.sparkContext.defaultParallelism))
+    table = written(vocabulary.transform(table).drop("words"), "fit-views").coalesce(tasks)
     train = table.filter("label IS NOT NULL AND NOT held")
     pool = table.filter("label IS NULL").drop("label")
     views = {"text_view": train, "meta_view": train}
     models = {}
     for r in range(ROUNDS + 1):
         models = {view: _logistic(view).fit(rows) for view, rows in views.items()}
-        if r == ROUNDS:
-            break
-        for view, other in (("text_view", "meta_view"), ("meta_view", "text_view")):
-            odds = F.log(F.lit(CONFIDENT / (1 - CONFIDENT)))
-            sure = _score(models[view], pool, "odds").filter(F.abs("odds") >= odds).withColumn("label", (F.col("odds") > 0).cast("double")).drop("odds")
-            views[other] = train.unionByName(sure)
-    held = table.filter("held")
-    if held.select("label").distinct().count() < 2:
-        held = train
-    share = held.agg(F.avg("label")).first()[0]
-    return CoTrained(vocabulary, models, {view: _calibrated(model, held) for view, model in models.items()}, share / (1 - share))
+        if r < ROUNDS:
+            views = {other: train.unionByName(_sure(models[view], pool)) for view, other in (("text_view", "meta_view"), ("meta_view", "text_view"))}
+    # kinds that the held-out rows lack are calibrated on the others
+    aside = all(count.get((k, True)) for k in (0, *kinds))
+    held = table.filter("held") if aside else train
+    priors = {k: count[k, aside] / count[0, aside] for k in kinds}
+    return CoTrained(vocabulary, models, {view: {k: _calibrated(model, held, k) for k in kinds} for view, model in models.items()}, priors)
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ min_revisit bytes the largest id is a response; the others are revisits without
 The reader plans byte ranges of the archives. A record belongs to the range in which its gzip member begins. Records of
 one segment are decoded where they are read; continuations are grouped by origin, ordered by segment number, held
 against the total length and the row of numbers, and then decoded. Segments of a record may lie in any archive.
-A record that misses a segment, has a wrong length or breaks its framing gets an error and no payload.
+A record that misses a segment, has a wrong length or breaks its framing gets an error and no payload. A gzip member that is damaged or
+cut short, and a record whose head is broken, become a row with an error alone, and reading goes on at the next member that holds
+a record.
 
 Null payloads are empty ones. Null urls are written as "about:blank". Ids are written as they are; rows with a null id
 get none, and equal payloads without any id are all responses. Rows that repeat the largest id of equal payloads are
@@ -58,7 +60,11 @@ def dechunked(body: bytes) -> bytes:
         size = int(body[at:end].partition(b";")[0], 16)
         at = end + 2
         if size == 0:
+            if body[at : at + 2] != b"\r\n" and b"\r\n\r\n" not in body[at:]:  # a blank line, or trailers and a blank line
+                raise ValueError("cut after the last chunk")
             return b"".join(parts)
+        if size < 0:
+            raise ValueError("broken chunk")
         part = body[at : at + size]
         if len(part) != size or body[at + size : at + size + 2] != b"\r\n":
             raise ValueError("broken chunk")
@@ -71,6 +77,10 @@ def record(fields: dict[str, str | int | None], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + f"{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
+def _uri(url: str | None) -> str:
+    return (url or "about:blank").replace("\r", "%0D").replace("\n", "%0A")
+
+
 def _gzip(data: bytes) -> bytes:
     z = zlib.compressobj(1, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
@@ -88,11 +98,11 @@ class _WarcWriter(DataSourceArrowWriter):
     def records(self, row: dict) -> Iterator[bytes]:
         key = "" if row["id"] is None else str(row["id"])
         own = f"<urn:uuid:{uuid.uuid4()}>"  # rows may repeat an id, records may not; a task's attempt that is not committed is not read
-        fields = {"WARC-Record-ID": own, "WARC-Date": _DATE, "WARC-Target-URI": (row["url"] or "about:blank").replace("\r", "%0D").replace("\n", "%0A"), "WARC-Payload-Digest": f"sha1:{row['digest']}", "Content-Type": "application/http;msgtype=response", "X-Archive-Key": key or None}
+        fields = {"WARC-Record-ID": own, "WARC-Date": _DATE, "WARC-Target-URI": _uri(row["url"]), "WARC-Payload-Digest": f"sha1:{row['digest']}", "Content-Type": "application/http;msgtype=response", "X-Archive-Key": key or None}
         payload = row["payload"] or b""
         if row["refers_to"] is not None:
             head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % row["n_bytes"]
-            yield record({"WARC-Type": "revisit"} | fields | {"WARC-Profile": _PROFILE, "X-Archive-Refers-To-Key": row["refers_to"]}, head)
+            yield record({"WARC-Type": "revisit"} | fields | {"WARC-Profile": _PROFILE, "WARC-Refers-To-Target-URI": _uri(row["refers_to_url"]), "WARC-Refers-To-Date": _DATE, "X-Archive-Refers-To-Key": row["refers_to"]}, head)
             return
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
         if len(block) <= self.segment:
@@ -145,9 +155,9 @@ class _Range(InputPartition):
 _MAGIC = b"\x1f\x8b\x08"
 
 
-def members(uri: str, start: int, end: int) -> Iterator[bytes]:
-    """The gzip members that begin in [start, end). A range that begins inside a member skips to the next one that
-    holds a WARC record; the bytes of the magic number may also occur inside a member."""
+def members(uri: str, start: int, end: int) -> Iterator[tuple[bytes, str | None]]:
+    """(content, error) of the gzip members that begin in [start, end). A range that begins inside a member, and one that goes on
+    after a damaged member, skips to the next that holds a WARC record; the bytes of the magic number may also occur inside a member."""
     store, path = open_store(uri)
     with store.open_input_file(path) as src:
         size = src.size()
@@ -170,36 +180,69 @@ def members(uri: str, start: int, end: int) -> Iterator[bytes]:
             except zlib.error:
                 return False
 
-        while start and not begins():
-            found = data.find(_MAGIC, at + 1)
-            if found < 0:
-                at = max(at, len(data) - len(_MAGIC) + 1)
-                if not more():
-                    return
-            else:
-                at = found
-            if base + at >= end:
-                return
+        def skip() -> bool:
+            """Moves on to the next member that holds a record; False where none begins in the range."""
+            nonlocal at
+            while not begins():
+                found = data.find(_MAGIC, at + 1)
+                if found < 0:
+                    at = max(at, len(data) - len(_MAGIC) + 1)
+                    if not more():
+                        return False
+                else:
+                    at = found
+                if base + at >= end:
+                    return False
+            return True
+
+        if start and not skip():
+            return
         while base + at < end:
-            z, parts = zlib.decompressobj(31), []
-            while not z.eof:
+            first = base + at
+            z, parts, error = zlib.decompressobj(31), [], None
+            while not z.eof and error is None:
                 if at >= len(data) and not more():
-                    if parts:
-                        raise OSError(f"{uri} ends inside a member")
-                    return
+                    if first == base + at:
+                        return
+                    error = "the member is cut short"
+                    break
                 piece = data[at : at + STEP]
-                parts.append(z.decompress(piece))
-                at += len(piece) - len(z.unused_data)
-            yield b"".join(parts)
+                try:
+                    parts.append(z.decompress(piece))
+                    at += len(piece) - len(z.unused_data)
+                except zlib.error as e:
+                    error = str(e)
+            if error is None:
+                yield b"".join(parts), None
+                continue
+            yield b"", f"{uri} at {first}: {error}"
+            # look again from right behind the member's first byte; what was read past may hold the next one
+            src.seek(first + 1)
+            base, at = first + 1, 0
+            data = src.read(RANGE_BYTES)
+            if not data or base >= end or not skip():
+                return
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
-    head, _, rest = data.partition(b"\r\n\r\n")
+    """The fields by lower-case name and the block; ValueError where the head is broken or the block is not whole."""
+    head, blank, rest = data.partition(b"\r\n\r\n")
+    if not blank or not head.startswith(b"WARC/"):
+        raise ValueError("no head of a record")
     fields = {}
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         k, _, v = line.partition(":")
         fields[k.strip().lower()] = v.strip()
-    return fields, rest[: int(fields["content-length"])]
+    for name in ("warc-type", "warc-record-id", "content-length"):
+        if name not in fields:
+            raise ValueError(f"no {name}")
+    for name in ("content-length", "warc-segment-number", "warc-segment-total-length", "x-archive-key", "x-archive-refers-to-key"):
+        if name in fields and not fields[name].lstrip("-").isdecimal():
+            raise ValueError(f"{name} is no number")
+    n = int(fields["content-length"])
+    if n < 0 or len(rest) < n:
+        raise ValueError("the block is cut short")
+    return fields, rest[:n]
 
 
 class _WarcReader(DataSourceReader):
@@ -218,13 +261,19 @@ class _WarcReader(DataSourceReader):
 
         if not partition.uri:
             return
-        names = ["record_type", "record_id", "key", "origin_id", "segment", "total_length", "digest", "refers_to", "block"]
-        types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+        names = ["record_type", "record_id", "key", "origin_id", "segment", "total_length", "digest", "refers_to", "block", "error"]
+        types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()]
         rows, held = [], 0
         number = lambda v: None if v is None else int(v)
-        for data in members(partition.uri, partition.start, partition.end):
-            f, block = parse_record(data)
-            rows.append((f["warc-type"], f["warc-record-id"], number(f.get("x-archive-key")), f.get("warc-segment-origin-id"), number(f.get("warc-segment-number")), number(f.get("warc-segment-total-length")), f.get("warc-payload-digest", "").removeprefix("sha1:") or None, number(f.get("x-archive-refers-to-key")), block))
+        for data, error in members(partition.uri, partition.start, partition.end):
+            try:
+                if error is not None:
+                    raise ValueError(error)
+                f, block = parse_record(data)
+            except ValueError as e:
+                rows.append((*[None] * 9, str(e)))
+                continue
+            rows.append((f["warc-type"], f["warc-record-id"], number(f.get("x-archive-key")), f.get("warc-segment-origin-id"), number(f.get("warc-segment-number")), number(f.get("warc-segment-total-length")), f.get("warc-payload-digest", "").removeprefix("sha1:") or None, number(f.get("x-archive-refers-to-key")), block, None))
             held += len(block)
             if held >= 4 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -234,14 +283,14 @@ class _WarcReader(DataSourceReader):
 
 
 class WarcArchives(DataSource):
-    """spark.read / df.write .format("warc_archives"); the writer takes id, url, payload, digest, n_bytes, refers_to."""
+    """spark.read / df.write .format("warc_archives"); the writer takes id, url, payload, digest, n_bytes, refers_to, refers_to_url."""
 
     @classmethod
     def name(cls) -> str:
         return "warc_archives"
 
     def schema(self) -> str:
-        return "record_type string, record_id string, key long, origin_id string, segment int, total_length long, digest string, refers_to long, block binary"
+        return "record_type string, record_id string, key long, origin_id string, segment int, total_length long, digest string, refers_to long, block binary, error string"
 
     def reader(self, schema) -> DataSourceReader:
         return _WarcReader(self.options)
@@ -260,21 +309,35 @@ def write_warc(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES,
     spark.dataSource.register(WarcArchives)
     full = pages.select("id", "url", F.coalesce("payload", F.lit(b"")).alias("payload"))
     full = full.withColumn("digest", F.sha1("payload")).withColumn("n_bytes", F.octet_length("payload").cast("long"))
-    large = full.filter(F.col("n_bytes") >= min_revisit).select("digest", "id")
-    copied = written(large.groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").drop("n"), "warc-copies")
+    large = full.filter(F.col("n_bytes") >= min_revisit).select("digest", "id", "url")
+    copied = written(large.groupBy("digest").agg(F.max("id").alias("first"), F.max_by("url", "id").alias("refers_to_url"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").drop("n"), "warc-copies")
     side = F.broadcast(copied) if small_enough(copied, BROADCAST_ROWS) else copied
     marked = full.join(side, "digest", "left")
     refers = F.when((F.col("n_bytes") >= min_revisit) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
     marked = marked.withColumn("refers_to", refers)
     payload = F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload")
-    marked.select("id", "url", payload, "digest", "n_bytes", "refers_to").write.format("warc_archives").option("segment_bytes", segment_bytes).mode("append").save(path)
+    marked.select("id", "url", payload, "digest", "n_bytes", "refers_to", "refers_to_url").write.format("warc_archives").option("segment_bytes", segment_bytes).mode("append").save(path)
+
+
+def _assembled(cut: DataFrame) -> DataFrame:
+    """cut(..., parts array<binary>, error) with the parts joined to a block, none where there is an error."""
+
+    def join(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            blocks = [None if e is not None else b"".join(p.as_py()) for p, e in zip(batch.column("parts"), batch.column("error").to_pylist(), strict=True)]
+            kept = [batch.column(c) for c in ("key", "record_type", "digest", "refers_to")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(blocks, pa.binary()), batch.column("error")], names=["key", "record_type", "digest", "refers_to", "block", "error"])
+
+    return cut.mapInArrow(join, "key long, record_type string, digest string, refers_to long, block binary, error string")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(key, record_type, digest, refers_to, block, error): whole records, continuations put together."""
     spark.dataSource.register(WarcArchives)
     parts = spark.read.format("warc_archives").load(path)
-    whole = parts.filter("segment IS NULL").select("key", "record_type", "digest", "refers_to", "block", F.lit(None).cast("string").alias("error"))
+    whole = parts.filter("segment IS NULL").select("key", "record_type", "digest", "refers_to", "block", "error")
     cut = parts.filter("segment IS NOT NULL").withColumn("origin", F.coalesce("origin_id", "record_id"))
     piece = F.struct("segment", "block", "total_length", "key", "record_type", "digest", "refers_to")
     grouped = cut.groupBy("origin").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
@@ -286,13 +349,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         .when(total.isNull(), "the last segment is missing")
         .when(total != length, "the total length is wrong")
     )
-    block = F.aggregate("pieces", F.lit(b"").cast("binary"), lambda b, p: F.concat(b, p["block"]))
     head = F.col("pieces")[0]
-    joined = grouped.select(
+    found = grouped.select(
         head["key"].alias("key"), head["record_type"].alias("record_type"), head["digest"].alias("digest"), head["refers_to"].alias("refers_to"),
-        F.when(error.isNull(), block).alias("block"), error.alias("error"),
+        F.transform("pieces", lambda p: p["block"]).alias("parts"), error.alias("error"),
     )
-    return whole.unionByName(joined)
+    return whole.unionByName(_assembled(found))
 
 
 def payloads(records: DataFrame) -> DataFrame:

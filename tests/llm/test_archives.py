@@ -11,11 +11,55 @@ from ledgerlake.llm.common import open_store, read_manifest, shared_dir
 def test_chunks_round_trip():
     for payload in (b"", b"x", b"\r\n" * 3000, bytes(range(256)) * 100):
         assert warc.dechunked(warc.chunked(payload, 1000)) == payload
-    for broken in (b"", b"5\r\nabc", b"3\r\nabcXX0\r\n\r\n", b"zz\r\n"):
+    for broken in (b"", b"5\r\nabc", b"3\r\nabcXX0\r\n\r\n", b"zz\r\n", b"3\r\nabc\r\n0\r\n", b"-3\r\nabc\r\n0\r\n\r\n"):
         with pytest.raises(ValueError):
             warc.dechunked(broken)
 
 
+def test_trailers_are_skipped():
+    assert warc.dechunked(b"3;x=y\r\nabc\r\n0\r\nX-Sum: 1\r\n\r\n") == b"abc"
+
+
+def rewritten(path, change):
+    """Changes the bytes of the first archive of path."""
+    e = max(read_manifest(path), key=lambda e: e["bytes"])
+    store, name = open_store(f"{path}/{e['file']}")
+    with store.open_input_file(name) as src:
+        data = change(src.read())
+    with store.open_output_stream(name, compression=None) as out:
+        out.write(data)
+
+
+def test_broken_records_become_rows_with_errors(spark):
+    rows = [(i, "u", f"page {i} " * 40) for i in range(30)]
+    broken = [b"WARC/1.1\r\nWARC-Type: response\r\n\r\nx", b"no head", warc.record({"WARC-Type": "response", "WARC-Record-ID": "<a>", "X-Archive-Key": "n/a"}, b""),
+              b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <b>\r\nContent-Length: 99\r\n\r\nshort"]
+
+    def heads(data):
+        return data[:0] + b"".join(warc._gzip(b) for b in broken) + data
+
+    def damaged(data):
+        second = data.index(warc._MAGIC, 10)
+        return data[: second + 40] + bytes(20) + data[second + 60 :]
+
+    def cut(data):
+        return data[:-30]
+
+    for change, lost, errors in ((heads, 0, 4), (damaged, 1, 1), (cut, 1, 1)):
+        path = shared_dir(spark, "w")
+        df = spark.createDataFrame([(a, b, c.encode()) for a, b, c in rows], "id long, url string, payload binary").coalesce(1)
+        warc.write_warc(df, path)
+        rewritten(path, change)
+        entries = read_manifest(path)
+        store, name = open_store(f"{path}/{entries[0]['file']}")
+        entries[0]["bytes"] = store.get_file_info(name).size
+        warc.write_manifest(path, entries)
+        got = warc.payloads(warc.read_warc(spark, path)).collect()
+        whole = {r.key for r in got if r.error is None}
+        assert len(whole) == 30 - lost and sum(r.error is not None for r in got) == errors
+        assert all(r.payload is None for r in got if r.error is not None)
+
+
 def pages():
     rng = random.Random(1)
     big = "big é page " * 9000

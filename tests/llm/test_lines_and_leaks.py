@@ -160,3 +160,52 @@ def test_license_scan(spark):
     assert by[12].labels == "" and 0 < by[12].score < 0.7
     assert all(0 <= r.score <= 1 for r in got)
     assert licenses.scan(docs.select("doc_id", "text").limit(0)).count() == 0
+
+
+def plain_labels(text, templates):
+    """Labels and score by votes kept in plain lists; base phrases count where they stand."""
+    w, labels, best = words(text), set(), 0.0
+    for phrase, label in licenses.BASE.items():
+        p = phrase.split()
+        if any(w[i : i + len(p)] == p for i in range(len(w))):
+            labels.add(label)
+            best = 1.0
+    for label, template in templates:
+        t = words(template)
+        grams = max(1, len(t) - 2)
+        votes = sorted((pos - at, pos, at) for pos in range(len(w) - 2) for at in range(len(t) - 2) if w[pos : pos + 3] == t[at : at + 3])
+        spans, last = [], None
+        for diagonal, _, at in votes:
+            if last is None or diagonal - last > licenses.DRIFT:
+                spans.append(set())
+            spans[-1].add(at)
+            last = diagonal
+        for span in spans:
+            best = max(best, len(span) / grams)
+            if len(span) / grams >= licenses.COVERAGE:
+                labels.add(label)
+    return ",".join(sorted(labels)), round(best, 4)
+
+
+def test_votes_and_merged_diagonals_equal_plain_lists(spark, monkeypatch):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(25)] + ["cc", "by", "é"]
+    whole = " ".join(rng.choices(vocabulary, k=400))
+    templates = [("long-1.0", whole), ("short", " ".join(rng.choices(vocabulary, k=9))), ("short", "two words"), ("echo", "w1 w2 " * 6), ("empty", None)]
+    rows = []
+    for i in range(40):
+        part = whole.split() if i % 2 else templates[1 + i % 4 // 3][1].split()
+        kept = [x for x in part if rng.random() > 0.02 * (i % 6)]
+        for _ in range(i % 4):
+            kept.insert(rng.randrange(len(kept) + 1), "inserted")
+        rows.append((i, " ".join(rng.choices(vocabulary, k=20) + kept + rng.choices(vocabulary, k=20) + (["w1", "w2"] * (i % 5)))))
+    rows += [(90, None), (91, ""), (None, whole)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame(templates + [templates[0]], "label string, text string")
+    want = sorted(((d, *plain_labels(t, templates)) for d, t in rows), key=str)
+    assert {"long-1.0", "short", "echo"} <= {x for _, labels, _ in want for x in labels.split(",")}
+    for limit in (500_000, 0):
+        monkeypatch.setattr(licenses, "BROADCAST_ROWS", limit)
+        got = sorted(((r.doc_id, r.labels, r.score) for r in licenses.scan(docs, table).collect()), key=str)
+        assert got == want
+    assert all(r.labels == "" for r in licenses.scan(docs.filter("doc_id = 90"), table.limit(0)).collect())

@@ -1,7 +1,12 @@
+import hashlib
 import os
 import random
+import re
+import string
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlake.llm import quality, secrets
 
@@ -40,6 +45,40 @@ def test_co_training_rejects_junk_and_toxic_documents(spark):
     assert {r.doc_id for r in kept.collect()} == {d for d, r in got.items() if r.keep}
 
 
+def raw_odds(model, x):
+    raw = np.array([r @ x.toArray() for r in model.coefficientMatrix.toArray()]) + model.interceptVector.toArray()
+    return raw - raw[0]
+
+
+def test_exchange_and_score_equal_plain_versions(spark, monkeypatch):
+    monkeypatch.setattr(quality, "CONFIDENT", 0.6)  # the fixture is small, its models are less sure
+    rows = documents()
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(a, int(k != 0), int(k == 1)) for a, _, _, _, k in rows if a % 10 < 7], "doc_id long, quality int, toxic int")
+    table = quality.fit_table(docs, labels)
+    kinds = {r.label for r in table.collect()}
+    assert kinds == {0.0, 1.0, 2.0, None} and table.filter("label IS NULL AND held").count() == 0
+    trained = quality.co_train(table)
+    for view, model in trained.models.items():  # which of the pool get labels, and which
+        pool = trained.vocabulary.transform(table.filter("label IS NULL")).drop("label")
+        want = []
+        for r in pool.collect():
+            p = np.exp(raw_odds(model, r[view]))
+            p /= p.sum()
+            if p.max() >= quality.CONFIDENT:
+                want.append(float(p.argmax()))
+        got = [r.label for r in quality._sure(model, pool).collect()]
+        assert sorted(got) == sorted(want) and got
+    scored = {r.doc_id: r for r in trained.score(docs).collect()}
+    for r in trained.vocabulary.transform(quality.features(docs)).limit(60).collect():
+        odds = {k: -np.log(prior) for k, prior in trained.priors.items()}
+        for view, model in trained.models.items():
+            own = {k: raw_odds(model, r[view])[k] * slope + offset for k, (slope, offset) in trained.calibrations[view].items()}
+            assert abs(scored[r.doc_id][quality.VIEWS[view]] + np.log(sum(map(np.exp, own.values())))) < 1e-6
+            odds = {k: v + own[k] for k, v in odds.items()}
+        assert abs(scored[r.doc_id].score - 1 / (1 + sum(map(np.exp, odds.values())))) < 1e-9
+
+
 def test_odd_rows_and_missing_labels(spark):
     rows = [(None, None, None, None), (1, "", "en", "s"), (1, "", "en", "s"), (2, "word " * 50_000, None, "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
@@ -62,7 +101,7 @@ def test_held_out_accuracy(spark):
     assert len(got) > 500
     assert sum(clean) / len(clean) > 0.97
     assert sum(poor) / len(poor) < 0.1
-    assert sum(toxic) / len(toxic) < 0.5
+    assert sum(toxic) / len(toxic) < 0.2
 
 
 def secret_rows():
@@ -101,3 +140,94 @@ def test_secrets_are_found_in_unspaced_forms(spark):
     assert all(named[x] == (1, 1) for x in [(0, "0a1B2c3D4e"), (1, "hunterxyz"), (2, "Zx81kkQp"), (3, "s3cretpw"), (4, "0123456789abcdef0123"), (5, "x1y2z3w4")])
     labels = {(r.doc_id, r.label) for r in secrets.rule_labels(features).collect()}
     assert (4, 1.0) in labels
+
+
+def planted(n=600):
+    """(text, secrets in it): findings that rules label, findings that none does, and false positives of many shapes."""
+    rng = random.Random(12)
+    hexes = lambda k: "".join(rng.choices("0123456789abcdef", k=k))
+    mixed = lambda k: "".join(rng.choices(string.ascii_letters + string.digits, k=k))
+    words = ["".join(rng.choices("aeioulnrst", k=rng.randint(3, 9))) for _ in range(200)]
+    out = []
+    for i in range(n):
+        kind, value = i % 14, None
+        if kind == 0:
+            extra = f'token = "{(value := hexes(40))}"'
+        elif kind == 1:
+            extra = f"api_key: {(value := mixed(32))}"
+        elif kind == 2:
+            extra = "id " + (value := "AKIA" + "".join(rng.choices(string.ascii_uppercase + string.digits, k=16)))
+        elif kind == 3:
+            extra = f"-----BEGIN PRIVATE KEY-----\n{(value := mixed(64))}\n-----END PRIVATE KEY-----"
+        elif kind == 4:  # no rule labels the next three
+            extra = f"the value {(value := hexes(40))} leaked"
+        elif kind == 5:
+            extra = f"secret {(value := mixed(24))} here"
+        elif kind == 6:
+            extra = f"see {(value := mixed(32))} and"
+        else:
+            extra = [f"name.{i}@mail.example.com", "extraordinarily" + rng.choice(words), str(rng.randrange(10**15, 10**16)), f"report-{rng.choice(words)}-2024-01-{i % 28 + 1:02}",
+                     f"/usr/share/{rng.choice(words)}/{rng.choice(words)}/{rng.choice(words)}.txt", f"https://www.{rng.choice(words)}.example.org/{rng.choice(words)}/{rng.choice(words)}", "10.20.30.140"][kind - 7]
+        out.append((" ".join(rng.choices(words, k=12)) + f" {extra} " + " ".join(rng.choices(words, k=12)), value, kind))
+    return out
+
+
+def test_planted_secrets_are_found(spark):
+    rows = planted()
+    docs = spark.createDataFrame([(i, t, f"s{i % 3}", "en") for i, (t, _, _) in enumerate(rows)], "doc_id long, text string, source string, lang string")
+    got = secrets.scan(docs).collect()
+    found = {(r.doc_id, r.value_sha256) for r in got if r.is_secret}
+    want = {(i, hashlib.sha256(v.encode()).hexdigest()): k for i, (_, v, k) in enumerate(rows) if v}
+    assert len(found & set(want)) / len(want) >= 0.9
+    unlabelled = {x for x, k in want.items() if k >= 4}
+    assert len(found & unlabelled) / len(unlabelled) >= 0.9
+    assert len(found & set(want)) / len(found) >= 0.9
+
+
+def plain_candidates(text):
+    """(word, part, value) by the rules in the docstring."""
+    out, all_words = set(), re.split(r"\s+", text)
+    for at, word in enumerate(all_words):
+        if len(word) < 8:
+            continue
+        near = lambda i: all_words[at + i] if 0 <= at + i < len(all_words) else ""  # noqa: B023, E731
+        raw = re.sub(r"(://[^\s/@:\"']*):([^\s/@\"']+)@", r"\1 password=\2 ", word) if "://" in word else word
+        parts = re.findall(r"[A-Za-z0-9+/_.@~-]+[\"'`]*[:=]*", raw)
+        row = [near(-2), near(-1), *parts]
+        for part, piece in enumerate(parts):
+            value = piece.strip("\"'`!#$%&*,;:()[]{}<>.?|")
+            named = any(re.search(r"(?i)(token|secret|passw|api.?key|access.?key|private.?key|credential|auth)", x) for x in row[part : part + 2])
+            odd = re.search("[0-9]|[a-z][A-Z]", value) or named
+            if len(piece) >= 8 and len(value) >= 8 and (len(value) >= 16 or odd) and re.fullmatch(r"[A-Za-z0-9+/_=.@~-]+", value):
+                out.add((at, part, value))
+    return out
+
+
+def test_candidates_and_features_equal_plain_versions(spark):
+    rows = planted(60)
+    texts = [t for t, _, _ in rows] + ['api_key="0a1B2c3D4e"', "postgres://admin:s3cretpw@db.example.com/x", "a=b=c==0123456789abcdef", "ünïcödé-wörd-0123456789 x"]
+    docs = spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    found = secrets.candidates(docs)
+    assert {(r.doc_id, r.word, r.part, r.value) for r in found.collect()} == {(i, *c) for i, t in enumerate(texts) for c in plain_candidates(t)}
+    grams = secrets.corpus_grams(docs)
+    n = {r.gram: r.n for r in grams.collect()}
+    for r in secrets.with_features(found, grams).collect():
+        v = r.value.lower()
+        runs = [v[i : i + 3] for i in range(len(v) - 2)]
+        assert abs(r.coverage - np.mean([g in n for g in runs])) < 1e-9
+        assert abs(r.transition - np.mean([np.log1p(n.get(g, 0)) for g in runs])) < 1e-9
+        kinds = re.sub("0+", "0", re.sub("a+", "a", re.sub("[^a0]", "-", re.sub("[0-9]", "0", re.sub("[A-Za-z]", "a", r.value)))))
+        assert abs(r.f_changes - len(kinds) / len(v)) < 1e-9 and r.f_length == len(v)
+
+
+def test_findings_may_be_a_table_and_texts_of_one_id_are_apart(spark):
+    rows = [(1, "before 0123456789abcdef0123 after"), (1, "before extraordinarilyplain after")]
+    rows += [(i, f"before {i:020} after" if i % 2 else f"before ordinarywordsoflength{'abcdefghij'[i % 10]} after") for i in range(2, 60)]
+    docs = spark.createDataFrame([(d, t, "s", "en") for d, t in rows], "doc_id long, text string, source string, lang string")
+    found = secrets.candidates(docs)
+    labels = found.select("doc_id", "text_hash", "word", "part", F.col("value").rlike("[0-9]").cast("double").alias("label"))
+    got = secrets.scan(docs, labels).collect()
+    assert len(got) == 60 and all(r.is_secret == (r.length == 20) for r in got if r.doc_id > 1)
+    assert [r.is_secret for r in got if r.doc_id == 1 and r.length == 20] == [True] and len([r for r in got if r.doc_id == 1]) == 2
+    again = secrets.scan(docs.repartition(3), labels.unionByName(labels)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
