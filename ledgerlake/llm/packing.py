@@ -2,8 +2,9 @@
 
 Terms are token ids. Texts are encoded once and their ids written to the shared folder; document frequencies, the number of
 documents and their mean length are then counted over all of them, so every shard weighs its terms alike. Documents are dealt into shards
-by content: a document's place is a row of three terms, each drawn from its own terms by a weighted min-hash, so two
-documents share a place the more likely the more idf weight their terms have in common, and copies always do. Documents are put in
+by content: a document's place is a row of three terms, each drawn from the terms of its last window by a weighted min-hash, so two
+documents share a place the more likely the more idf weight their terms have in common, and copies always do. (Windows before
+the last one of a long document hold nothing else, so it is the last one that needs neighbours.) Documents are put in
 order of their places and cut into shards of at most SHARD_DOCS documents and about SHARD_IDS ids. A frequent place, such as
 that of many copies, is spread over shards by a hash of the document.
 
@@ -46,29 +47,40 @@ def idf(df: np.ndarray, n: int) -> np.ndarray:
     return np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5)))
 
 
+def distinct(docs: list[np.ndarray], terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, id, count) of the distinct ids of each document, in that order; all ids are below terms."""
+    sizes = [len(d) for d in docs]
+    wide = np.uint32 if len(docs) * terms < 1 << 32 else np.uint64
+    key = np.repeat(np.arange(len(docs), dtype=wide) * wide(terms), sizes) + (np.concatenate(docs).astype(wide) if docs else np.zeros(0, wide))
+    key.sort()
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    count = np.diff(np.append(first, len(key)))
+    doc, ids = np.divmod(key[first], wide(terms))
+    return doc.astype(np.int32), ids.astype(np.int64), count
+
+
 class Index:
     """BM25 postings of a shard: for each term the documents that hold it and what each adds for one query occurrence."""
 
     def __init__(self, docs: list[np.ndarray], weight: np.ndarray, mean: float):
         """weight is the idf of each id, mean the mean length, both over all documents of all shards."""
         self.n = len(docs)
-        terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True) if docs else ((), ())
-        sizes = np.array([len(t) for t in terms], np.int64)
-        ids = np.concatenate(terms).astype(np.int64) if len(terms) else np.zeros(0, np.int64)
-        count = np.concatenate(counts) if len(counts) else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
-        ids, term, df = np.unique(ids, return_inverse=True, return_counts=True)
-        own = weight[ids]
-        useful = (df > 1) & (own > 0)
-        keep = useful[term]
-        term, doc, count = term[keep], doc[keep], count[keep]
+        doc, ids, count = distinct(docs, len(weight))
+        df = np.bincount(ids, minlength=len(weight))
+        keep = ((df > 1) & (weight > 0))[ids]
+        ids, doc, count = ids[keep], doc[keep], count[keep]
+        held = np.flatnonzero(np.bincount(ids, minlength=len(weight)))
+        number = np.zeros(len(weight), np.uint32)
+        number[held] = np.arange(len(held))
+        term = number[ids]
         length = np.array([len(d) for d in docs], np.float64)
         norm = K1 * (1 - B + B * length / max(1.0, mean))
-        order = np.argsort(term, kind="stable")
+        # numbers of 16 bits are sorted in linear time
+        order = np.argsort(term.astype(np.uint16) if len(held) <= 1 << 16 else term, kind="stable")
         self.post_doc = doc[order]
         tf = count[order]
-        self.post_weight = (own[term[order]] * tf * (K1 + 1) / (tf + norm[self.post_doc])).astype(np.float32)
-        self.start = np.searchsorted(term[order], np.arange(len(df) + 1))
+        self.post_weight = (weight[ids[order]] * tf * (K1 + 1) / (tf + norm[self.post_doc])).astype(np.float32)
+        self.start = np.append(0, np.cumsum(df[held]))
         #: The terms of each document that have postings.
         self.query_start = np.searchsorted(doc, np.arange(self.n + 1))
         self.query_term = term
@@ -147,10 +159,9 @@ def _statistics(encoded: DataFrame, kind: str, terms: int) -> tuple[np.ndarray,
 
         df, n, total = np.zeros(terms, np.int64), 0, 0
         for batch in batches:
-            for ids in batch.column(0):
-                own = np.frombuffer(ids.as_py(), kind)
-                df[np.unique(own)] += 1
-                n, total = n + 1, total + len(own)
+            own = [np.frombuffer(ids.as_py(), kind) for ids in batch.column(0)]
+            df += np.bincount(distinct(own, terms)[1], minlength=terms)
+            n, total = n + len(own), total + sum(map(len, own))
         at = np.append(np.flatnonzero(df), [-1, -2])
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.append(df[at[:-2]], [n, total]), pa.int64())], names=["term", "n"])
 
@@ -170,13 +181,16 @@ def _race(weight: np.ndarray) -> np.ndarray:
         return np.where(weight > 0, draws / weight, np.inf)
 
 
-def place(ids: np.ndarray, race: np.ndarray) -> list[int]:
-    """The terms that a document draws; -1 for a document without any term that has weight."""
-    if not len(ids):
-        return [-1] * len(race)
-    own = race[:, ids]
-    at = own.argmin(axis=1)
-    return [int(ids[j]) if own[p, j] < np.inf else -1 for p, j in enumerate(at.tolist())]
+def places(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, race: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """The terms that documents values[start:end] draw, a row each; -1 for one without any term that has weight."""
+    spans = np.stack([np.maximum(starts, ends - window), ends], axis=1).ravel()
+    found = np.full((len(starts), len(race)), -1, np.int64)
+    for p, numbers in enumerate(race):
+        least = np.minimum.reduceat(np.append(numbers[values], np.inf), spans)[::2] if len(starts) else np.zeros(0)
+        by = np.argsort(numbers)
+        drawn = by[np.minimum(np.searchsorted(numbers, least, sorter=by), len(by) - 1)]
+        found[:, p] = np.where((least < np.inf) & (ends > starts), drawn, -1)
+    return found
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
@@ -192,7 +206,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, sha
 
         race = _race(weight.value)
         for batch in batches:
-            found = np.array([place(np.frombuffer(i.as_py(), kind), race) for i in batch.column(1)], np.int64).reshape(-1, PLACES)
+            texts = [i.as_py() for i in batch.column(1)]
+            ends = np.cumsum([len(t) for t in texts], dtype=np.int64) // np.dtype(kind).itemsize
+            found = places(np.frombuffer(b"".join(texts), kind), np.append(0, ends)[:-1][: len(texts)], ends, race, window)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in found.T)], names=["doc_id", "ids", "p0", "p1", "p2"])
 
     rows = encoded.mapInArrow(placed, "doc_id long, ids binary, p0 long, p1 long, p2 long")

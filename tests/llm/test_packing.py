@@ -69,16 +69,23 @@ def test_windows_are_filled_with_the_best_unused_neighbours():
 def test_copies_and_near_copies_share_a_place():
     rng = np.random.default_rng(3)
     weight = rng.random(2000) * 8
+    weight[:100] = 0
     race = packing._race(weight)
-    same = 0
+    docs = []
     for _ in range(200):
         ids = rng.integers(0, 2000, 200)
         near = ids.copy()
         near[:10] = rng.integers(0, 2000, 10)
-        assert packing.place(ids, race) == packing.place(ids[::-1].copy(), race)
-        same += packing.place(ids, race)[0] == packing.place(near, race)[0]
-    assert same > 150
-    assert packing.place(np.zeros(0, "<u2"), race) == packing.place(np.array([5]), np.full((3, 9), np.inf)) == [-1] * 3
+        docs += [ids, ids[::-1].copy(), near]
+    docs += [np.zeros(0, int), np.array([5, 6]), np.append(rng.integers(0, 2000, 900), docs[0])]
+    ends = np.cumsum([len(d) for d in docs])
+    found = packing.places(np.concatenate(docs), np.append(0, ends)[:-1], ends, race, 200)
+    for d, got in zip(docs, found.tolist(), strict=True):
+        own = race[:, d[-200:]]
+        assert got == [int(d[-200:][j]) if own[p, j] < np.inf else -1 for p, j in enumerate(own.argmin(axis=1))] if len(d) else [-1] * 3
+    assert (found[:600:3] == found[1:600:3]).all() and found[-1].tolist() == found[0].tolist()
+    assert (found[:600:3, 0] == found[2:600:3, 0]).mean() > 0.75
+    assert packing.places(np.zeros(0, "<u2"), np.zeros(0, int), np.zeros(0, int), race).shape == (0, 3)
 
 
 def test_statistics_are_of_all_documents(spark):
