@@ -1,6 +1,6 @@
 """Operator 3: quality classification by co-training of a text view and a page-metadata view.
 
-The text view sees which usual words the whole text has; the metadata view sees language, source, length, line, word and
+The text view sees which of the telling words the whole text has; the metadata view sees language, source, length, line, word and
 repetition statistics and the shares of some symbols. A labelled document is good, poor (quality 0) or toxic, and each view has a
 multinomial logistic regression of these kinds, so that toxic words need not make up for good prose. They are fitted on labelled
 documents, then for ROUNDS rounds each view labels the documents of an unlabelled pool of whose kind it is confident, and the other
@@ -25,7 +25,7 @@ import math
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, FeatureHasher, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, FeatureHasher, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +37,9 @@ ROUNDS = 2
 CONFIDENT = 0.97
 #: More likely good than not.
 KEEP = 0.5
-VOCABULARY = 60_000
-#: A word counts if it stands in so many documents of the fit: an insult may be rare.
+#: Words of the text view: those whose shares of documents differ most between a kind and the good ones, by chi-square.
+VOCABULARY = 10_000
+#: A word counts if it stands in so many labelled documents of the fit: an insult may be rare.
 WORD_DOCS = 3
 CATEGORY_DIMENSIONS = 64
 ITERATIONS = 40
@@ -150,6 +151,21 @@ def _calibrated(model, held: DataFrame, kind: int) -> tuple[float, float]:
     return max(0.0, float(fitted.coefficients[0])), float(fitted.intercept)
 
 
+def _words(train: DataFrame, count: dict[int, int]) -> list[str]:
+    """At most VOCABULARY words of train(label, words), whose kinds have so many rows; 0 is good."""
+    each = train.select("label", F.explode(F.array_distinct("words")).alias("word"))
+    seen = each.groupBy("word").agg(F.count("*").alias("n"), *[F.count_if(F.col("label") == k).alias(f"n{k}") for k in count])
+    a, na = F.col("n0").cast("double"), float(count[0])
+    found = []
+    for k in count:
+        if k:
+            b, nb = F.col(f"n{k}").cast("double"), float(count[k])
+            without = (na + nb) - a - b
+            found.append(F.coalesce((a * (nb - b) - b * (na - a)) ** 2 * (na + nb) / F.nullif((a + b) * without * F.lit(na * nb), F.lit(0.0)), F.lit(0.0)))
+    best = seen.filter(F.col("n") >= min(WORD_DOCS, sum(count.values()))).select("word", F.greatest(*found, F.lit(0.0)).alias("chi"))
+    return [r.word for r in best.orderBy(F.desc("chi"), "word").limit(VOCABULARY).collect()] or ["*"]
+
+
 def co_train(table: DataFrame) -> CoTrained:
     """Fits both views in rounds on fit_table()'s rows."""
     count = {(r.label, r.held): r.n for r in table.groupBy("label", "held").agg(F.count("*").alias("n")).collect()}
@@ -157,7 +173,8 @@ def co_train(table: DataFrame) -> CoTrained:
     if not count.get((0, False)) or not kinds:
         return CoTrained()
     n = sum(count.values())
-    vocabulary = CountVectorizer(inputCol="words", outputCol="text_view", vocabSize=VOCABULARY, minDF=min(WORD_DOCS, n), binary=True).fit(table)
+    told = _words(table.filter("label IS NOT NULL AND NOT held"), {k: count[k, False] for k in (0, *kinds)})
+    vocabulary = CountVectorizerModel.from_vocabulary(told, "words", "text_view", binary=True)
     tasks = max(1, min(n // TASK_ROWS, table.sparkSession.sparkContext.defaultParallelism))
     table = written(vocabulary.transform(table).drop("words"), "fit-views").coalesce(tasks)
     train = table.filter("label IS NOT NULL AND NOT held")
