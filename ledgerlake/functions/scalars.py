@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SEVERITIES = {"cat i": "high", "cat ii": "medium", "cat iii": "low", "critical": "high", "important": "high", "informational": "low"}
+SEVERITIES = {"cat i": "high", "cat ii": "medium", "cat iii": "low", "critical": "high", "important": "medium", "informational": "low"}
 
 
 def normalise_severity(c: Column, names: dict[str, str] = SEVERITIES) -> Column:
@@ -19,8 +19,14 @@ def control_id(c: Column) -> Column:
     text = F.upper(F.trim(c))
     family, number = F.regexp_extract(text, r"^([A-Z]{2})-(\d+)", 1), F.regexp_extract(text, r"^[A-Z]{2}-(\d+)", 1)
     more = F.regexp_extract(text, r"^[A-Z]{2}-\d+\s*(?:\(|\.)\s*(\d+)", 1)
-    base = F.concat(family, F.lit("-"), F.lpad(number, 2, "0"))
-    return F.when(family != "", F.when(more != "", F.concat(base, F.lit("("), F.lpad(more, 2, "0"), F.lit(")"))).otherwise(base))
+    base = F.concat(family, F.lit("-"), _two_digits(number))
+    return F.when(family != "", F.when(more != "", F.concat(base, F.lit("("), _two_digits(more), F.lit(")"))).otherwise(base))
+
+
+def _two_digits(number: Column) -> Column:
+    """A run of digits as a number of two digits or more."""
+    bare = F.regexp_replace(number, r"^0+(?=\d)", "")
+    return F.when(F.char_length(bare) < 2, F.lpad(bare, 2, "0")).otherwise(bare)
 
 
 def slug(c: Column) -> Column:
@@ -28,8 +34,14 @@ def slug(c: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """A sort key under which digit runs compare as numbers and come before text."""
-    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"\d+|\D+"), F.lit(0)), lambda x: F.when(x.rlike(r"^\d"), F.concat(F.lit("0"), F.lpad(x, 20, "0"))).otherwise(F.concat(F.lit("1"), x))), "\x01")
+    """A sort key under which digit runs of any length compare as numbers and come before text; case does not count."""
+
+    def part(x: Column) -> Column:
+        digits = F.regexp_replace(x, r"^0+(?=\d)", "")
+        number = F.concat(F.lit("0"), F.lpad(F.char_length(digits).cast("string"), 6, "0"), digits)
+        return F.when(x.rlike(r"^\d"), number).otherwise(F.concat(F.lit("1"), x))
+
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"\d+|\D+"), F.lit(0)), part), "\x01")
 
 
 def inferred(c: Column) -> Column:

@@ -69,8 +69,13 @@ def compare(op: str, v: Column, expected, fold_case: bool = False) -> Column:
         n = as_number(v)
         return {"gt": n > expected, "gte": n >= expected, "lt": n < expected, "lte": n <= expected}[op]
     if op in ("in", "not_in"):
-        inside = F.when(v["kind"] != "list", text.isin([low(x) for x in _expected_set(expected)]))
+        # kinds stay apart: text is not in a list of numbers, nor a number in one of texts
+        items = _expected_set(expected) if isinstance(expected, str) else expected
+        texts, numbers = [low(x) for x in items if isinstance(x, str)], [float(x) for x in items if isinstance(x, bool | int | float)]
+        inside = F.when(v["kind"] == "text", text.isin(texts)).when(v["kind"] == "number", v["n"].isin(numbers)).when(v["kind"] == "boolean", v["b"].cast("double").isin(numbers))
         return inside if op == "in" else ~inside
+    if op == "not_contains":
+        return ~compare("contains", v, expected, fold_case)
     if op == "contains":
         return F.when(v["kind"] == "text", F.contains(text, F.lit(low(str(expected))))).when(v["kind"] == "list", F.array_contains(v["l"], str(expected))).otherwise(text == low(str(expected)))
     if op in ("regex_match", "regex_not_match"):

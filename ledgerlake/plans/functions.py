@@ -9,23 +9,26 @@ from ledgerlake.functions import scalars as s
 from ledgerlake.registry import query
 from ledgerlake.session import table
 
-_PRIORITIES = {"1-urgent": "high", "2-high": "high", "3-medium": "medium", "5-low": "low"}
+_SEVERITIES = ("CAT I", " cat ii ", "Cat III", "critical", "IMPORTANT", "informational", "", "low", "odd")
 
 
-@query("SELECT o_orderpriority, CASE lower(trim(o_orderpriority)) WHEN '1-urgent' THEN 'high' WHEN '2-high' THEN 'high' WHEN '3-medium' THEN 'medium' WHEN '5-low' THEN 'low' WHEN '' THEN 'unknown' ELSE lower(trim(o_orderpriority)) END AS severity, count(*) AS n FROM orders GROUP BY 1, 2")
+@query("""WITH named AS (SELECT list_value('CAT I', ' cat ii ', 'Cat III', 'critical', 'IMPORTANT', 'informational', '', 'low', 'odd')[(o_orderkey % 9 + 1)::INT] AS raw FROM orders)
+SELECT raw, CASE lower(trim(raw)) WHEN 'cat i' THEN 'high' WHEN 'cat ii' THEN 'medium' WHEN 'cat iii' THEN 'low' WHEN 'critical' THEN 'high' WHEN 'important' THEN 'medium'
+WHEN 'informational' THEN 'low' WHEN '' THEN 'unknown' ELSE lower(trim(raw)) END AS severity, count(*) AS n FROM named GROUP BY 1, 2""")
 def normalise_severity(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").groupBy("o_orderpriority", s.normalise_severity(F.col("o_orderpriority"), _PRIORITIES).alias("severity")).agg(F.count("*").alias("n"))
+    raw = F.get(F.array(*map(F.lit, _SEVERITIES)), (F.col("o_orderkey") % 9).cast("int"))
+    return table(spark, sf, "orders").select(raw.alias("raw")).groupBy("raw", s.normalise_severity(F.col("raw")).alias("severity")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey, 'BR-' || lpad((p_partkey % 40)::VARCHAR, 2, '0') || CASE WHEN p_size > 25 THEN '(' || lpad((p_size % 30)::VARCHAR, 2, '0') || ')' ELSE '' END AS control FROM part")
+@query("SELECT p_partkey, 'BR-' || printf('%02d', p_partkey % 400) || CASE WHEN p_size > 25 THEN '(' || lpad((p_size % 30)::VARCHAR, 2, '0') || ')' ELSE '' END AS control FROM part")
 def normalise_control_id(spark: SparkSession, sf: str) -> DataFrame:
-    raw = F.concat(F.lit("br-"), (F.col("p_partkey") % 40).cast("string"), F.when(F.col("p_size") > 25, F.concat(F.lit(" ("), (F.col("p_size") % 30).cast("string"), F.lit(") (a)"))).otherwise(""))
+    raw = F.concat(F.lit("br-"), (F.col("p_partkey") % 400).cast("string"), F.when(F.col("p_size") > 25, F.concat(F.lit(" ("), (F.col("p_size") % 30).cast("string"), F.lit(") (a)"))).otherwise(""))
     return table(spark, sf, "part").select("p_partkey", s.control_id(raw).alias("control"))
 
 
-@query("SELECT p_brand, array_to_string(list_sort(list(DISTINCT 'BR-' || lpad((p_partkey % 40)::VARCHAR, 2, '0') || '(' || lpad((p_size % 30)::VARCHAR, 2, '0') || ')')), ',') AS controls FROM part GROUP BY 1")
+@query("SELECT p_brand, array_to_string(list_sort(list(DISTINCT 'BR-' || printf('%02d', p_partkey % 400) || '(' || lpad((p_size % 30)::VARCHAR, 2, '0') || ')')), ',') AS controls FROM part GROUP BY 1")
 def normalise_oscal_id(spark: SparkSession, sf: str) -> DataFrame:
-    raw = F.concat_ws(".", F.concat(F.lit("br-"), (F.col("p_partkey") % 40).cast("string")), (F.col("p_size") % 30).cast("string"))
+    raw = F.concat_ws(".", F.concat(F.lit("br-"), (F.col("p_partkey") % 400).cast("string")), (F.col("p_size") % 30).cast("string"))
     return table(spark, sf, "part").groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set(s.control_id(raw))), ",").alias("controls"))
 
 

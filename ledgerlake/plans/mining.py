@@ -168,11 +168,11 @@ def abstention_report(spark: SparkSession, sf: str) -> DataFrame:
     return scored(spark, sf).groupBy("event_type").agg(F.count("*").alias("n"), F.round(none / F.count("*"), 4).alias("abstained"), F.round(F.avg("p1"), 4).alias("mean"), F.min("p1").alias("least"), F.max("p1").alias("most"))
 
 
-@query(TEMPLATES + ", q AS (SELECT template, count(*) AS occurrences, min(raw) AS example FROM tpl GROUP BY 1) SELECT template, occurrences, CASE WHEN regexp_matches(example, '[0-9]') THEN 'numbered' WHEN length(example) > 200 THEN 'prose' ELSE '' END AS suggestion FROM q ORDER BY occurrences DESC, template LIMIT 100")
+@query(TEMPLATES + ", q AS (SELECT template, count(*) AS occurrences, min(raw) AS example FROM tpl GROUP BY 1) SELECT template, occurrences, CASE WHEN regexp_matches(example, '[0-9]') THEN 'numbered' WHEN length(example) > 200 THEN 'prose' ELSE '' END AS suggestion FROM q ORDER BY occurrences DESC, template")
 def suggestions_per_template(spark: SparkSession, sf: str) -> DataFrame:
     grouped = templates(spark, sf).groupBy("template").agg(F.count("*").alias("occurrences"), F.min("raw").alias("example"))
     guess = F.when(F.col("example").rlike("[0-9]"), "numbered").when(F.char_length("example") > 200, "prose").otherwise("")
-    return grouped.orderBy(F.desc("occurrences"), "template").limit(100).select("template", "occurrences", guess.alias("suggestion"))
+    return grouped.orderBy(F.desc("occurrences"), "template").select("template", "occurrences", guess.alias("suggestion"))
 
 
 @query("SELECT 0::BIGINT AS not_unit, count(*) AS n FROM documents")

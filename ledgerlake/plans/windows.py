@@ -66,12 +66,12 @@ def dedup_first_seen(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT c_custkey, c_name, count(*) FILTER (WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F') AS high, count(*) FILTER (WHERE o_orderstatus = 'F') AS fail
-FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2) SELECT c_custkey, high, fail FROM r ORDER BY high DESC, fail DESC, c_name, c_custkey LIMIT 100""")
+FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2) SELECT c_custkey, high, fail FROM r ORDER BY high DESC, fail DESC, c_name, c_custkey""")
 def device_risk_ranking(spark: SparkSession, sf: str) -> DataFrame:
     failing = F.col("o_orderstatus") == "F"
     counted = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count_if(failing & (F.col("o_orderpriority") == "1-URGENT")).alias("high"), F.count_if(failing).alias("fail"))
     named = counted.join(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey")
-    return named.orderBy(F.desc("high"), F.desc("fail"), "c_name", "c_custkey").limit(100).select("c_custkey", "high", "fail")
+    return named.orderBy(F.desc("high"), F.desc("fail"), "c_name", "c_custkey").select("c_custkey", "high", "fail")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(concat_ws(' ', c_name, c_mktsegment, c_custkey::VARCHAR)), 'auto')")

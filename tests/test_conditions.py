@@ -3,6 +3,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlake.functions import scalars
 from ledgerlake.operators import conditions as c
 
 RESULTS = ("pass", "fail", "error", "unknown", "notapplicable")
@@ -82,3 +83,21 @@ def test_control_and_projection_ranks_differ(spark):
 def test_score_rounds_half_to_even(spark):
     df = spark.createDataFrame([(1, 15), (0, 0), (3, 1)], "p long, f long")
     assert [r.s for r in df.select(c.score(F.col("p"), F.col("f")).alias("s")).collect()] == [6.2, 0.0, 75.0]
+
+
+def test_membership_keeps_kinds_apart(spark):
+    def of(op, v, expected):
+        return spark.range(1).select(c.compare(op, v, expected).alias("x")).first().x
+
+    text, number, flag = c.value(s=F.lit("2")), c.value(n=F.lit(2)), c.value(b=F.lit(True))
+    assert of("in", text, ["2"]) and of("in", text, "2,3") and of("in", number, [2, 5]) and of("in", flag, [True])
+    assert not of("in", text, [2]) and not of("in", number, "2,3") and not of("in", number, ["2"])
+    assert of("not_in", text, [2]) and of("not_contains", c.value(s=F.lit("abc")), "x") and not of("not_contains", c.value(s=F.lit("abc")), "b")
+
+
+def test_ids_severities_and_keys(spark):
+    one = lambda x: spark.range(1).select(x.alias("x")).first().x
+    assert [one(scalars.control_id(F.lit(t))) for t in ("ac-117", "AC-007 (012)", "ac-2.3", "x")] == ["AC-117", "AC-07(12)", "AC-02(03)", None]
+    assert one(scalars.normalise_severity(F.lit("Important"))) == "medium"
+    keys = [one(scalars.natural_key(F.lit(t))) for t in ("v-2", "V-10", "v-" + "9" * 30, "v-1" + "0" * 30)]
+    assert keys == sorted(keys)
