@@ -5,15 +5,18 @@ file and a number in another. A condition tree compiles to aggregates over the f
 inside it) and one outcome column, so a whole rule set costs one shuffle by device, whatever the number of leaves.
 
 Outcomes: pass, fail, error, unknown, notapplicable. An error on any fact makes its leaf an error. A defaulted fact
-(present = false) counts like an observed one, except for requires_paths.
+(present = false) counts like an observed one, except for requires_paths. A rule that cannot be evaluated (unknown type or
+operator, a broken pattern, a threshold that is no number) is an error and the audit of the others goes on.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cache, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RESULTS = ("pass", "fail", "error", "unknown", "notapplicable", "notchecked", "notselected", "informational", "fixed")
@@ -138,12 +141,90 @@ class ForEach:
     on_no_blocks: str = "notapplicable"
 
 
+@dataclass(frozen=True)
+class Malformed:
+    """A condition that cannot be evaluated; its outcome is an error."""
+
+    reason: str
+
+
+NODES = {"fact_check": FactCheck, "presence": Presence, "count": Count, "all_of": AllOf, "any_of": AnyOf, "none_of": NoneOf, "for_each": ForEach}
+
+
+def tree_of(node) -> object:
+    """The tree of a parsed rule: a mapping with a type from NODES and the fields of that node."""
+    try:
+        kind, given = NODES[node["type"]], {k: v for k, v in node.items() if k != "type"}
+        if "children" in given:
+            given["children"] = tuple(tree_of(c) for c in given["children"])
+        if "sub" in given:
+            given["sub"] = tree_of(given["sub"])
+        return kind(**given)
+    except (KeyError, TypeError, AttributeError) as e:
+        return Malformed(repr(e))
+
+
+def rules_of(table: DataFrame) -> dict[str, object]:
+    """The trees of a rule table (rule_id, condition), the condition as JSON. A rule set is part of the plan, so the driver reads it."""
+    found = {}
+    for r in table.select("rule_id", "condition").collect():
+        try:
+            found[r["rule_id"]] = tree_of(json.loads(r["condition"]))
+        except (ValueError, TypeError) as e:
+            found[r["rule_id"]] = Malformed(repr(e))
+    return found
+
+
+@cache
+def _is_pattern(pattern: str) -> bool:
+    """Whether Spark takes the pattern; it is matched against one empty text."""
+    try:
+        SparkSession.active().sql("SELECT '' RLIKE :pattern", args={"pattern": pattern}).collect()
+        return True
+    except PySparkException:
+        return False
+
+
+def _is_number(x) -> bool:
+    return isinstance(x, int | float) and not isinstance(x, bool)
+
+
+def problem(tree) -> str | None:
+    """Why a node by itself cannot be evaluated; None: it can."""
+    if isinstance(tree, Malformed):
+        return tree.reason
+    if isinstance(tree, ForEach):
+        return None if tree.skip is None or _is_pattern(tree.skip) else f"not a pattern: {tree.skip}"
+    if not isinstance(tree, FactCheck | Count):
+        return None
+    wanted = tree.expected if isinstance(tree, FactCheck) else tree.threshold
+    if (isinstance(tree, Count) or tree.op in ("gt", "gte", "lt", "lte")) and not _is_number(wanted):
+        return f"not a number: {wanted}"
+    if tree.op in ("regex_match", "regex_not_match") and not (isinstance(wanted, str) and _is_pattern(wanted)):
+        return f"not a pattern: {wanted}"
+    if isinstance(tree, FactCheck) and (tree.quantifier not in ("all", "any") or tree.on_missing not in RESULTS):
+        return "unknown quantifier or result"
+    try:
+        compare(tree.op, value(n=F.lit(0)), wanted)
+    except (ValueError, TypeError) as e:
+        return repr(e)
+    return None
+
+
 @dataclass
 class Compiled:
-    """Aggregates over the facts of a group, and the outcome from them."""
+    """Aggregates over the facts of a group, and the outcome from them.
+
+    A tree with ForEach takes two levels: aggregates and inner ones over each block, then counts summed over blocks and folds over the
+    blocks' outcomes. names are those of aggregates.
+    """
 
     aggregates: list[Column] = field(default_factory=list)
     outcome: Column | None = None
+    names: list[str] = field(default_factory=list)
+    inner: list[Column] = field(default_factory=list)
+    per_block: list[Column] = field(default_factory=list)
+    folds: list[Column] = field(default_factory=list)
 
 
 def fold_all(outcomes: list[Column]) -> Column:
@@ -161,42 +242,85 @@ def fold_none(outcomes: list[Column]) -> Column:
     return F.when(has("error"), "error").when(has("pass"), "fail").when(has("unknown"), "unknown").otherwise("pass")
 
 
-def compile_tree(tree, name: str = "n") -> Compiled:
-    """Aggregates and outcome of a tree without ForEach."""
+def compile_tree(tree, name: str = "n", block: str | None = None) -> Compiled:
+    """Aggregates and outcome of a tree; block names the column of a block inside the device, which ForEach needs."""
+    if problem(tree):
+        return Compiled(outcome=F.lit("error"))
     if isinstance(tree, AllOf | AnyOf | NoneOf):
-        parts = [compile_tree(c, f"{name}_{i}") for i, c in enumerate(tree.children)]
+        parts = [compile_tree(c, f"{name}_{i}", block) for i, c in enumerate(tree.children)]
         fold = {AllOf: fold_all, AnyOf: fold_any, NoneOf: fold_none}[type(tree)]
-        return Compiled([a for p in parts for a in p.aggregates], fold([p.outcome for p in parts]))
+        joined = {f: [x for p in parts for x in getattr(p, f)] for f in ("aggregates", "names", "inner", "per_block", "folds")}
+        return Compiled(outcome=fold([p.outcome for p in parts]) if parts else F.lit("error"), **joined)
+    if isinstance(tree, ForEach):
+        sub = compile_tree(tree.sub, f"{name}_s")
+        if block is None:
+            return Compiled(outcome=F.lit("error"))
+        skipped = F.coalesce(F.col("__label").rlike(tree.skip), F.lit(False)) if tree.skip else F.lit(False)
+        seen = F.when(F.col(block).isNotNull() & ~skipped, sub.outcome).alias(f"{name}_o")
+        has = lambda *r: F.bool_or(F.col(f"{name}_o").isin(*r))
+        folded = F.when(has("fail"), "fail").when(has("unknown", "error"), "unknown").when(F.count(f"{name}_o") > 0, "pass").alias(f"{name}_f")
+        return Compiled(outcome=F.coalesce(F.col(f"{name}_f"), F.lit(tree.on_no_blocks)), inner=sub.aggregates, per_block=[seen], folds=[folded])
     here = F.col("path") == tree.path
     total = F.count_if(here).alias(f"{name}_n")
     n = F.coalesce(F.col(f"{name}_n"), F.lit(0))
     if isinstance(tree, Presence):
-        return Compiled([total], F.when((n > 0) == F.lit(tree.must_be_present), "pass").otherwise("fail"))
+        return Compiled([total], F.when((n > 0) == F.lit(tree.must_be_present), "pass").otherwise("fail"), [f"{name}_n"])
     if isinstance(tree, Count):
-        return Compiled([total], F.when(compare(tree.op, value(n=n), tree.threshold), "pass").otherwise("fail"))
+        return Compiled([total], F.when(compare(tree.op, value(n=n), tree.threshold), "pass").otherwise("fail"), [f"{name}_n"])
     ok = compare(tree.op, F.col("value"), tree.expected, tree.fold_case)
     aggregates = [total, F.count_if(here & ok).alias(f"{name}_ok"), F.count_if(here & ok.isNull()).alias(f"{name}_err")]
     good = F.col(f"{name}_ok") == n if tree.quantifier == "all" else F.col(f"{name}_ok") > 0
-    return Compiled(aggregates, F.when(n == 0, tree.on_missing).when(F.col(f"{name}_err") > 0, "error").when(good, "pass").otherwise("fail"))
+    outcome = F.when(n == 0, tree.on_missing).when(F.col(f"{name}_err") > 0, "error").when(good, "pass").otherwise("fail")
+    return Compiled(aggregates, outcome, [f"{name}_n", f"{name}_ok", f"{name}_err"])
+
+
+def audit(scope: DataFrame, facts: DataFrame, rules: dict[str, object], keys: list[str], block: str | None = None, label: str | None = None) -> DataFrame:
+    """(keys, rule_id, outcome) for every row of scope and every rule; devices without facts get what a tree says of missing ones.
+
+    block and label name the columns of a block inside the device and of its label, for ForEach anywhere in a tree. All rules share one
+    shuffle of the facts by device; with blocks, their counts are a second, smaller one.
+    """
+    made = [(r, compile_tree(t, f"r{i}", block)) for i, (r, t) in enumerate(rules.items())]
+    every = lambda f: [x for _, m in made for x in getattr(m, f)]
+    counts = [*every("aggregates"), F.count("*").alias("__facts")]
+    if every("per_block"):
+        called = F.max(label) if label else F.lit(None).cast("string")
+        parts = facts.groupBy(*keys, block).agg(*counts, *every("inner"), called.alias("__label"))
+        parts = parts.select(*keys, *every("names"), "__facts", *every("per_block"))
+        counted = parts.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in [*every("names"), "__facts"]], *every("folds"))
+    else:
+        counted = facts.groupBy(*keys).agg(*counts)
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule_id"), m.outcome.alias("outcome")) for r, m in made]))
+    return scope.select(*keys).join(counted, keys, "left").select(*keys, each.alias("r")).select(*keys, "r.*")
 
 
 def evaluate(scope: DataFrame, facts: DataFrame, tree, keys: list[str], block: str | None = None, label: str | None = None) -> DataFrame:
-    """(keys, outcome) for every row of scope; devices without facts get what the tree says of missing ones.
+    """(keys, outcome) of one tree for every row of scope, as in audit()."""
+    return audit(scope, facts, {"": tree}, keys, block, label).drop("rule_id")
 
-    block and label name the columns of a block inside the device and of its label, for ForEach.
+
+def leaves(tree) -> list[FactCheck]:
+    """The fact checks of a tree that can be evaluated."""
+    inside = [*getattr(tree, "children", ()), *([tree.sub] if isinstance(tree, ForEach) else [])]
+    return [tree] if isinstance(tree, FactCheck) and not problem(tree) else [x for c in inside for x in leaves(c)]
+
+
+def evidence(facts: DataFrame, rules: dict[str, object], keys: list[str], place: str = "line_no") -> DataFrame:
+    """(keys, rule_id, path, place) of the facts that speak for a rule's outcome, one row each.
+
+    Of a check of all facts these are its violations and errors, of a check of any the first fact in the order of place that satisfies it.
+    The violations need no shuffle, and no group is gathered.
     """
-    if isinstance(tree, ForEach):
-        inner = compile_tree(tree.sub)
-        rows = facts.filter(F.col(block).isNotNull())
-        if tree.skip:
-            rows = rows.filter(~F.coalesce(F.col(label).rlike(tree.skip), F.lit(False)))
-        per_block = rows.groupBy(*keys, block).agg(*inner.aggregates).select(*keys, inner.outcome.alias("sub"))
-        has = lambda *r: F.bool_or(F.col("sub").isin(*r))
-        folded = per_block.groupBy(*keys).agg(F.when(has("fail"), "fail").when(has("unknown", "error"), "unknown").otherwise("pass").alias("outcome"))
-        return scope.select(*keys).join(folded, keys, "left").withColumn("outcome", F.coalesce("outcome", F.lit(tree.on_no_blocks)))
-    made = compile_tree(tree)
-    counted = facts.groupBy(*keys).agg(*made.aggregates)
-    return scope.select(*keys).join(counted, keys, "left").select(*keys, made.outcome.alias("outcome"))
+    checks = [(r, x) for r, t in rules.items() for x in leaves(t)]
+
+    def told(quantifier: str, shows) -> DataFrame:
+        hits = [F.when((F.col("path") == x.path) & shows(compare(x.op, F.col("value"), x.expected, x.fold_case)), F.lit(r)) for r, x in checks if x.quantifier == quantifier]
+        found = F.explode(F.array_distinct(F.array_compact(F.array(*hits)))) if hits else F.explode(F.array().cast("array<string>"))
+        return facts.select(*keys, found.alias("rule_id"), "path", place)
+
+    violations = told("all", lambda ok: ~F.coalesce(ok, F.lit(False)))
+    first = told("any", lambda ok: F.coalesce(ok, F.lit(False))).groupBy(*keys, "rule_id", "path").agg(F.min(place).alias(place))
+    return violations.unionByName(first)
 
 
 def required(scope: DataFrame, facts: DataFrame, paths: list[str], keys: list[str]) -> DataFrame:

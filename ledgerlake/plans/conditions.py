@@ -114,17 +114,51 @@ def count_condition(spark: SparkSession, sf: str) -> DataFrame:
     return outcome(spark, sf, ENOUGH)
 
 
-@query("""WITH b AS (SELECT o_custkey, o_orderkey,
+_EACH = """b AS (SELECT o_custkey, o_orderkey,
     CASE WHEN count(l_orderkey) = 0 THEN 'unknown' WHEN bool_and(l_discount <= 0.08) THEN 'pass' ELSE 'fail' END AS sub
-  FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE NOT regexp_matches(o_orderpriority, '^5') GROUP BY 1, 2)
-SELECT c_custkey AS customer, CASE WHEN count(sub) = 0 THEN 'notapplicable' WHEN bool_or(sub = 'fail') THEN 'fail'
+  FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE NOT regexp_matches(o_orderpriority, '^5') GROUP BY 1, 2),
+e AS (SELECT c_custkey AS customer, CASE WHEN count(sub) = 0 THEN 'notapplicable' WHEN bool_or(sub = 'fail') THEN 'fail'
   WHEN bool_or(sub = 'unknown') THEN 'unknown' ELSE 'pass' END AS outcome
-FROM customer LEFT JOIN b ON c_custkey = o_custkey GROUP BY 1""")
-def for_each_condition(spark: SparkSession, sf: str) -> DataFrame:
+FROM customer LEFT JOIN b ON c_custkey = o_custkey GROUP BY 1)
+"""
+
+
+def customer_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """facts() with customers as devices, their orders as blocks and priorities as labels."""
     orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("device"), F.col("o_orderpriority").alias("label"))
-    inside = orders.join(facts(spark, sf), "device")
+    return orders.join(facts(spark, sf), "device")
+
+
+@query(f"WITH {_EACH} SELECT customer, outcome FROM e")
+def for_each_condition(spark: SparkSession, sf: str) -> DataFrame:
     scope = table(spark, sf, "customer").select(F.col("c_custkey").alias("customer"))
-    return c.evaluate(scope, inside, c.ForEach(DISCOUNT, skip="^5"), ["customer"], block="device", label="label")
+    return c.evaluate(scope, customer_facts(spark, sf), c.ForEach(DISCOUNT, skip="^5"), ["customer"], block="device", label="label")
+
+
+_CHECK = '{"type": "fact_check", "path": "line.discount", "op": "lte", "expected": 0.08}'
+#: A rule table as a pack would bring it; the last two are broken.
+PACK = [
+    ("each-and-enough", f'{{"type": "all_of", "children": [{{"type": "for_each", "sub": {_CHECK}, "skip": "^5"}}, {{"type": "count", "path": "line.quantity", "op": "gte", "threshold": 3}}]}}'),
+    ("each-or-none", f'{{"type": "any_of", "children": [{{"type": "for_each", "sub": {_CHECK}, "skip": "^5"}}, {{"type": "presence", "path": "line.returnflag", "must_be_present": false}}]}}'),
+    ("broken-pattern", '{"type": "fact_check", "path": "order.priority", "op": "regex_match", "expected": "("}'),
+    ("broken-node", '{"type": "every_of", "children": []}'),
+]
+
+
+@query(f"""WITH {_EACH}, n AS (SELECT c_custkey AS customer, count(l_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
+r AS (SELECT customer, outcome, CASE WHEN n >= 3 THEN 'pass' ELSE 'fail' END AS enough, CASE WHEN n = 0 THEN 'pass' ELSE 'fail' END AS bare FROM e JOIN n USING (customer))
+SELECT customer, 'each-and-enough' AS rule_id, {_all("outcome", "enough")} AS outcome FROM r UNION ALL SELECT customer, 'each-or-none', {_any("outcome", "bare")} FROM r
+UNION ALL SELECT customer, 'broken-pattern', 'error' FROM r UNION ALL SELECT customer, 'broken-node', 'error' FROM r""")
+def audit_rules(spark: SparkSession, sf: str) -> DataFrame:
+    rules = c.rules_of(spark.createDataFrame(PACK, "rule_id string, condition string"))
+    scope = table(spark, sf, "customer").select(F.col("c_custkey").alias("customer"))
+    return c.audit(scope, customer_facts(spark, sf), rules, ["customer"], block="device", label="label")
+
+
+@query("""SELECT l_orderkey AS device, 'discount' AS rule_id, 'line.discount' AS path, l_linenumber AS line_no FROM lineitem WHERE (l_discount <= 0.08) IS NOT TRUE
+UNION ALL SELECT l_orderkey, 'returned', 'line.returnflag', min(l_linenumber) FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1""")
+def leaf_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    return c.evidence(facts(spark, sf), {"discount": DISCOUNT, "returned": RETURNED}, ["device"])
 
 
 @query(_COUNTS + f"SELECT device, {_all('discount', 'enough', 'open')} AS outcome FROM o")

@@ -26,9 +26,10 @@ def devices(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
-    """(device, path, value, present): one row for each attribute of a line, and order-level ones."""
+    """(device, path, value, line_no, present): one row for each attribute of a line, and order-level ones, which have no line."""
     line = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("device"),
+        F.col("l_linenumber").alias("line_no"),
         F.explode(F.array(
             F.struct(F.lit("line.discount").alias("path"), value(n=F.col("l_discount")).alias("value")),
             F.struct(F.lit("line.quantity").alias("path"), value(n=F.col("l_quantity")).alias("value")),
@@ -37,10 +38,11 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
     )
     order = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("device"),
+        F.lit(None).cast("int").alias("line_no"),
         F.explode(F.array(
             F.struct(F.lit("order.status").alias("path"), value(s=F.col("o_orderstatus")).alias("value")),
             F.struct(F.lit("order.priority").alias("path"), value(s=F.col("o_orderpriority")).alias("value")),
             F.struct(F.lit("order.total").alias("path"), value(n=F.col("o_totalprice")).alias("value")),
         )).alias("f"),
     )
-    return line.unionByName(order).select("device", "f.path", "f.value", F.lit(True).alias("present"))
+    return line.unionByName(order).select("device", "f.path", "f.value", "line_no", F.lit(True).alias("present"))

@@ -101,3 +101,37 @@ def test_ids_severities_and_keys(spark):
     assert one(scalars.normalise_severity(F.lit("Important"))) == "medium"
     keys = [one(scalars.natural_key(F.lit(t))) for t in ("v-2", "V-10", "v-" + "9" * 30, "v-1" + "0" * 30)]
     assert keys == sorted(keys)
+
+
+def test_nested_for_each_and_broken_rules(spark):
+    schema = f"device int, block int, label string, path string, value {c.VALUE}, line_no int"
+    number = lambda n: ("number", None, float(n), None, None)
+    text = lambda s: ("text", None, None, s, None)
+    rows = [
+        (1, 1, "a", "x", number(1), 1), (1, 2, "b", "x", number(9), 2), (1, None, None, "y", text("on"), 3),
+        (2, 1, "a", "x", number(1), 1), (2, 2, "skip", "x", number(9), 2), (2, None, None, "y", text("off"), 3),
+        (3, None, None, "y", text("on"), 1), (4, 1, "a", "z", text("q"), 1),
+    ]
+    facts = spark.createDataFrame(rows, schema)
+    scope = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5)], "device int")
+    small = c.FactCheck("x", "lte", 5)
+    rules = {
+        "both": c.AllOf((c.ForEach(small, skip="^skip"), c.FactCheck("y", "eq", "on"))),
+        "each": c.ForEach(small, skip="^skip"),
+        "pattern": c.FactCheck("y", "regex_match", "("),
+        "half": c.AnyOf((c.FactCheck("y", "no_such", 1), c.Presence("y"))),
+        "text": c.FactCheck("x", "gt", "many"),
+    }
+    got = {(r.device, r.rule_id): r.outcome for r in c.audit(scope, facts, rules, ["device"], "block", "label").collect()}
+    assert [got[d, "each"] for d in (1, 2, 3, 4, 5)] == ["fail", "pass", "notapplicable", "unknown", "notapplicable"]
+    assert [got[d, "both"] for d in (1, 2, 3, 4, 5)] == ["fail", "fail", "pass", "unknown", "unknown"]
+    assert {got[d, r] for d in (1, 2, 3, 4, 5) for r in ("pattern", "half", "text")} == {"error"}
+    told = c.evidence(facts, {"small": small, "on": c.FactCheck("y", "eq", "on", quantifier="any")}, ["device"]).collect()
+    assert sorted((r.device, r.rule_id, r.path, r.line_no) for r in told) == [(1, "on", "y", 3), (1, "small", "x", 2), (2, "small", "x", 2), (3, "on", "y", 1)]
+
+
+def test_rule_tables(spark):
+    rows = [("a", '{"type": "count", "path": "x", "op": "gte", "threshold": 2}'), ("b", "{"), ("c", '{"type": "count", "path": "x"}'), ("d", None)]
+    rules = c.rules_of(spark.createDataFrame(rows, "rule_id string, condition string"))
+    assert rules["a"] == c.Count("x", "gte", 2)
+    assert all(isinstance(rules[k], c.Malformed) for k in "bcd")
