@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RULES = (
@@ -18,6 +18,11 @@ def redact(text: Column, rules: tuple = RULES) -> Column:
     return text
 
 
+def redact_columns(rows: DataFrame, columns: list[str], rules: tuple = RULES) -> DataFrame:
+    """rows with the given text columns redacted; rows, their order and all other columns stay."""
+    return rows.withColumns({c: redact(F.col(c), rules) for c in columns})
+
+
 def redact_tail(value: Column, policy: list[str]) -> Column:
     """A trailing value stays if it is a number, a policy word or redacted already."""
     return F.when(value.rlike("^[0-9]+$") | value.isin(policy) | value.startswith("<redacted"), value).otherwise("<redacted:tail>")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerlake.operators import lines as ln
-from ledgerlake.operators.redact import redact, redact_tail
+from ledgerlake.operators.redact import redact, redact_columns, redact_tail
 from ledgerlake.plans.facts import LINES_SQL
 from ledgerlake.plans.facts import lines as order_lines
 from ledgerlake.registry import query
@@ -137,7 +137,8 @@ def parse_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return claimed(spark, sf).rollup("lang").agg(n.alias("n_lines"), parsed.alias("parsed"), F.round(1 - (n - parsed) / n, 4).alias("coverage"))
 
 
-_REDACTED = r"""regexp_replace(regexp_replace(regexp_replace(text, '(token|secret|password)( = )"[^"<]+"', '\1\2<redacted:key>', 'g'), '[A-Za-z0-9._]+@[A-Za-z0-9.]+[A-Za-z0-9]', '<redacted:mail>', 'g'), '\b[0-9]{12,19}\b', '<redacted:number>', 'g')"""
+_REDACT = r"""regexp_replace(regexp_replace(regexp_replace(@, '(token|secret|password)( = )"[^"<]+"', '\1\2<redacted:key>', 'g'), '[A-Za-z0-9._]+@[A-Za-z0-9.]+[A-Za-z0-9]', '<redacted:mail>', 'g'), '\b[0-9]{12,19}\b', '<redacted:number>', 'g')"""
+_REDACTED = _REDACT.replace("@,", "text,")
 
 
 @query(f"SELECT doc_id, sha256({_REDACTED}) AS text_sha256, {_REDACTED} <> text AS changed FROM documents")
@@ -157,10 +158,14 @@ def redact_untyped_tail(spark: SparkSession, sf: str) -> DataFrame:
     return ln.significant(doc_lines(spark, sf)).select("doc_id", "line_no", redact_tail(F.regexp_extract("stripped", r"(\S+)$", 1), ["the", "of", "and"]).alias("tail"))
 
 
-@query("SELECT count(*) AS n_rows, 0::BIGINT AS changed_by_second_pass FROM documents")
+@query(f"""WITH {_LINES}, r AS (SELECT doc_id, line_no, raw, stripped, {_REDACT.replace("@,", "raw,")} AS raw_out, {_REDACT.replace("@,", "stripped,")} AS value_out FROM sig)
+SELECT doc_id, line_no, sha256(raw_out) AS raw_sha256, sha256(value_out) AS value_sha256, raw_out <> raw AS redacted, {_REDACT.replace("@,", "raw_out,")} <> raw_out AS changed_again FROM r""")
 def redact_dataset(spark: SparkSession, sf: str) -> DataFrame:
-    once = table(spark, sf, "documents").select(redact(F.col("text")).alias("text"))
-    return once.agg(F.count("*").alias("n_rows"), F.count_if(redact(F.col("text")) != F.col("text")).alias("changed_by_second_pass"))
+    # the texts of facts, their values and what was not parsed, before anything is decided or stored; no row is lost
+    rows = ln.significant(doc_lines(spark, sf)).select("doc_id", "line_no", F.col("raw").alias("before"), "raw", F.col("stripped").alias("value"))
+    done = redact_columns(rows, ["raw", "value"])
+    again = redact(F.col("raw")) != F.col("raw")
+    return done.select("doc_id", "line_no", F.sha2("raw", 256).alias("raw_sha256"), F.sha2("value", 256).alias("value_sha256"), (F.col("raw") != F.col("before")).alias("redacted"), again.alias("changed_again"))
 
 
 _TEMPLATE = "trim(regexp_replace(raw, '[ \\t\\r\\n\\x0b\\x0c]+', ' ', 'g'))"

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
+from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerlake.operators.metrics import by_fold, folds
 from ledgerlake.plans.lines import TEMPLATES, templates
 from ledgerlake.registry import query
 from ledgerlake.session import table
@@ -65,33 +67,61 @@ def char_grams(text: Column, low: int = 3, high: int = 6) -> Column:
     return F.flatten(F.transform(words, lambda w: F.flatten(F.array(*[of(w, n) for n in range(low, high + 1)]))))
 
 
+def term_counts(rows: DataFrame, text: Column, features: int) -> DataFrame:
+    """rows with tf: sublinear frequencies of hashed character n-grams, sparse."""
+    spread = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    grams = spread.withColumn("grams", char_grams(text))
+    counted = HashingTF(inputCol="grams", outputCol="count", numFeatures=features).transform(grams).drop("grams")
+    damped = F.transform(vector_to_array("count"), lambda x: F.when(x > 0, 1 + F.log(x)).otherwise(0.0))
+    dense = counted.withColumn("count", array_to_vector(damped))
+    # the assembler chooses the smaller form of each vector
+    return VectorAssembler(inputCols=["count"], outputCol="tf").transform(dense).drop("count")
+
+
+def weighing() -> list:
+    """The steps from tf to vector: times idf, of unit length."""
+    return [IDF(inputCol="tf", outputCol="raw"), Normalizer(inputCol="raw", outputCol="vector")]
+
+
 def tfidf(rows: DataFrame, text: Column, features: int = 8192) -> DataFrame:
     """rows with vector: sublinear term frequencies times idf, of unit length."""
-    grams = rows.withColumn("grams", char_grams(text))
-    counted = HashingTF(inputCol="grams", outputCol="tf", numFeatures=features).transform(grams).drop("grams")
-    # sublinear: 1 + log(tf) where tf > 0; the log1p form keeps zeros at zero, so the vector stays sparse in meaning
-    damped = counted.withColumn("tf", array_to_vector(F.transform(vector_to_array("tf"), lambda x: F.when(x > 0, 1 + F.log(x)).otherwise(0.0))))
-    weighted = IDF(inputCol="tf", outputCol="raw").fit(damped).transform(damped)
-    return Normalizer(inputCol="raw", outputCol="vector").transform(weighted).drop("tf", "raw")
+    counted = term_counts(rows, text, features)
+    return Pipeline(stages=weighing()).fit(counted).transform(counted).drop("tf", "raw")
+
+
+def labelled_terms(spark: SparkSession, sf: str, features: int = 8192) -> DataFrame:
+    rows = labelled(spark, sf).filter("quality IS NOT NULL").select("doc_id", "source", F.col("quality").cast("double").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
+    return term_counts(rows, F.col("text"), features).drop("text")
+
+
+def classifier() -> Pipeline:
+    return Pipeline(stages=[*weighing(), LogisticRegression(maxIter=50, regParam=0.01, featuresCol="vector")])
 
 
 @query()
 def tfidf_line_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    rows = tfidf(labelled(spark, sf).select("doc_id", F.col("quality").cast("double").alias("label"), F.col("text")), F.col("text"), 1024).drop("text")
-    model = LogisticRegression(maxIter=10, regParam=0.01, featuresCol="vector").fit(rows)
-    return model.transform(rows).select("doc_id", "label", "prediction", F.round(vector_to_array("probability")[1], 4).alias("probability"))
+    # one row of five, by hash, is held out of the fit
+    rows = labelled_terms(spark, sf).withColumn("held_out", F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0)
+    model = classifier().fit(rows.filter("NOT held_out"))
+    return model.transform(rows).select("doc_id", "label", "held_out", "prediction", F.round(vector_to_array("probability")[1], 4).alias("probability"))
 
 
 @query(_SIZES + """, r AS (SELECT user_id, n, (row_number() OVER (ORDER BY n DESC, user_id) - 1) % 10 AS p FROM s)
 SELECT user_id, n, CASE WHEN p < 5 THEN p ELSE 9 - p END AS fold FROM r""")
 def grouped_kfold_cv(spark: SparkSession, sf: str) -> DataFrame:
-    # whole groups go to folds, largest first, forwards and backwards in turn: balanced without a driver loop
-    sizes = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"))
-    by_size = sizes.groupBy("n").agg(F.count("*").alias("k"))
-    before = by_size.select("n", F.coalesce(F.sum("k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
-    place = F.row_number().over(Window.partitionBy("n").orderBy("user_id")) - 1
-    p = (F.col("above") + F.col("at")) % 10
-    return sizes.withColumn("at", place).join(before, "n").select("user_id", "n", F.when(p < 5, p).otherwise(9 - p).alias("fold"))
+    return folds(table(spark, sf, "events"), "user_id")
+
+
+@query()
+def grouped_kfold_scores(spark: SparkSession, sf: str) -> DataFrame:
+    # groups are sources: no source is in both the fit and the test of a fold
+    rows = labelled_terms(spark, sf)
+    dealt = rows.join(folds(rows.select("source"), "source").select("source", "fold"), "source")
+    told = [classifier().fit(dealt.filter(F.col("fold") != k)).transform(dealt.filter(F.col("fold") == k)).select("fold", "label", "prediction") for k in range(5)]
+    every = told[0]
+    for t in told[1:]:
+        every = every.unionByName(t)
+    return by_fold(every, "fold", "label", "prediction")
 
 
 _METRICS = """WITH p AS (SELECT quality AS y, CASE WHEN contains(text, '!!') OR contains(text, '***') THEN 0 ELSE 1 END AS yhat FROM labels JOIN documents USING (doc_id)),
@@ -115,10 +145,12 @@ def classification_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def probability_calibration(spark: SparkSession, sf: str) -> DataFrame:
-    odd = (F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("!"), F.lit("")))) / F.octet_length("text")
-    rows = labelled(spark, sf).select("doc_id", F.col("quality").cast("double").alias("label"), F.round(1 - odd, 4).alias("score"))
-    model = IsotonicRegression(featuresCol="score").fit(rows)
-    return model.transform(rows).select("doc_id", "score", F.round("prediction", 6).alias("probability"))
+    # three folds: a row's probability is read from the curve that the other two folds give
+    odd = F.coalesce((F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("!"), F.lit("")))) / F.nullif(F.octet_length("text"), F.lit(0)), F.lit(0.0))
+    rows = labelled(spark, sf).filter("quality IS NOT NULL").select("doc_id", F.col("quality").cast("double").alias("label"), F.round(1 - odd, 4).alias("score"))
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(3)).cast("int"))
+    told = [IsotonicRegression(featuresCol="score").fit(rows.filter(F.col("fold") != k)).transform(rows.filter(F.col("fold") == k)) for k in range(3)]
+    return told[0].unionByName(told[1]).unionByName(told[2]).select("doc_id", "fold", "score", F.round("prediction", 6).alias("probability"))
 
 
 _SCORED = "WITH s AS (SELECT event_id, (event_id * 37 % 100) / 100.0::DOUBLE AS p1, (event_id * 53 % 100) / 100.0::DOUBLE AS p2, event_type FROM events)"
@@ -135,21 +167,34 @@ def prior_collapse_guard(spark: SparkSession, sf: str) -> DataFrame:
     return scored(spark, sf).select("event_id", F.when(collapsed, "").otherwise(F.col("event_type")).alias("path"), F.when(collapsed, 0.0).otherwise(F.least("p1", F.lit(0.999))).alias("confidence"))
 
 
-@query("""SELECT a.vec_id, round(max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 4) AS similarity, max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) < 0.3 AS abstain
-FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id % 50 = 0 AND a.vec_id <> b.vec_id GROUP BY 1""")
+#: Parts of an index that each query meets one by one, so that a class with most of the rows is many tasks.
+PARTS = 64
+
+
+def met_in_parts(asked: DataFrame, index: DataFrame, name: str, on: list[str]) -> DataFrame:
+    """asked joined with every row of index (which has the id name), part by part; asked is the one that is repeated."""
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))
+    return asked.withColumn("part", parts).join(index.withColumn("part", F.pmod(F.xxhash64(name), F.lit(PARTS))), [*on, "part"])
+
+
+@query("""SELECT a.vec_id, round(max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 4) AS similarity,
+  coalesce(max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) < 0.3, true) AS abstain
+FROM embeddings a LEFT JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY 1""")
 def ood_similarity_guard(spark: SparkSession, sf: str) -> DataFrame:
-    # the training index is the sample of vectors whose id is divisible by 50; every row is held against its own class
+    # every vector is indexed; a class without another vector has no evidence, so its rows abstain
     vectors = unit_vectors(spark, sf)
-    index = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("other"), F.col("label"), F.col("v").alias("w"))
-    best = F.max(dot("v", "w"))
-    return vectors.join(index, "label").filter("vec_id <> other").groupBy("vec_id").agg(F.round(best, 4).alias("similarity"), (best < 0.3).alias("abstain"))
+    asked = vectors.filter("vec_id % 50 = 0")
+    index = vectors.select(F.col("vec_id").alias("other"), "label", F.col("v").alias("w"))
+    met = met_in_parts(asked, index, "other", ["label"]).filter("vec_id <> other").groupBy("vec_id").agg(F.max(dot("v", "w")).alias("best"))
+    known = asked.select("vec_id").distinct().join(met, "vec_id", "left")
+    return known.select("vec_id", F.round("best", 4).alias("similarity"), F.coalesce(F.col("best") < 0.3, F.lit(True)).alias("abstain"))
 
 
 def unit_vectors(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.transform("embedding", lambda x: x.cast("double"))
     rows = table(spark, sf, "embeddings").select("vec_id", "label", raw.alias("e"))
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))
-    return rows.withColumn("norm", norm).select("vec_id", "label", F.transform("e", lambda x: x / F.col("norm")).alias("v"))
+    return rows.withColumn("norm", norm).select("vec_id", "label", F.transform("e", lambda x: F.try_divide(x, F.col("norm"))).alias("v"))
 
 
 def dot(a: str, b: str) -> Column:
@@ -175,22 +220,29 @@ def suggestions_per_template(spark: SparkSession, sf: str) -> DataFrame:
     return grouped.orderBy(F.desc("occurrences"), "template").select("template", "occurrences", guess.alias("suggestion"))
 
 
-@query("SELECT 0::BIGINT AS not_unit, count(*) AS n FROM documents")
+@query()
 def template_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    rows = tfidf(table(spark, sf, "documents").select("doc_id", "text"), F.col("text"), 256).drop("text")
-    norm = F.aggregate(vector_to_array("vector"), F.lit(0.0), lambda s, x: s + x * x)
-    return rows.select(norm.alias("norm")).agg(F.count_if((F.col("norm") > 0) & (F.abs(F.col("norm") - 1) > 1e-6)).alias("not_unit"), F.count("*").alias("n"))
+    return embedded(templates(spark, sf).select("template").distinct(), "template").select("template", "vector")
+
+
+def embedded(rows: DataFrame, text: str, features: int = 1024, components: int = 256) -> DataFrame:
+    """rows with vector: the text's tf-idf along its principal components, of unit length, zero where it has no terms.
+
+    The driver holds one matrix of features x features, which does not grow with the rows.
+    """
+    weighted = tfidf(rows, F.col(text), features).withColumnRenamed("vector", "terms")
+    steps = [PCA(k=components, inputCol="terms", outputCol="reduced"), Normalizer(inputCol="reduced", outputCol="vector")]
+    return Pipeline(stages=steps).fit(weighted).transform(weighted).drop("terms", "reduced").withColumn("vector", vector_to_array("vector"))
 
 
 @query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query, e.vec_id AS neighbour,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS place FROM q JOIN embeddings e ON e.vec_id <> q.vec_id)
 SELECT query, neighbour, place FROM s WHERE place <= 5""")
 def template_knn(spark: SparkSession, sf: str) -> DataFrame:
-    # a fixed share of the rows asks, in blocks of BLOCK queries; each block passes over the index once and keeps the best five
+    # a fixed share of the rows asks; the best five are kept inside each task before they are shuffled by query
     vectors = unit_vectors(spark, sf)
     asks = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("q"))
-    blocks = asks.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(16)))
-    index = vectors.select(F.col("vec_id").alias("neighbour"), "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("block"))
-    pairs = index.join(blocks, "block").filter("query <> neighbour").select("query", "neighbour", F.round(dot("q", "v"), 6).alias("s"))
+    met = met_in_parts(asks, vectors.select(F.col("vec_id").alias("neighbour"), "v"), "neighbour", [])
+    pairs = met.filter("query <> neighbour").select("query", "neighbour", F.round(dot("q", "v"), 6).alias("s"))
     by = Window.partitionBy("query").orderBy(F.desc("s"), "neighbour")
     return pairs.withColumn("place", F.row_number().over(by)).filter("place <= 5").select("query", "neighbour", "place")
