@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def record_hash(*fields: Column) -> Column:
-    """The canonical form is the fields' text joined by 0x1f; a null field makes the hash null, which is an error row."""
-    whole = fields[0].isNotNull()
-    for f in fields[1:]:
+def record_hash(**fields: Column) -> Column:
+    """SHA-256 of the fields as one JSON object, names in order, so no two records share a form; a null field makes the hash null, an error row."""
+    whole = F.lit(True)
+    for f in fields.values():
         whole = whole & f.isNotNull()
-    return F.when(whole, F.sha2(F.concat_ws("\x1f", *[f.cast("string") for f in fields]), 256))
+    return F.when(whole, F.sha2(F.to_json(F.struct(*[fields[n].alias(n) for n in sorted(fields)])), 256))
 
 
 def leaf(text: Column) -> Column:
@@ -43,9 +43,26 @@ def chained(rows: DataFrame, ledger: str, seq: str, hash_: str) -> DataFrame:
     return rows.withColumn("prev_hash", F.lag(hash_, 1, "").over(Window.partitionBy(ledger).orderBy(seq)))
 
 
-def verified(rows: DataFrame, ledger: str, seq: str, recomputed: Column) -> DataFrame:
-    """rows(record_hash, prev_hash) with hash_ok, link_ok and all_valid; a null says that it was not checked."""
+def verified(rows: DataFrame, ledger: str, seq: str, recomputed: Column, root: Column | None = None, actors: DataFrame | None = None) -> DataFrame:
+    """rows(record_hash, prev_hash) with hash_ok, link_ok, merkle_ok, actor_ok, all_valid and detail; a null says that it was not checked.
+
+    root is the recomputed Merkle root, held against rows' merkle_root; null where there is none. actors(actor) are those who may write,
+    held against rows' actor; no actor is checked where that list is empty.
+    """
     by = Window.partitionBy(ledger).orderBy(seq)
+    unchecked = F.lit(None).cast("boolean")
     out = rows.withColumn("hash_ok", F.col("record_hash") == recomputed)
     out = out.withColumn("link_ok", F.col("prev_hash") == F.lag("record_hash", 1, "").over(by))
-    return out.withColumn("all_valid", F.coalesce("hash_ok", F.lit(True)) & F.coalesce("link_ok", F.lit(True)))
+    out = out.withColumn("merkle_ok", unchecked if root is None else F.col("merkle_root") == root)
+    if actors is None:
+        out = out.withColumn("actor_ok", unchecked)
+    else:
+        known = actors.filter("actor IS NOT NULL").select("actor").distinct().withColumn("__known", F.lit(True))
+        listed = F.broadcast(known.agg((F.count("*") > 0).alias("__listed")))
+        out = out.join(known, "actor", "left").crossJoin(listed)
+        out = out.withColumn("actor_ok", F.when(F.col("__listed"), F.coalesce("__known", F.lit(False)))).drop("__known", "__listed")
+    flags = ("hash_ok", "link_ok", "merkle_ok", "actor_ok")
+    out = out.withColumn("all_valid", F.coalesce("hash_ok", F.lit(True)) & F.coalesce("link_ok", F.lit(True)) & F.coalesce("merkle_ok", F.lit(True)) & F.coalesce("actor_ok", F.lit(True)))
+    said = ("record hash differs", "link is broken", "Merkle root differs", "actor is unknown")
+    wrong = F.array_compact(F.array(*[F.when(~F.col(f), F.lit(t)) for f, t in zip(flags, said, strict=True)]))
+    return out.withColumn("detail", F.when(F.col("all_valid"), "valid").otherwise(F.array_join(wrong, "; ")))

@@ -16,8 +16,9 @@ def explode_lines(files: DataFrame, text: str, *keys: str) -> DataFrame:
     parts = F.split(F.coalesce(F.col(text), F.lit("")), BREAKS, -1)
     whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
     rows = files.select(*keys, F.posexplode(whole).alias("at", "raw"))
-    left = F.regexp_replace("raw", r"^[ \t]+", "")
-    return rows.select(*keys, (F.col("at") + 1).alias("line_no"), "raw", F.regexp_replace(left, r"[ \t]+$", "").alias("stripped"), (F.char_length("raw") - F.char_length(left)).alias("indent"))
+    blank = F.lit(" \t")
+    indent = F.char_length("raw") - F.char_length(F.ltrim("raw", blank))
+    return rows.select(*keys, (F.col("at") + 1).alias("line_no"), "raw", F.btrim("raw", blank).alias("stripped"), indent.alias("indent"))
 
 
 def significant(lines: DataFrame, ignore: list[str] = ()) -> DataFrame:
@@ -50,24 +51,30 @@ def detect(text: Column, packs: dict[str, dict]) -> Column:
     return F.greatest(*[F.struct(score(p).alias("score"), F.lit(n).alias("name")) for n, p in packs.items()])
 
 
+# The operands that a template hides, in the order in which they are looked for. Each is free of blanks or quoted,
+# so that it can be matched again; names of which a number is a part, such as aes-cbc-256, stay.
 MASKS = (
-    (r'"[^"]*"', "<*>"),
-    (r"\$[0-9]\S+", "<*>"),
-    (r"\b0x[0-9a-fA-F]+\b", "<*>"),
-    (r"\b[0-9a-fA-F]{12,}\b", "<*>"),
-    (r"\b[0-9]+(\.[0-9]+){3}(/[0-9]+)?\b", "<*>"),
-    (r"\b[0-9]+(\.[0-9]+)+\b", "<*>"),
-    (r"\b[0-9]+-[0-9]+\b", "<*>"),
-    (r"\b[0-9]+\b", "<*>"),
+    r'"[^"]*"',
+    r"'[^']*'",
+    r"\$\d+\$\S+",
+    r"\b[0-9A-Fa-f]{16,}\b",
+    r"\b\d{1,3}(?:\.\d{1,3}){3}/\d{1,2}\b",
+    r"\b\d{1,3}(?:\.\d{1,3}){3}\b",
+    r"\b(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?:/\d{1,3})?",
+    r"\b[A-Za-z][A-Za-z-]*\d\d*(?:[/.:]\d+)+\b",
+    r"\b\d\d*(?:[.:][0-9A-Fa-f]+)+\b",
+    r"\b\d+-\d+\b",
+    r"(?<!\w-)\b\d+\b",
 )
+OPERAND = r"""("[^"]*"|'[^']*'|\S+)"""
 
 
 def template(line: Column) -> Column:
-    """A line with its operands masked; masks that meet become one."""
+    """A line with its operands masked; masks without a blank between them become one."""
     out = F.trim(F.regexp_replace(line, r"[ \t\r\n\x0b\x0c]+", " "))
-    for pattern, mask in MASKS:
-        out = F.regexp_replace(out, pattern, mask)
-    return F.regexp_replace(out, r"<\*>( ?<\*>)+", "<*>")
+    for pattern in MASKS:
+        out = F.regexp_replace(out, pattern, "<*>")
+    return F.regexp_replace(out, r"(?:<\*>){2,}", "<*>")
 
 
 def template_id(template_: Column) -> Column:
@@ -77,4 +84,4 @@ def template_id(template_: Column) -> Column:
 def template_regex(template_: Column) -> Column:
     """An anchored expression that matches every line of a template; each operand is a group."""
     escaped = F.regexp_replace(template_, r"([\\.\[\](){}^$|?+*])", r"\\$1")
-    return F.concat(F.lit("^"), F.replace(F.replace(escaped, F.lit(r"<\*>"), F.lit("(.+)")), F.lit(" "), F.lit(r"\s+")), F.lit("$"))
+    return F.concat(F.lit("^"), F.replace(F.replace(escaped, F.lit(r"<\*>"), F.lit(OPERAND)), F.lit(" "), F.lit(r"\s+")), F.lit("$"))

@@ -12,12 +12,17 @@ from ledgerlake.plans.facts import lines as order_lines
 from ledgerlake.registry import query
 from ledgerlake.session import table
 
-_FIELDS = ("event_id", "user_id", "event_type", "props")
-_HASH = "sha256(concat_ws(chr(31), event_id::VARCHAR, user_id::VARCHAR, event_type, props))"
+#: The fields of a record, in the order of their names.
+_FIELDS = ("event_id", "event_type", "merkle_root", "props", "ts", "user_id", "value")
+_LEAF = "sha256(unhex('00') || encode({}))"
+_ROOT = f"sha256(unhex('01') || unhex({_LEAF.format('event_type')}) || unhex({_LEAF.format('props')}))"
+_HASH = f"""sha256(json_object('event_id', event_id, 'event_type', event_type, 'merkle_root', {_ROOT}, 'props', props, 'ts', epoch_us(ts), 'user_id', user_id, 'value', (value::DECIMAL(18,2))::VARCHAR)::VARCHAR)"""
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").withColumn("record_hash", led.record_hash(*[F.col(c) for c in _FIELDS]))
+    rows = table(spark, sf, "events").withColumn("merkle_root", led.merkle_root(F.array(led.leaf(F.col("event_type")), led.leaf(F.col("props")))))
+    shown = {"ts": F.unix_micros(F.col("ts").cast("timestamp")), "value": F.col("value").cast("decimal(18,2)").cast("string")}
+    return rows.withColumn("record_hash", led.record_hash(**{c: shown.get(c, F.col(c)) for c in _FIELDS}))
 
 
 @query(f"SELECT event_id, {_HASH} AS record_hash FROM events")
@@ -49,17 +54,23 @@ def merkle_root(spark: SparkSession, sf: str) -> DataFrame:
     return gathered.select("l_orderkey", led.merkle_root(F.transform("l", lambda x: x["h"])).alias("merkle_root"))
 
 
-@query(f"""WITH r AS (SELECT event_id, user_id, CASE WHEN event_id % 97 = 0 THEN repeat('0', 64) ELSE {_HASH} END AS stored, {_HASH} AS right_hash FROM events),
-c AS (SELECT *, lag(right_hash, 1, '') OVER w AS prev_hash, lag(stored, 1, '') OVER w AS before FROM r WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-SELECT event_id, stored = right_hash AS hash_ok, prev_hash = before AS link_ok, stored = right_hash AND prev_hash = before AS all_valid,
-CASE WHEN stored <> right_hash THEN 'record hash differs' WHEN prev_hash <> before THEN 'link is broken' ELSE 'valid' END AS detail FROM c""")
+@query(f"""WITH r AS (SELECT event_id, user_id, CASE WHEN event_id % 97 = 0 THEN repeat('0', 64) ELSE {_HASH} END AS stored, {_HASH} AS right_hash,
+  CASE WHEN event_id % 89 = 0 THEN NULL ELSE event_id % 83 <> 0 END AS merkle_ok, user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING') AS actor_ok FROM events),
+c AS (SELECT *, lag(right_hash, 1, '') OVER w AS prev_hash, lag(stored, 1, '') OVER w AS before FROM r WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+f AS (SELECT event_id, stored = right_hash AS hash_ok, prev_hash = before AS link_ok, merkle_ok, actor_ok FROM c)
+SELECT *, hash_ok AND link_ok AND coalesce(merkle_ok, true) AND actor_ok AS all_valid,
+CASE WHEN hash_ok AND link_ok AND coalesce(merkle_ok, true) AND actor_ok THEN 'valid' ELSE concat_ws('; ', CASE WHEN NOT hash_ok THEN 'record hash differs' END,
+  CASE WHEN NOT link_ok THEN 'link is broken' END, CASE WHEN NOT merkle_ok THEN 'Merkle root differs' END, CASE WHEN NOT actor_ok THEN 'actor is unknown' END) END AS detail FROM f""")
 def verify_chain(spark: SparkSession, sf: str) -> DataFrame:
-    # a chain in which some records were tampered with after it was linked
-    chain = led.chained(records(spark, sf), "user_id", "event_id", "record_hash").withColumn("right", F.col("record_hash"))
-    bad = chain.withColumn("record_hash", F.when(F.col("event_id") % 97 == 0, F.repeat(F.lit("0"), F.lit(64))).otherwise(F.col("record_hash")))
-    checked = led.verified(bad, "user_id", "event_id", F.col("right"))
-    detail = F.when(~F.col("hash_ok"), "record hash differs").when(~F.col("link_ok"), "link is broken").otherwise("valid")
-    return checked.select("event_id", "hash_ok", "link_ok", "all_valid", detail.alias("detail"))
+    # a chain in which some records and roots were tampered with after it was linked, and some records have no leaves to check
+    chain = led.chained(records(spark, sf), "user_id", "event_id", "record_hash").withColumn("right", F.col("record_hash")).withColumn("actor", F.col("user_id"))
+    zeros = F.repeat(F.lit("0"), F.lit(64))
+    bad = chain.withColumn("record_hash", F.when(F.col("event_id") % 97 == 0, zeros).otherwise(F.col("record_hash")))
+    root = F.when(F.col("event_id") % 89 != 0, F.col("merkle_root"))
+    bad = bad.withColumn("root", root).withColumn("merkle_root", F.when(F.col("event_id") % 83 == 0, zeros).otherwise(F.col("merkle_root")))
+    actors = table(spark, sf, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("actor"))
+    checked = led.verified(bad, "user_id", "event_id", F.col("right"), F.col("root"), actors)
+    return checked.select("event_id", "hash_ok", "link_ok", "merkle_ok", "actor_ok", "all_valid", "detail")
 
 
 @query("SELECT user_id, event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events QUALIFY step > 1")

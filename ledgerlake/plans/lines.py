@@ -11,7 +11,7 @@ from ledgerlake.operators.redact import redact, redact_columns, redact_tail
 from ledgerlake.plans.facts import LINES_SQL
 from ledgerlake.plans.facts import lines as order_lines
 from ledgerlake.registry import query
-from ledgerlake.session import table
+from ledgerlake.session import spread, table
 
 PATTERNS = [("number_first", r"[0-9]"), ("license", r".*License"), ("upper", r"[A-Z]{2,}[ !.,]"), ("article", r"(The|Le|La|Der|Die|El)[ .,]"), ("short", r".{1,20}$")]
 
@@ -27,7 +27,7 @@ _CLAIMED = f"WITH {_LINES}, claimed AS (SELECT *, {_MATCH} AS pattern FROM sig)"
 
 
 def doc_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return ln.explode_lines(table(spark, sf, "documents"), "text", "doc_id", "lang", "source")
+    return ln.explode_lines(spread(table(spark, sf, "documents").select("text", "doc_id", "lang", "source")), "text", "doc_id", "lang", "source")
 
 
 def claimed(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,7 +143,7 @@ _REDACTED = _REDACT.replace("@,", "text,")
 
 @query(f"SELECT doc_id, sha256({_REDACTED}) AS text_sha256, {_REDACTED} <> text AS changed FROM documents")
 def redact_text(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.sha2(redact(F.col("text")), 256).alias("text_sha256"), (redact(F.col("text")) != F.col("text")).alias("changed"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.sha2(redact(F.col("text")), 256).alias("text_sha256"), (redact(F.col("text")) != F.col("text")).alias("changed"))
 
 
 @query("SELECT doc_id, CASE WHEN lower(source) IN ('src0', 'src1', 'src2', 'src3', 'src4') THEN source ELSE '<redacted:source>' END AS source FROM documents")
@@ -169,9 +169,12 @@ def redact_dataset(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TEMPLATE = "trim(regexp_replace(raw, '[ \\t\\r\\n\\x0b\\x0c]+', ' ', 'g'))"
-for _p, _m in ln.MASKS:
-    _TEMPLATE = f"regexp_replace({_TEMPLATE}, '{_p}', '{_m}', 'g')"
-TEMPLATE_SQL = f"regexp_replace({_TEMPLATE}, '<\\*>( ?<\\*>)+', '<*>', 'g')"
+for _p in ln.MASKS[:-1]:
+    _TEMPLATE = f"""regexp_replace({_TEMPLATE}, '{_p.replace("'", "''")}', '<*>', 'g')"""
+# without lookbehind, numbers after a word and a hyphen are joined to a mark that is a word, and the mark goes at the end
+_TEMPLATE = f"regexp_replace({_TEMPLATE}, '(\\w-)(\\d+)\\b', '\\1_kept_\\2', 'g')"
+_TEMPLATE = f"replace(regexp_replace({_TEMPLATE}, '\\b\\d+\\b', '<*>', 'g'), '_kept_', '')"
+TEMPLATE_SQL = f"regexp_replace({_TEMPLATE}, '(?:<\\*>){{2,}}', '<*>', 'g')"
 TEMPLATES = f"WITH {_LINES}, tpl AS (SELECT *, {TEMPLATE_SQL} AS template FROM lines)"
 
 
@@ -193,7 +196,7 @@ def template_id(spark: SparkSession, sf: str) -> DataFrame:
 _ESCAPED = r"regexp_replace(template, '([\\.\[\](){}^$|?+*])', '\\\1', 'g')"
 
 
-@query(TEMPLATES + f" SELECT DISTINCT sha256(template) AS template_sha256, sha256('^' || replace(replace({_ESCAPED}, '<\\*>', '(.+)'), ' ', '\\s+') || '$') AS pattern_sha256 FROM tpl")
+@query(TEMPLATES + f" SELECT DISTINCT sha256(template) AS template_sha256, sha256('^' || replace(replace({_ESCAPED}, '<\\*>', '{ln.OPERAND.replace(chr(39), chr(39) * 2)}'), ' ', '\\s+') || '$') AS pattern_sha256 FROM tpl")
 def template_to_regex(spark: SparkSession, sf: str) -> DataFrame:
     distinct = templates(spark, sf).select("template").distinct()
     return distinct.select(F.sha2("template", 256).alias("template_sha256"), F.sha2(ln.template_regex(F.col("template")), 256).alias("pattern_sha256"))

@@ -23,3 +23,9 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where the input comes in fewer tasks, for work that costs far more than to move them; a large table stays as it is read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -27,10 +27,27 @@ def test_first_match_and_detection(spark):
 
 
 def test_templates_match_their_own_lines(spark):
-    rows = ["ip address 10.0.0.1 255.255.255.0", 'key "a b" 77', "plain words", "a (b) [c] 5-9 x", "0xff  deadbeefdeadbeef end", "1 2 3"]
-    df = spark.createDataFrame([(r,) for r in rows], "raw string").withColumn("template", ln.template(F.col("raw"))).withColumn("pattern", ln.template_regex(F.col("template")))
-    assert df.filter("NOT regexp_replace(raw, ' +', ' ') RLIKE pattern").count() == 0
-    assert [r.template for r in df.collect()] == ["ip address <*>", "key <*>", "plain words", "a (b) [c] <*> x", "<*> end", "<*>"]
+    wanted = {
+        "ip address 10.0.0.1 255.255.255.0": "ip address <*> <*>",
+        "network 10.0.0.0/8  area 0": "network <*> area <*>",
+        'description "to the core" up': "description <*> up",
+        "banner 'no entry' x": "banner <*> x",
+        "username a secret 5 $1$mERr$hx5rVt7rPNoS4": "username a secret <*> <*>",
+        "crypto aes-cbc-256 sha512": "crypto aes-cbc-256 sha512",
+        "interface GigabitEthernet0/0/1": "interface <*>",
+        "ipv6 address 2001:db8::1/64": "ipv6 address <*>",
+        "vlan 10-20,30": "vlan <*>,<*>",
+        "net 49.0001.0000.0000.0001.00": "net <*>",
+        "key 0123456789abcdef0": "key <*>",
+        "key 0123456789abcd": "key 0123456789abcd",
+        "a (b) [c] 12 x": "a (b) [c] <*> x",
+        "plain words": "plain words",
+    }
+    df = spark.createDataFrame([(r,) for r in wanted], "raw string").withColumn("template", ln.template(F.col("raw"))).withColumn("pattern", ln.template_regex(F.col("template")))
+    assert {r.raw: r.template for r in df.collect()} == wanted
+    assert df.filter(~F.expr("raw RLIKE pattern")).count() == 0
+    other = df.filter("template = 'network <*> area <*>'").select(F.expr("'network 10.0.0.0/8 area 0 extra' RLIKE pattern").alias("x"))
+    assert not other.first().x
 
 
 def test_redaction_is_idempotent(spark):
@@ -86,13 +103,32 @@ def test_merkle_roots(spark):
 
 
 def test_tampering_turns_one_flag(spark):
-    df = spark.createDataFrame([(1, i, f"v{i}") for i in range(5)], "l long, seq long, v string").withColumn("record_hash", ledger.record_hash(F.col("l"), F.col("seq"), F.col("v")))
+    df = spark.createDataFrame([(1, i, f"v{i}") for i in range(5)], "l long, seq long, v string").withColumn("record_hash", ledger.record_hash(l=F.col("l"), seq=F.col("seq"), v=F.col("v")))
     chain = ledger.chained(df, "l", "seq", "record_hash")
     bad = chain.withColumn("v", F.when(F.col("seq") == 2, "changed").otherwise(F.col("v")))
-    flags = {r.seq: (r.hash_ok, r.link_ok) for r in ledger.verified(bad, "l", "seq", ledger.record_hash(F.col("l"), F.col("seq"), F.col("v"))).collect()}
+    flags = {r.seq: (r.hash_ok, r.link_ok) for r in ledger.verified(bad, "l", "seq", ledger.record_hash(l=F.col("l"), seq=F.col("seq"), v=F.col("v"))).collect()}
     assert flags == {i: (i != 2, True) for i in range(5)}
 
 
+def test_roots_and_actors_are_checked_where_they_can_be(spark):
+    rows = [(1, 0, "ann", "h0", "", "r0"), (1, 1, "eve", "h1", "h0", "rX"), (1, 2, None, "h2", "h1", None)]
+    df = spark.createDataFrame(rows, "l long, seq long, actor string, record_hash string, prev_hash string, merkle_root string")
+    root = F.when(F.col("seq") < 2, F.concat(F.lit("r"), F.col("seq").cast("string")))
+    who = spark.createDataFrame([("ann",), ("bob",), ("ann",)], "actor string")
+    got = {r.seq: r for r in ledger.verified(df, "l", "seq", F.col("record_hash"), root, who).collect()}
+    assert [got[i].merkle_ok for i in range(3)] == [True, False, None]
+    assert [got[i].actor_ok for i in range(3)] == [True, False, False]
+    assert [got[i].detail for i in range(3)] == ["valid", "Merkle root differs; actor is unknown", "actor is unknown"]
+    none = ledger.verified(df, "l", "seq", F.col("record_hash"), root, who.limit(0)).collect()
+    assert [r.actor_ok for r in none] == [None] * 3 and sum(r.all_valid for r in none) == 2
+
+
+def test_record_hashes_keep_fields_apart(spark):
+    df = spark.createDataFrame([("a\x1fb", "c"), ("a", "b\x1fc"), ("a", None)], "x string, y string")
+    got = [r.h for r in df.select(ledger.record_hash(x=F.col("x"), y=F.col("y")).alias("h")).collect()]
+    assert got[0] != got[1] and got[2] is None
+
+
 def test_scalars(spark):
     one = lambda col: spark.range(1).select(col.alias("x")).first().x
     for text, want in (("ac-17 (2) (a)", "AC-17(02)"), ("ac-17.2", "AC-17(02)"), ("ac-2", "AC-02"), ("x", None)):
