@@ -91,7 +91,8 @@ def tfidf(rows: DataFrame, text: Column, features: int = 8192) -> DataFrame:
 
 def labelled_terms(spark: SparkSession, sf: str, features: int = 8192) -> DataFrame:
     rows = labelled(spark, sf).filter("quality IS NOT NULL").select("doc_id", "source", F.col("quality").cast("double").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
-    return term_counts(rows, F.col("text"), features).drop("text")
+    # the fits pass over these rows many times; as sparse vectors they are small
+    return term_counts(rows, F.col("text"), features).drop("text").persist()
 
 
 def classifier() -> Pipeline:
