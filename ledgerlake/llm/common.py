@@ -97,3 +97,14 @@ def write_manifest(uri: str, files: list[dict]) -> None:
 
 def read_manifest(uri: str) -> list[dict]:
     return json.loads(read_bytes(f"{uri}/{MANIFEST}"))
+
+
+#: For counterparts in DuckDB, which has no crc32: its 256 steps as a list, and the fold of a text's bytes, given in hex, over it.
+CRC32_STEPS_SQL = """SELECT list(c ORDER BY i) AS step FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))"""
+
+
+def crc32_sql(h: str) -> str:
+    """The unsigned crc32 of the bytes in column h, beside a row of CRC32_STEPS_SQL."""
+    octets = f"list_transform(range(0, len({h}), 2), lambda i: ('0x' || {h}[i + 1:i + 2])::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295)"

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import documents, make_dir, open_store, read_bytes, shared_dir, write_bytes
+from ledgerlake.llm.common import CRC32_STEPS_SQL, crc32_sql, documents, make_dir, open_store, read_bytes, shared_dir, write_bytes
 
 ORDER = 2
 FOLDS, HELD_OUT = 7, 2
@@ -403,4 +403,28 @@ def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op13_language_model": op13_language_model}
-ORACLES: dict[str, str] = {}
+#: The same for order two; a text's end is the word ' ', its start the word of two blanks.
+ORACLES = {
+    "op13_language_model": f"""WITH steps AS ({CRC32_STEPS_SQL}),
+named AS (SELECT row_number() OVER () AS r, doc_id, text, hex(encode(coalesce(doc_id::VARCHAR, ''))) AS h FROM documents),
+d AS MATERIALIZED (SELECT r, doc_id, {crc32_sql('h')} % {FOLDS} = {HELD_OUT} AS held_out,
+  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), ' ') AS words FROM named, steps),
+tokens AS MATERIALIZED (SELECT r, held_out, unnest(words) AS w, unnest(list_prepend('  ', words[:-2])) AS c FROM d),
+pairs AS MATERIALIZED (SELECT c, w, count(*) AS n FROM tokens WHERE NOT held_out GROUP BY 1, 2),
+singles AS MATERIALIZED (SELECT w, count(*) AS n, sum(n) AS raw FROM pairs GROUP BY 1),
+totals AS MATERIALIZED (SELECT count(*) AS types, coalesce(sum(n), 0)::DOUBLE AS total, coalesce(sum(raw), 0)::BIGINT AS occurrences FROM singles),
+counts AS (SELECT 2 AS level, n FROM pairs UNION ALL SELECT 1, n FROM singles),
+once AS (SELECT level, count(*) FILTER (WHERE n = 1)::DOUBLE AS a, count(*) FILTER (WHERE n = 2)::DOUBLE AS b, count(*) FILTER (WHERE n = 3)::DOUBLE AS e, count(*) FILTER (WHERE n = 4)::DOUBLE AS f FROM counts GROUP BY 1),
+tried AS (SELECT level, 1 - 2 * a / (a + 2 * b) * b / a AS d1, 2 - 3 * a / (a + 2 * b) * e / b AS d2, 3 - 4 * a / (a + 2 * b) * f / e AS d3, a * b * e * f > 0 AS enough FROM once),
+discounts AS MATERIALIZED (SELECT level, CASE WHEN fit THEN [0, d1, d2, d3] ELSE [0, 0.5, 1, 1.5]::DOUBLE[] END AS d FROM
+  (SELECT *, enough AND d1 > 0 AND d1 <= 1 AND d2 > 0 AND d2 <= 2 AND d3 > 0 AND d3 <= 3 AS fit FROM tried)),
+left1 AS (SELECT sum(d[least(n, 3) + 1]) AS mass FROM singles, discounts WHERE level = 1),
+left2 AS MATERIALIZED (SELECT c, sum(n)::DOUBLE AS total, sum(d[least(n, 3) + 1]) AS mass FROM pairs, discounts WHERE level = 2 GROUP BY 1),
+low AS MATERIALIZED (SELECT w, raw, (n - d[least(n, 3) + 1] + mass / (types + 1)) / total AS p FROM singles, discounts, left1, totals WHERE level = 1),
+high AS MATERIALIZED (SELECT c, w, n - d[least(n, 3) + 1] AS less FROM pairs, discounts WHERE level = 2),
+scored AS (SELECT r, raw, coalesce(low.p, coalesce(left1.mass / totals.total, 1) / (types + 1)) AS p1, coalesce(less, 0) AS less, left2.mass AS mass, left2.total AS total
+  FROM tokens t CROSS JOIN totals CROSS JOIN left1 LEFT JOIN low USING (w) LEFT JOIN high ON high.c = t.c AND high.w = t.w LEFT JOIN left2 ON left2.c = t.c),
+sums AS (SELECT r, count(*) AS n_tokens, count(raw) AS n_known, occurrences AS train_tokens, sum(log10((coalesce(raw, 0) + 1) / (occurrences + types + 1))) AS base_score,
+  sum(log10(CASE WHEN scored.total > 0 THEN (less + mass * p1) / scored.total ELSE p1 END)) AS score FROM scored, totals GROUP BY 1, 4)
+SELECT doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score FROM d JOIN sums USING (r)"""
+}

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlake.llm.common import documents, written
+from ledgerlake.llm.common import CRC32_STEPS_SQL, crc32_sql, documents, written
 
 BUCKETS = 10_000
 LONGEST = 1
@@ -184,16 +184,13 @@ QUERIES = {"op12_resampling": op12_resampling}
 
 _FEATURES = "unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word"
 
-#: The same rows in DuckDB, which has no crc32: its table of 256 steps and its bytes are folded over the distinct words.
 ORACLES = {
     "op12_resampling": f"""
-WITH steps AS (SELECT list(c ORDER BY i) AS step FROM (
-  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+WITH steps AS ({CRC32_STEPS_SQL}),
 d AS (SELECT doc_id, row_number() OVER () AS r, text FROM documents),
 dw AS (SELECT r, {_FEATURES} FROM d), bw AS (SELECT {_FEATURES} FROM benchmark),
 vocabulary AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
-hashed AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(h), 2), lambda i: ('0x' || h[i + 1:i + 2])::BIGINT)),
-  lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) % {BUCKETS} AS bucket FROM vocabulary, steps),
+hashed AS (SELECT word, {crc32_sql('h')} % {BUCKETS} AS bucket FROM vocabulary, steps),
 s AS (SELECT bucket, count(*) AS s FROM dw JOIN hashed USING (word) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM bw JOIN hashed USING (word) GROUP BY 1),
 totals AS (SELECT (SELECT count(*) FROM dw)::DOUBLE AS big_s, (SELECT count(*) FROM bw)::DOUBLE AS big_t),
 gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * (big_s + {BUCKETS}) / ((coalesce(s, 0) + 1) * (big_t + {BUCKETS}))))::BIGINT AS gain FROM s FULL JOIN t USING (bucket), totals),
