@@ -15,6 +15,7 @@ import json
 from dataclasses import dataclass, field
 from functools import cache, reduce
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,52 +47,133 @@ def as_number(v: Column) -> Column:
     return F.when(v["kind"] == "number", v["n"]).when(v["kind"] == "text", F.trim(v["s"]).try_cast("double"))
 
 
-def as_set(v: Column) -> Column:
-    """Lists as they are; text splits at commas and blanks."""
-    split = F.array_remove(F.split(as_text(v), r"[,\s]+"), "")
-    return F.array_distinct(F.when(v["kind"] == "list", v["l"]).otherwise(split))
+def tokens(text: Column) -> Column:
+    """The distinct words of a text, cut at commas and blanks."""
+    return F.array_distinct(F.array_remove(F.split(text, r"[,\s]+"), ""))
 
 
-def _expected_set(expected) -> list[str]:
-    return [x for x in expected.replace(",", " ").split() if x] if isinstance(expected, str) else [str(x) for x in expected]
+#: An expected value in the forms that the operators need, as a struct of columns; expected_of() gives its fields.
+EXPECTED = "struct<kind:string,n:double,s:string,l:array<string>,number:double,texts:array<string>,numbers:array<double>,text:string,pattern:string,fold:boolean>"
+ORDERED = ("gt", "gte", "lt", "lte")
+
+
+def _is_number(x) -> bool:
+    return isinstance(x, int | float) and not isinstance(x, bool)
+
+
+def expected_of(op: str, expected, fold_case: bool = False) -> dict:
+    """The fields of EXPECTED; ValueError where the operator cannot use the value."""
+    if op not in OPERATORS:
+        raise ValueError(f"unknown operator {op}")
+    low = (lambda x: x.lower() if fold_case and isinstance(x, str) else x)
+    many = list(expected) if isinstance(expected, list | tuple | set | frozenset) else None
+    if many is not None and not all(isinstance(x, str | bool | int | float) for x in many):
+        raise ValueError(f"not a list of plain values: {expected}")
+    items = many if many is not None else expected.replace(",", " ").split() if isinstance(expected, str) else [expected]
+    number = None
+    if op in ORDERED:
+        if not _is_number(expected) and not isinstance(expected, str):
+            raise ValueError(f"not a number: {expected}")
+        number = float(expected)
+    if op in ("regex_match", "regex_not_match") and not isinstance(expected, str):
+        raise ValueError(f"not a pattern: {expected}")
+    return {
+        "kind": "none" if expected is None else "list" if many is not None else "text" if isinstance(expected, str) else "number",
+        "n": float(expected) if isinstance(expected, bool | int | float) else None,
+        "s": low(expected) if isinstance(expected, str) else None,
+        "l": [low(x) for x in many] if many is not None and all(isinstance(x, str) for x in many) else None,
+        "number": number,
+        "texts": sorted({low(x) for x in items if isinstance(x, str)}),
+        "numbers": sorted({float(x) for x in items if isinstance(x, bool | int | float)}),
+        "text": low(str(expected)),
+        "pattern": ("(?iu)" if fold_case else "") + expected if isinstance(expected, str) else None,
+        "fold": fold_case,
+    }
+
+
+def _literal(fields: dict) -> dict[str, Column]:
+    """The fields as constants."""
+    kinds = dict(f.split(":") for f in EXPECTED[len("struct<") : -1].split(","))
+    return {k: (F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)).cast(kinds[k]) for k, v in fields.items()}
+
+
+# Each operator takes a value v and the fields e of an expected one, which may be constants or columns of a table of checks.
+# Text, numbers and lists stay apart: text is not in a list of numbers, nor a number in one of texts. Booleans count as 0 and 1.
+
+
+def _folded(text: Column, e) -> Column:
+    return F.when(e["fold"], F.lower(text)).otherwise(text)
+
+
+def _as_n(v: Column) -> Column:
+    return F.when(v["kind"] == "number", v["n"]).when(v["kind"] == "boolean", v["b"].cast("double"))
+
+
+def _list(v: Column, e) -> Column:
+    return F.when(e["fold"], F.transform(v["l"], F.lower)).otherwise(v["l"])
+
+
+def _eq(v: Column, e) -> Column:
+    number = F.coalesce(_as_n(v) == e["n"], F.lit(False))
+    text = (v["kind"] == "text") & (_folded(v["s"], e) == e["s"])
+    same_list = (v["kind"] == "list") & F.coalesce(_list(v, e) == e["l"], F.lit(False))
+    return F.when(e["kind"] == "number", number).when(e["kind"] == "text", text).when(e["kind"] == "list", same_list).otherwise(F.lit(False))
+
+
+def _in(v: Column, e) -> Column:
+    return F.when(v["kind"] == "text", F.array_contains(e["texts"], _folded(v["s"], e))).when(v["kind"] != "list", F.array_contains(e["numbers"], _as_n(v)))
+
+
+def _contains(v: Column, e) -> Column:
+    listed = (e["kind"] == "text") & F.coalesce(F.array_contains(_list(v, e), e["s"]), F.lit(False))
+    return F.when(v["kind"] == "text", F.contains(_folded(v["s"], e), e["text"])).when(v["kind"] == "list", listed).otherwise(_folded(as_text(v), e) == e["text"])
+
+
+def _regex(v: Column, e) -> Column:
+    return F.rlike(as_text(v), e["pattern"])
+
+
+def _by_kind(v: Column, e, texts, number: Column) -> Column:
+    """A set operator over a list or the words of a text, and over the one number that another value is."""
+    held = F.when(v["kind"] == "list", F.array_distinct(_list(v, e))).otherwise(tokens(_folded(v["s"], e)))
+    return F.when(v["kind"].isin("list", "text"), texts(held)).otherwise(number)
+
+
+def _subset(v: Column, e) -> Column:
+    return _by_kind(v, e, lambda mine: F.size(F.array_except(mine, e["texts"])) == 0, F.array_contains(e["numbers"], _as_n(v)))
+
+
+def _superset(v: Column, e) -> Column:
+    alone = (F.size(e["texts"]) == 0) & (F.size(F.array_except(e["numbers"], F.array(_as_n(v)))) == 0)
+    return _by_kind(v, e, lambda mine: (F.size(e["numbers"]) == 0) & (F.size(F.array_except(e["texts"], mine)) == 0), alone)
+
+
+def _disjoint(v: Column, e) -> Column:
+    return _by_kind(v, e, lambda mine: ~F.arrays_overlap(mine, e["texts"]), ~F.array_contains(e["numbers"], _as_n(v)))
+
+
+OPERATORS = {
+    "eq": _eq,
+    "ne": lambda v, e: ~_eq(v, e),
+    "gt": lambda v, e: as_number(v) > e["number"],
+    "gte": lambda v, e: as_number(v) >= e["number"],
+    "lt": lambda v, e: as_number(v) < e["number"],
+    "lte": lambda v, e: as_number(v) <= e["number"],
+    "in": _in,
+    "not_in": lambda v, e: ~_in(v, e),
+    "contains": _contains,
+    "not_contains": lambda v, e: ~_contains(v, e),
+    "regex_match": _regex,
+    "regex_not_match": lambda v, e: ~_regex(v, e),
+    "subset_of": _subset,
+    "superset_of": _superset,
+    "disjoint_from": _disjoint,
+}
 
 
 def compare(op: str, v: Column, expected, fold_case: bool = False) -> Column:
     """Whether v satisfies op; null stands for an error."""
-    text = F.lower(as_text(v)) if fold_case else as_text(v)
-    low = (lambda x: x.lower() if fold_case and isinstance(x, str) else x)
-    if op in ("eq", "ne"):
-        if isinstance(expected, bool):
-            same = F.when(v["kind"] == "boolean", v["b"] == expected).when(v["kind"] == "number", v["n"] == float(expected)).otherwise(F.lit(False))
-        elif isinstance(expected, int | float):
-            same = F.when(v["kind"] == "number", v["n"] == float(expected)).when(v["kind"] == "boolean", v["b"].cast("double") == float(expected)).otherwise(F.lit(False))
-        else:
-            same = (v["kind"] == "text") & (text == low(expected))
-        return same if op == "eq" else ~same
-    if op in ("gt", "gte", "lt", "lte"):
-        n = as_number(v)
-        return {"gt": n > expected, "gte": n >= expected, "lt": n < expected, "lte": n <= expected}[op]
-    if op in ("in", "not_in"):
-        # kinds stay apart: text is not in a list of numbers, nor a number in one of texts
-        items = _expected_set(expected) if isinstance(expected, str) else expected
-        texts, numbers = [low(x) for x in items if isinstance(x, str)], [float(x) for x in items if isinstance(x, bool | int | float)]
-        inside = F.when(v["kind"] == "text", text.isin(texts)).when(v["kind"] == "number", v["n"].isin(numbers)).when(v["kind"] == "boolean", v["b"].cast("double").isin(numbers))
-        return inside if op == "in" else ~inside
-    if op == "not_contains":
-        return ~compare("contains", v, expected, fold_case)
-    if op == "contains":
-        return F.when(v["kind"] == "text", F.contains(text, F.lit(low(str(expected))))).when(v["kind"] == "list", F.array_contains(v["l"], str(expected))).otherwise(text == low(str(expected)))
-    if op in ("regex_match", "regex_not_match"):
-        found = as_text(v).rlike(("(?iu)" if fold_case else "") + expected)
-        return found if op == "regex_match" else ~found
-    mine, want = as_set(v), F.array(*[F.lit(x) for x in _expected_set(expected)])
-    if op == "subset_of":
-        return F.size(F.array_except(mine, want)) == 0
-    if op == "superset_of":
-        return F.size(F.array_except(want, mine)) == 0
-    if op == "disjoint_from":
-        return ~F.arrays_overlap(mine, want)
-    raise ValueError(f"unknown operator {op}")
+    return OPERATORS[op](v, _literal(expected_of(op, expected, fold_case)))
 
 
 @dataclass(frozen=True)
@@ -177,18 +259,14 @@ def rules_of(table: DataFrame) -> dict[str, object]:
 
 @cache
 def _is_pattern(pattern: str) -> bool:
-    """Whether Spark takes the pattern; it is matched against one empty text."""
+    """Whether Java takes the pattern, as Spark will."""
     try:
-        SparkSession.active().sql("SELECT '' RLIKE :pattern", args={"pattern": pattern}).collect()
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
         return True
-    except PySparkException:
+    except (Py4JError, PySparkException):
         return False
 
 
-def _is_number(x) -> bool:
-    return isinstance(x, int | float) and not isinstance(x, bool)
-
-
 def problem(tree) -> str | None:
     """Why a node by itself cannot be evaluated; None: it can."""
     if isinstance(tree, Malformed):
@@ -198,16 +276,16 @@ def problem(tree) -> str | None:
     if not isinstance(tree, FactCheck | Count):
         return None
     wanted = tree.expected if isinstance(tree, FactCheck) else tree.threshold
-    if (isinstance(tree, Count) or tree.op in ("gt", "gte", "lt", "lte")) and not _is_number(wanted):
+    if isinstance(tree, Count) and not _is_number(wanted):
         return f"not a number: {wanted}"
-    if tree.op in ("regex_match", "regex_not_match") and not (isinstance(wanted, str) and _is_pattern(wanted)):
-        return f"not a pattern: {wanted}"
     if isinstance(tree, FactCheck) and (tree.quantifier not in ("all", "any") or tree.on_missing not in RESULTS):
         return "unknown quantifier or result"
     try:
-        compare(tree.op, value(n=F.lit(0)), wanted)
+        fields = expected_of(tree.op, wanted, isinstance(tree, FactCheck) and tree.fold_case)
     except (ValueError, TypeError) as e:
         return repr(e)
+    if tree.op in ("regex_match", "regex_not_match") and not _is_pattern(fields["pattern"]):
+        return f"not a pattern: {wanted}"
     return None
 
 
