@@ -11,6 +11,7 @@ from ledgerlake.plans import (  # noqa: F401  importing registers
     lines,
     mining,
     rollups,
+    rulebook,
     sources,
     streams,
     windows,
