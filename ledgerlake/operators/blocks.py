@@ -1,11 +1,19 @@
-"""Blocks of lines: runs, depth, indentation, and the tightest block around a line."""
+"""Blocks of lines: runs, depth, brackets, indentation, the tightest block around a line, and extraction by the blocks around it."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerlake.operators.lines import first_match
+
 
 def runs(rows: DataFrame, group: list[str], order: list[str], key: str) -> DataFrame:
     """rows with run, counted from 1: rows of a group with the same key one after another."""
@@ -24,15 +32,170 @@ def occurrences(text: Column, part: str) -> Column:
     return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(part), F.lit("")))) / len(part.encode())).cast("int")
 
 
-def tightest(points: DataFrame, blocks: DataFrame, group: str, point: str, key: list[str]) -> DataFrame:
-    """Each point with the block (block, start, end) around it of least span, then least start; none: left out.
+def spans(rows: DataFrame, group: list[str], pos: str, net: Column, anchor: Column, last: Column) -> DataFrame:
+    """(group, start, end, depth) of the blocks that anchors open: from the anchor to the first later row that returns to the depth before it.
+
+    net is how many brackets a row opens more than it closes; rows of net 0 that are no anchors may be left out beforehand. A row of several
+    brackets counts by its net alone. An anchor that opens nothing is a block of its own, one that is never closed ends at last, the last
+    row of its group. An opening and the row that closes it are neighbours among the rows that pass its depth, so nothing is joined.
+    """
+    rows = rows.select(*group, F.col(pos).alias("at"), net.cast("int").alias("net"), anchor.alias("anchor"), last.alias("last"))
+    deep = rows.withColumn("after", F.sum("net").over(Window.partitionBy(*group).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.col("after") - F.col("net")
+    passed = F.when(F.col("net") < 0, F.sequence(F.col("after") + 1, before)).when(F.col("anchor") & (F.col("net") > 0), F.array(before + 1))
+    level = Window.partitionBy(*group, "level").orderBy("at")
+    marks = deep.filter((F.col("net") < 0) | (F.col("anchor") & (F.col("net") > 0))).select(*group, "at", "last", (F.col("net") > 0).alias("opens"), F.explode(passed).alias("level"))
+    closed = marks.withColumn("next", F.lead(F.struct("at", "opens")).over(level)).filter("opens")
+    found = closed.select(*group, F.col("at").alias("start"), F.when(~F.col("next.opens"), F.col("next.at")).otherwise(F.col("last")).alias("end"), F.col("level").alias("depth"))
+    alone = deep.filter(F.col("anchor") & (F.col("net") <= 0)).select(*group, F.col("at").alias("start"), F.col("at").alias("end"), (before + 1).alias("depth"))
+    return found.unionByName(alone)
+
+
+#: Positions of a bin of tightest().
+BIN = 16_384
+#: Bins are covered by runs of 2**level bins that begin at a multiple of their length.
+_LEVELS = 48
+
+
+def _covered(first: Column, end: Column) -> Column:
+    """The runs (level, run) of bins that make up the bins from first up to and without end."""
+
+    def at(k: Column) -> Column:
+        low, high = -F.call_function("shiftright", -first, k), F.call_function("shiftright", end, k)
+        run = lambda i, there: F.when((low < high) & there, F.struct(k.alias("level"), i.alias("run")))
+        return F.array(run(low, F.pmod(low, F.lit(2)) == 1), run(high - 1, F.pmod(high, F.lit(2)) == 1))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS - 1)), at)))
 
-    The group is an equi key of the join, so no pair of different groups is made.
+
+def tightest(points: DataFrame, blocks: DataFrame, group: str, point: str, key: list[str], width: int = BIN) -> DataFrame:
+    """Each point with the block (block, start, end) around it of least span, then least start, then least block; none: left out.
+
+    Positions are whole numbers, cut into bins of width. Points go to their bin, a block to the bins in which it begins and ends. Of all
+    blocks that cover a bin whole only the tightest can matter there; each is put down at the few runs of bins that make up what it covers, and
+    a bin looks up the runs it lies in. So rows grow with neither the overlap of blocks nor their length, and a group with many rows is dealt by its
+    bins. In a bin, blocks are painted over its points from the widest to the tightest, in one pass over sorted rows. Blocks that end before they start
+    hold nothing, and rows without a group or position neither hold nor lie in one.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in [*points.schema, *blocks.schema]}
+    bin_of = lambda c: F.floor(F.col(c) / width).cast("long")
+    b = blocks.select(F.col(group).alias("g"), F.col("start").cast("long"), F.col("end").cast("long"), "block").filter("g IS NOT NULL AND end >= start")
+    rank = F.struct((F.col("end") - F.col("start")).alias("span"), F.col("start").alias("start"), F.col("block").alias("block"))
+    b = b.select("g", "start", "end", rank.alias("rank"), bin_of("start").alias("b1"), bin_of("end").alias("b2"))
+    p = points.filter(F.col(group).isNotNull() & F.col(point).isNotNull()).select(F.col(group).alias("g"), bin_of(point).alias("bin"), F.col(point).cast("long").alias("lo"), F.struct(*key).alias("key"))
+
+    ends = b.select("g", "start", "end", "rank", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("bin"))
+    parts = ends.select("g", "bin", F.greatest("start", F.col("bin") * width).alias("lo"), F.least("end", F.col("bin") * width + width - 1).alias("hi"), "rank")
+    runs_of = b.filter(F.col("b2") - F.col("b1") > 1).select("g", "rank", F.explode(_covered(F.col("b1") + 1, F.col("b2"))).alias("c")).groupBy("g", "c.level", "c.run").agg(F.min("rank").alias("rank"))
+    lies_in = p.select("g", "bin").distinct().select("g", "bin", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS - 1))).alias("level")).withColumn("run", F.call_function("shiftright", F.col("bin"), F.col("level")))
+    whole = lies_in.join(runs_of, ["g", "level", "run"]).groupBy("g", "bin").agg(F.min("rank").alias("rank"))
+    parts = parts.unionByName(whole.select("g", "bin", (F.col("bin") * width).alias("lo"), (F.col("bin") * width + width - 1).alias("hi"), "rank"))
+    # of blocks with the same extent in a bin one is enough
+    parts = parts.groupBy("g", "bin", "lo", "hi").agg(F.min("rank").alias("rank"))
+    rows = parts.unionByName(p, allowMissingColumns=True)
+    rows = rows.select("g", "bin", "lo", "hi", "key", "rank.span", "rank.start", F.col("rank.block").alias("block"))
+    return _painted(rows.repartition("g", "bin").sortWithinPartitions("g", "bin", "lo"), group, key, kind)
+
+
+def _painted(rows: DataFrame, group: str, key: list[str], kind: dict[str, str]) -> DataFrame:
+    """(group, key, block) of the points of rows(g, bin, lo, hi, key, span, start, block), in which those of a bin stand together; blocks have no key."""
+
+    def paint(held: pa.Table) -> pa.RecordBatch:
+        names = held.column("g").combine_chunks().dictionary_encode().indices.to_numpy()
+        bins, lo = held.column("bin").to_numpy(), held.column("lo").to_numpy()
+        changes = np.append(True, (names[1:] != names[:-1]) | (bins[1:] != bins[:-1]))
+        number = np.cumsum(changes) - 1
+        is_block = ~held.column("hi").combine_chunks().is_null().to_numpy(zero_copy_only=False)
+        at, of = np.flatnonzero(~is_block), np.flatnonzero(is_block)
+        # places of all bins one after another, so that one search serves all of them
+        base = np.minimum.reduceat(lo, np.flatnonzero(changes))[number]
+        hi = held.column("hi").take(pa.array(of)).to_numpy().astype(np.int64)
+        far = int(max((lo - base).max(initial=0), (hi - base[of]).max(initial=0))) + 1
+        place = number * far + (lo - base)
+        first, end = np.searchsorted(place[at], place[of]), np.searchsorted(place[at], number[of] * far + (hi - base[of]), "right")
+        span, start = (held.column(c).take(pa.array(of)).to_numpy().astype(np.int64) for c in ("span", "start"))
+        block = held.column("block").take(pa.array(of)).combine_chunks()
+        rank = np.argsort(pc.array_sort_indices(block).to_numpy()) if len(of) else np.zeros(0, np.int64)
+        chosen = np.full(len(at), -1, np.int64)
+        for i in np.lexsort((rank, start, span))[::-1]:
+            chosen[first[i] : end[i]] = i
+        inside = np.flatnonzero(chosen >= 0)
+        taken = held.take(pa.array(at[inside]))
+        keys = taken.column("key").combine_chunks()
+        return pa.RecordBatch.from_arrays([taken.column("g").combine_chunks(), *[keys.field(k) for k in key], block.take(pa.array(chosen[inside]))], [group, *key, "block"])
+
+    def pass_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            same = lambda a, i, x, j: a.column("g")[i] == x.column("g")[j] and a.column("bin")[i] == x.column("bin")[j]
+            cut = batch.num_rows
+            while cut and same(batch, cut - 1, batch, batch.num_rows - 1):
+                cut -= 1
+            if cut or (held and not same(held[-1], held[-1].num_rows - 1, batch, 0)):
+                yield paint(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield paint(pa.Table.from_batches(held))
+
+    types = ", ".join(f"`{c}` {kind[c]}" for c in [group, *key, "block"])
+    return rows.mapInArrow(pass_over, types)
+
+
+def around(blocks: DataFrame, group: str, depth: int, width: int = BIN) -> DataFrame:
+    """(group, block, chain): each block of blocks(group, block, start, end, kind) with the kinds of the blocks around it, its own first.
+
+    Blocks nest; depth is how many of them do at most. Blocks further out are left out of the chain.
+    """
+    own = blocks.select(group, "block", "start", "end", "kind")
+    # twice as many positions, so that the place just before a block's start is inside what is around it and nothing else
+    wide = own.select(group, "block", (F.col("start") * 2).alias("start"), (F.col("end") * 2).alias("end"))
+    outer = tightest(own.select(group, F.col("block").alias("inner"), (F.col("start") * 2 - 1).alias("before")), wide, group, "before", ["inner"], width)
+    parent = outer.select(group, F.col("inner").alias("block"), F.col("block").alias("parent"))
+    level = own.select(group, "block", "kind").join(parent, [group, "block"], "left")
+    up = level.select(F.col(group).alias("g"), F.col("block").alias("up"), F.col("kind").alias("up_kind"), F.col("parent").alias("up_parent"))
+    chain = level.select(group, "block", F.array("kind").alias("chain"), "parent")
+    for _ in range(depth - 1):
+        joined = chain.join(up, (chain[group] == up["g"]) & (chain["parent"] == up["up"]), "left")
+        chain = joined.select(group, "block", F.when(F.col("up_kind").isNotNull(), F.concat("chain", F.array("up_kind"))).otherwise(F.col("chain")).alias("chain"), F.col("up_parent").alias("parent"))
+    return chain.select(group, "block", "chain")
+
+
+def scoped_match(line: Column, chain: Column, depth: int, children: dict[str, list[tuple[str, str]]], pack: list[tuple[str, str]], taught: list[tuple[str, str]]) -> Column:
+    """(scope, pattern) of the first pattern that matches the line: those of the blocks in chain, innermost first, then the pack's, then taught ones.
+
+    Null if none does. scope is the kind of the block, pack or taught. A taught pattern never takes a line from a vetted one.
+    """
+    hit = lambda scope, pattern: F.when(pattern.isNotNull(), F.struct(scope.alias("scope"), pattern.alias("pattern")))
+    own = {kind: first_match(line, patterns) for kind, patterns in children.items() if patterns}
+    tried = []
+    for i in range(depth):
+        kind = F.get(chain, F.lit(i))
+        if own:
+            by_kind = reduce(lambda a, x: a.when(kind == x[0], x[1]), list(own.items())[1:], F.when(kind == next(iter(own)), own[next(iter(own))]))
+            tried.append(hit(kind, by_kind))
+    for scope, patterns in (("pack", pack), ("taught", taught)):
+        if patterns:
+            tried.append(hit(F.lit(scope), first_match(line, patterns)))
+    return F.coalesce(*tried)
+
+
+def extract(lines: DataFrame, blocks: DataFrame, group: str, depth: int, children: dict, pack: list, taught: list, width: int = BIN) -> tuple[DataFrame, DataFrame]:
+    """The matched lines and the residue of lines(group, line_no, stripped, ...).
+
+    Matched lines have scope and pattern; those of the residue have the line number (block), kind (block_path) and text (block_line) of
+    the innermost block's anchor, null outside all blocks. Anchors of blocks(group, block, start, end, kind) are in neither.
     """
-    b = blocks.withColumnRenamed(group, "__g")
-    inside = points.join(b, (points[group] == b["__g"]) & points[point].between(b["start"], b["end"])).drop("__g")
-    best = F.min_by("block", F.struct(F.col("end") - F.col("start"), F.col("start"), F.col("block")))
-    return inside.groupBy(group, *key).agg(best.alias("block"))
+    rest = lines.join(blocks.select(group, F.col("start").alias("line_no")).distinct(), [group, "line_no"], "left_anti")
+    inside = tightest(rest.select(group, "line_no"), blocks, group, "line_no", ["line_no"], width).distinct()
+    placed = rest.join(inside, [group, "line_no"], "left").join(around(blocks, group, depth, width), [group, "block"], "left")
+    decided = placed.withColumn("m", scoped_match(F.col("stripped"), F.col("chain"), depth, children, pack, taught))
+    matched = decided.filter("m IS NOT NULL").select(*lines.columns, "m.scope", "m.pattern")
+    anchors = blocks.select(group, "block", F.col("start").alias("line_no")).join(lines.select(group, "line_no", F.col("stripped").alias("block_line")), [group, "line_no"]).select(group, "block", "block_line")
+    left = decided.filter("m IS NULL").select(*lines.columns, "block", F.get("chain", F.lit(0)).alias("block_path"))
+    return matched, left.join(anchors, [group, "block"], "left").select(*lines.columns, "block", "block_path", "block_line")
 
 
 def indent_blocks(lines: DataFrame, key: str, anchor: str) -> DataFrame:

@@ -101,3 +101,101 @@ def block_membership(spark: SparkSession, sf: str) -> DataFrame:
     anchors = intervals(spark, sf).filter("end > start")
     members = table(spark, sf, "events").filter("event_type <> 'purchase'").select("user_id", "event_id")
     return b.tightest(members, anchors, "user_id", "event_id", ["event_id"]).groupBy("user_id", "block").agg(F.count("*").alias("members"))
+
+
+#: Kinds of elements whose extents are blocks; a line is what stands before each '>' of a page.
+KINDS = ("html", "head", "body", "nav", "ul", "li", "article", "footer")
+
+_PIECES = """WITH t AS (SELECT page_id, string_split(coalesce(html, ''), '>') AS p FROM pages),
+e AS (SELECT page_id, unnest(p) AS part, unnest(range(1, len(p) + 1)) AS pos, len(p) AS last FROM t),
+"""
+_SPANS = (
+    _PIECES
+    + f"""k AS (SELECT * FROM e, (VALUES {", ".join(f"('{k}')" for k in KINDS)}) g(kind)),
+n AS (SELECT *, regexp_matches(part, '<' || kind || '( |$)')::INT - regexp_matches(part, '</' || kind || '$')::INT AS net FROM k),
+d AS (SELECT *, sum(net) OVER (PARTITION BY page_id, kind ORDER BY pos) AS depth FROM n),
+s AS (SELECT o.page_id, o.kind, o.pos AS start, coalesce(min(c.pos), any_value(o.last)) AS stop, any_value(o.depth)::BIGINT AS depth FROM d o LEFT JOIN d c
+  ON o.page_id = c.page_id AND o.kind = c.kind AND c.pos > o.pos AND c.net < 0 AND c.depth < o.depth WHERE o.net = 1 GROUP BY 1, 2, 3)
+"""
+)
+
+
+def pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """(page_id, last, pos, part)"""
+    split = F.split(F.coalesce("html", F.lit("")), ">", -1)
+    return table(spark, sf, "pages").select("page_id", F.size(split).alias("last"), F.posexplode(split).alias("at", "part")).select("page_id", "last", (F.col("at") + 1).alias("pos"), "part")
+
+
+def element_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """(page_id, kind, start, end, depth) of the elements of KINDS."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), (F.col("part").rlike(f"<{k}( |$)").cast("int") - F.col("part").rlike(f"</{k}$").cast("int")).alias("net")) for k in KINDS])
+    marks = pieces(spark, sf).filter(F.contains("part", F.lit("<"))).select("page_id", "last", "pos", F.inline(F.filter(kinds, lambda x: x["net"] != 0)))
+    return b.spans(marks, ["page_id", "kind"], "pos", F.col("net"), F.col("net") > 0, F.col("last"))
+
+
+@query(_SPANS + "SELECT page_id, kind, start, stop, depth FROM s")
+def block_spans_delimited(spark: SparkSession, sf: str) -> DataFrame:
+    return element_spans(spark, sf).select("page_id", "kind", "start", F.col("end").alias("stop"), "depth")
+
+
+#: Lines of a page as code: cut at ';' and brackets of any kind count as braces; lines that begin with a comment sign count nothing.
+_CODE = r"""WITH t AS (SELECT page_id, string_split(regexp_replace(coalesce(html, ''), '[(<]', '{', 'g').replace(')', '}').replace('>', '}'), ' ') AS p FROM pages),
+e AS (SELECT page_id, unnest(p) AS part, unnest(range(1, len(p) + 1)) AS pos, len(p) AS last FROM t),
+n AS (SELECT *, CASE WHEN starts_with(part, '!') THEN 0 ELSE len(part) - len(replace(part, '{', '')) - len(part) + len(replace(part, '}', '')) END AS net FROM e),
+d AS (SELECT *, sum(net) OVER (PARTITION BY page_id ORDER BY pos) AS depth FROM n),
+"""
+
+
+@query(_CODE + """o AS (SELECT * FROM d WHERE contains(part, '{') AND NOT starts_with(part, '!')),
+c AS (SELECT o.page_id, o.pos, min(d.pos) AS stop FROM o JOIN d ON o.page_id = d.page_id AND d.pos > o.pos AND d.net < 0 AND d.depth <= o.depth - o.net WHERE o.net > 0 GROUP BY 1, 2)
+SELECT o.page_id, o.pos AS start, CASE WHEN o.net <= 0 THEN o.pos ELSE coalesce(stop, o.last) END AS stop, (o.depth - o.net + 1)::BIGINT AS depth FROM o LEFT JOIN c USING (page_id, pos)""")
+def block_spans_brace(spark: SparkSession, sf: str) -> DataFrame:
+    braced = F.replace(F.replace(F.regexp_replace(F.coalesce("html", F.lit("")), "[(<]", "{"), F.lit(")"), F.lit("}")), F.lit(">"), F.lit("}"))
+    split = F.split(braced, " ", -1)
+    rows = table(spark, sf, "pages").select("page_id", F.size(split).alias("last"), F.posexplode(split).alias("at", "part"))
+    net = F.when(F.col("part").startswith("!"), 0).otherwise(b.occurrences(F.col("part"), "{") - b.occurrences(F.col("part"), "}"))
+    marks = rows.select("page_id", "last", (F.col("at") + 1).alias("pos"), net.alias("net"), (F.contains("part", F.lit("{")) & ~F.col("part").startswith("!")).alias("anchor"))
+    found = b.spans(marks.filter("net <> 0 OR anchor"), ["page_id"], "pos", F.col("net"), F.col("anchor"), F.col("last"))
+    return found.select("page_id", "start", F.col("end").alias("stop"), "depth")
+
+
+#: Patterns of the blocks, of the pack, and taught ones.
+CHILDREN = {
+    "head": [("head.title", ".*<title$"), ("head.any", "<.*")],
+    "nav": [("nav.link", '<a href="/[a-z].*')],
+    "li": [("li.link", '<a href="/[A-Z].*'), ("li.text", r"\w+</a$")],
+    "article": [("article.heading", "<h1$"), ("article.paragraph", ".*<p$")],
+}
+PACK_PATTERNS = [("close", ".*</(a|p|b)$"), ("break", ".*<br$")]
+TAUGHT = [("taught:ad", '<div class="ad".*'), ("taught:any-p", ".*<p$"), ("taught:comment", "<!--.*")]
+
+_IN_ORDER = [(k, i, n, p) for k, ps in CHILDREN.items() for i, (n, p) in enumerate(ps)]
+_SCOPED = (
+    _SPANS
+    + f""", r AS (SELECT page_id, pos, trim(part, ' ' || chr(9)) AS part FROM e WHERE trim(part, ' ' || chr(9)) <> '' AND NOT EXISTS (SELECT 1 FROM s WHERE s.page_id = e.page_id AND s.start = e.pos)),
+i AS (SELECT r.page_id, r.pos, r.part, s.kind, s.start, row_number() OVER (PARTITION BY r.page_id, r.pos ORDER BY s.stop - s.start, s.start, s.kind) AS near FROM r JOIN s ON s.page_id = r.page_id AND r.pos BETWEEN s.start AND s.stop),
+pt AS (SELECT * FROM (VALUES {", ".join("('" + k + "', " + str(i) + ", '" + n + "', '^(?:" + p + ")')" for k, i, n, p in _IN_ORDER)}) g(scope, i, name, regex)),
+others AS (SELECT * FROM (VALUES {", ".join(f"('{scope}', {place + i}, '{n}', '^(?:{p})')" for scope, place, ps in (("pack", 100000, PACK_PATTERNS), ("taught", 200000, TAUGHT)) for i, (n, p) in enumerate(ps))}) g(scope, place, name, regex)),
+hits AS (SELECT page_id, pos, near * 100 + pt.i AS place, scope, name FROM i JOIN pt ON pt.scope = i.kind AND regexp_matches(i.part, regex)
+  UNION ALL SELECT page_id, pos, place, scope, name FROM r JOIN others ON regexp_matches(r.part, regex)),
+m AS (SELECT page_id, pos, arg_min(scope, place) AS scope, arg_min(name, place) AS pattern FROM hits GROUP BY 1, 2)
+"""
+)
+
+
+def scoped(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    part = F.btrim("part", F.lit(" \t"))
+    lines = pieces(spark, sf).select("page_id", F.col("pos").alias("line_no"), part.alias("stripped")).filter("stripped <> ''")
+    found = element_spans(spark, sf).select("page_id", F.col("start").alias("block"), "start", "end", "kind")
+    return b.extract(lines, found, "page_id", len(KINDS), CHILDREN, PACK_PATTERNS, TAUGHT)
+
+
+@query(_SCOPED + "SELECT page_id, pos, scope, pattern FROM m")
+def block_scoped_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return scoped(spark, sf)[0].select("page_id", F.col("line_no").alias("pos"), "scope", "pattern")
+
+
+@query(_SCOPED + """SELECT r.page_id, r.pos, r.part, i.kind AS block_path, trim(a.part, ' ' || chr(9)) AS block_line FROM r LEFT JOIN m USING (page_id, pos)
+LEFT JOIN i ON i.page_id = r.page_id AND i.pos = r.pos AND i.near = 1 LEFT JOIN e a ON a.page_id = r.page_id AND a.pos = i.start WHERE m.pattern IS NULL""")
+def residue_with_block(spark: SparkSession, sf: str) -> DataFrame:
+    return scoped(spark, sf)[1].select("page_id", F.col("line_no").alias("pos"), F.col("stripped").alias("part"), "block_path", "block_line")
