@@ -10,7 +10,8 @@ from ledgerlake.operators import ledger as led
 from ledgerlake.plans.facts import LINES_SQL
 from ledgerlake.plans.facts import lines as order_lines
 from ledgerlake.registry import query
-from ledgerlake.session import table
+from ledgerlake.session import shared_folder, table
+from ledgerlake.sources.segments import Ledger
 
 #: The fields of a record, in the order of their names.
 _FIELDS = ("event_id", "event_type", "merkle_root", "props", "ts", "user_id", "value")
@@ -77,3 +78,14 @@ def verify_chain(spark: SparkSession, sf: str) -> DataFrame:
 def ledger_append_only(spark: SparkSession, sf: str) -> DataFrame:
     step = F.col("event_id") - F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
     return table(spark, sf, "events").select("user_id", "event_id", step.alias("step")).filter("step > 1")
+
+
+@query("""SELECT event_id, event_type, 1 + event_id % 3 AS commit, row_number() OVER (PARTITION BY event_id % 3 ORDER BY event_id) - 1 AS seq, true AS holds FROM events""")
+def ledger_segments(spark: SparkSession, sf: str) -> DataFrame:
+    # three audits append to one ledger, each under the head that the one before left
+    rows = table(spark, sf, "events").select("event_id", "event_type")
+    ledger = Ledger(spark, shared_folder(spark, "ledger"))
+    for part in range(3):
+        ledger.append_retrying(rows.filter(F.col("event_id") % 3 == part), ["event_id"])
+    broken = ledger.broken()
+    return ledger.read().select("event_id", "event_type", F.col("commit").cast("long").alias("commit"), "seq", (~F.col("commit").isin(broken) if broken else F.lit(True)).alias("holds"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,19 +11,14 @@ from ledgerlake.operators import lines as ln
 from ledgerlake.operators.conditions import AllOf, AnyOf, Count, FactCheck, NoneOf, Presence
 from ledgerlake.plans.conditions import DISCOUNT, ENOUGH, LARGE, OPEN, RETURNED
 from ledgerlake.plans.joins import sorted_set, sql_set
-from ledgerlake.plans.lines import PACKS, PATTERNS
+from ledgerlake.plans.lines import PATTERNS
 from ledgerlake.registry import query
-from ledgerlake.session import table
-
-
-def scratch(spark: SparkSession, purpose: str) -> str:
-    """A new folder in the shared place that the session names, or a temporary one where it names none."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+from ledgerlake.session import shared_folder, table
+from ledgerlake.sources.tables import DeviceTable
 
 
 def stored(df: DataFrame, fmt: str, purpose: str, **options) -> str:
-    path = scratch(df.sparkSession, purpose)
+    path = shared_folder(df.sparkSession, purpose)
     df.write.format(fmt).options(**options).save(path)
     return path
 
@@ -181,6 +173,18 @@ def device_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type"))
 
 
+@query("""SELECT l_orderkey AS device, CASE WHEN l_orderkey % 5 = 0 THEN 2 ELSE 1 END AS version, l_linenumber, l_partkey, CASE WHEN l_orderkey % 5 = 0 THEN l_quantity + 1 ELSE l_quantity END AS quantity
+FROM lineitem WHERE l_orderkey % 5 <> 0 OR l_returnflag <> 'R'""")
+def device_table_replace(spark: SparkSession, sf: str) -> DataFrame:
+    # a fifth of the devices deliver again, some of them without any fact; then both deliveries come once more, the older one last
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("device"), F.lit(1).cast("long").alias("version"), "l_linenumber", "l_partkey", F.col("l_quantity").alias("quantity"), "l_returnflag")
+    second = rows.filter("device % 5 = 0").withColumn("version", F.lit(2).cast("long")).withColumn("quantity", F.col("quantity") + 1)
+    kept = DeviceTable(spark, shared_folder(spark, "devices"), rows.drop("l_returnflag").schema, "device", "version", 16)
+    for heads, facts in ((rows, rows), (second, second.filter("l_returnflag <> 'R'")), (second, second.filter("l_returnflag <> 'R'")), (rows, rows)):
+        kept.replace(heads.select("device", "version"), facts.drop("l_returnflag"))
+    return kept.read()
+
+
 @query("""SELECT l_orderkey, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM (SELECT l_orderkey, l_quantity FROM lineitem WHERE l_orderkey % 5 <> 0 UNION ALL SELECT l_orderkey, l_quantity + 1 FROM lineitem WHERE l_orderkey % 5 = 0 AND l_returnflag <> 'R') GROUP BY 1""")
 def facts_replace_by_device(spark: SparkSession, sf: str) -> DataFrame:
     old = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag")
@@ -193,7 +197,7 @@ def facts_replace_by_device(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT l_orderkey, l_partkey, l_linenumber, l_returnflag FROM lineitem")
 def findings_append(spark: SparkSession, sf: str) -> DataFrame:
     row = F.struct("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
-    path = scratch(spark, "findings")
+    path = shared_folder(spark, "findings")
     text = table(spark, sf, "lineitem").select(F.to_json(row).alias("finding"), (F.col("l_orderkey") % 2).alias("half"))
     for half in (0, 1):  # two audits append to one ledger
         text.filter(F.col("half") == half).select("finding").write.mode("append").parquet(path)
@@ -254,6 +258,3 @@ def taught_pattern_export(spark: SparkSession, sf: str) -> DataFrame:
 def ledger_reader(spark: SparkSession, sf: str) -> DataFrame:
     path = stored(table(spark, sf, "events").select("user_id", "event_id", "event_type"), "json", "ledger")
     return spark.read.schema("user_id long, event_id long, event_type string").option("mode", "FAILFAST").json(path)
-
-
-assert PACKS

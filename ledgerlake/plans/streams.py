@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.plans.sources import scratch
 from ledgerlake.registry import query
-from ledgerlake.session import table
-from ledgerlake.streaming.streams import arriving, drained, run_available
+from ledgerlake.session import shared_folder, table
+from ledgerlake.sources.tables import DeviceTable
+from ledgerlake.streaming.streams import arriving, arriving_in_order, drained, run_available
 
 FILES = 4
+#: Rows of a mapping up to which it is sent to all executors.
+MANY = 100_000
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -19,7 +21,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_id, event_type, CASE WHEN value < 0 THEN 'error' ELSE 'ok' END AS state FROM events")
 def stream_config_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    root = scratch(spark, "stream")
+    root = shared_folder(spark, "stream")
     out = f"{root}/out"
 
     def store(batch: DataFrame, n: int) -> None:
@@ -32,27 +34,24 @@ def stream_config_ingest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
 def stream_replace_by_device(spark: SparkSession, sf: str) -> DataFrame:
-    root = scratch(spark, "stream")
-    out = f"{root}/out"
-
-    def replace(batch: DataFrame, n: int) -> None:
-        latest = batch.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), "event_id").alias("e")).select("user_id", "e.*")
-        latest.write.mode("overwrite").parquet(f"{out}/batch={n}")
-
-    run_available(arriving(spark, events(spark, sf), f"{root}/in", FILES), replace, f"{root}/checkpoint")
-    # read side: the newest delivery of a device wins, whatever the order in which files came
-    return spark.read.parquet(out).groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type"))
+    root = shared_folder(spark, "stream")
+    rows = events(spark, sf).select("user_id", "event_id", "event_type")
+    kept = DeviceTable(spark, f"{root}/devices", rows.schema, "user_id", "event_id")
+    # a batch that is run again, or comes late, leaves newer deliveries as they are
+    run_available(arriving(spark, rows, f"{root}/in", FILES), lambda batch, n: kept.replace(batch, batch), f"{root}/checkpoint")
+    return kept.read()
 
 
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN 'mapped.click' WHEN 'view' THEN 'mapped.view' END AS path FROM events")
 def stream_static_mapping(spark: SparkSession, sf: str) -> DataFrame:
-    root = scratch(spark, "stream")
+    root = shared_folder(spark, "stream")
     mappings, out = f"{root}/mappings", f"{root}/out"
     spark.createDataFrame([("click", "mapped.click"), ("view", "mapped.view")], "event_type string, path string").write.parquet(mappings)
 
     def mapped(batch: DataFrame, n: int) -> None:
         now = batch.sparkSession.read.parquet(mappings)  # read again for every batch: a mapping taught meanwhile is in force
-        batch.join(F.broadcast(now), "event_type", "left").select("event_id", "path").write.mode("overwrite").parquet(f"{out}/batch={n}")
+        now = F.broadcast(now) if now.limit(MANY + 1).count() <= MANY else now
+        batch.join(now, "event_type", "left").select("event_id", "path").write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     run_available(arriving(spark, events(spark, sf), f"{root}/in", FILES), mapped, f"{root}/checkpoint")
     return spark.read.parquet(out).drop("batch")
@@ -60,17 +59,21 @@ def stream_static_mapping(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS passed, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events GROUP BY 1")
 def stream_latest_posture(spark: SparkSession, sf: str) -> DataFrame:
-    root = scratch(spark, "stream")
+    root = shared_folder(spark, "stream")
     running = arriving(spark, events(spark, sf), f"{root}/in", FILES).groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("passed"), F.count_if(F.col("event_type") == "error").alias("failed"))
     updates = drained(running, "update", f"{root}/out", f"{root}/checkpoint")
     return updates.groupBy("user_id").agg(F.max_by("passed", "batch").alias("passed"), F.max_by("failed", "batch").alias("failed"))
 
 
+#: A delivery comes again one slice later; rows are kept in mind for somewhat longer than that, and then no more.
+SLICES, HORIZON = 10, "7 days"
+
+
 @query("SELECT event_id, event_type FROM events")
 def stream_dedup_config(spark: SparkSession, sf: str) -> DataFrame:
-    root = scratch(spark, "stream")
-    twice = events(spark, sf).unionByName(events(spark, sf))
-    once = arriving(spark, twice, f"{root}/in", FILES).withWatermark("ts", "3650 days").dropDuplicatesWithinWatermark(["event_id"])
+    root = shared_folder(spark, "stream")
+    twice = arriving_in_order(events(spark, sf), "ts", f"{root}/in", SLICES, again=1)
+    once = twice.withWatermark("ts", HORIZON).dropDuplicatesWithinWatermark(["event_id"])
     return drained(once.select("event_id", "event_type"), "append", f"{root}/out", f"{root}/checkpoint").drop("batch")
 
 

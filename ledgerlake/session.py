@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,6 +28,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Temporary folders of local sessions that name no shared one, by application.
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder, as a URI, below the one in spark.checkpoint.dir or that of setCheckpointDir(); on a local master a temporary one where neither is set.
+
+    On a cluster without either this is a ValueError: executors on other hosts could not see a local folder.
+    """
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or _LOCAL.get(context.applicationId)
+    if not root:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    root = f"file://{root}" if root.startswith("/") else root
+    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """rows over all cores where the input comes in fewer tasks, for work that costs far more than to move them; a large table stays as it is read."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
