@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlake.operators.networks import memberships, star_edges
 from ledgerlake.registry import query
 from ledgerlake.session import table
 
@@ -158,6 +159,17 @@ def subnet_adjacency(spark: SparkSession, sf: str) -> DataFrame:
     return left.join(right, "network").filter("a < b").groupBy("a", "b").agg(F.min("network").alias("network"))
 
 
+@query("""WITH m AS (SELECT c_custkey AS device, CASE c_custkey % 3 WHEN 0 THEN '10.' || c_nationkey || '.0.0/16' WHEN 1 THEN '10.' || c_nationkey || '.' || (c_custkey % 7) || '.0/24'
+  ELSE '10.' || c_nationkey || '.' || (c_custkey % 7) || '.' || (c_custkey % 200 // 64 * 64) || '/26' END AS network FROM customer WHERE c_custkey % 11 <> 0),
+h AS (SELECT network, min(device) AS hub FROM m GROUP BY 1)
+SELECT network, hub, device FROM m JOIN h USING (network) WHERE device > hub""")
+def network_star_edges(spark: SparkSession, sf: str) -> DataFrame:
+    k, part = F.col("c_custkey"), lambda c: c.cast("string")
+    address = F.concat_ws(".", F.lit("10"), part(F.col("c_nationkey")), part(k % 7), part(k % 200))
+    mask = F.when(k % 11 == 0, "255.255.255.255").when(k % 3 == 0, "255.255.0.0").when(k % 3 == 1, "255.255.255.0").otherwise("255.255.255.192")
+    return star_edges(memberships(table(spark, sf, "customer").select(k.alias("id"), address.alias("address"), mask.alias("mask")), "id", "address", "mask"))
+
+
 @query("""WITH a AS (SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey % 7 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 5 <> 0)
 SELECT coalesce(a.o_orderkey, b.o_orderkey) AS control, CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS drift
 FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderpriority IS DISTINCT FROM b.o_orderpriority""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerlake.operators import lines as ln
-from ledgerlake.operators.redact import redact, redact_columns, redact_tail
+from ledgerlake.operators.redact import CREDENTIALS, redact, redact_columns, redact_tail
 from ledgerlake.plans.facts import LINES_SQL
 from ledgerlake.plans.facts import lines as order_lines
 from ledgerlake.registry import query
@@ -233,3 +233,21 @@ def corpus_line_collect(spark: SparkSession, sf: str) -> DataFrame:
     # line 3 exists exactly where a document has three lines or more
     enough = rows.filter("line_no = 3").select("doc_id").distinct()
     return ln.significant(rows).join(enough, "doc_id", "left_semi").select(F.col("stripped").alias("line")).distinct()
+
+
+_S = "<redacted:secret>"
+
+
+@query(f"""SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'enable secret 5 {_S}' WHEN 1 THEN 'username ' || c_mktsegment || ' privilege 15 password 7 {_S}'
+WHEN 2 THEN 'snmp-server community ' || CASE WHEN c_custkey % 16 < 8 THEN 'public' ELSE '{_S}' END || ' RO' WHEN 3 THEN ' neighbor 10.0.0.2 password 7 {_S} up' WHEN 4 THEN 'set password ENC {_S}'
+WHEN 5 THEN 'description ' || c_name WHEN 6 THEN ' key ' || c_custkey ELSE 'radius-server host h auth-port 1812 key {_S}' END AS line FROM customer""")
+def redact_credentials(spark: SparkSession, sf: str) -> DataFrame:
+    k, name = F.col("c_custkey"), F.col("c_name")
+    community = F.when(k % 16 < 8, "public").otherwise(name)
+    forms = [
+        F.concat(F.lit("enable secret 5 "), name), F.concat(F.lit("username "), "c_mktsegment", F.lit(" privilege 15 password 7 "), name), F.concat(F.lit("snmp-server community "), community, F.lit(" RO")),
+        F.concat(F.lit(" neighbor 10.0.0.2 password 7 "), name, F.lit(" up")), F.concat(F.lit("set password ENC "), name), F.concat(F.lit("description "), name), F.concat(F.lit(" key "), k.cast("string")),
+        F.concat(F.lit("radius-server host h auth-port 1812 key "), name),
+    ]
+    lines = table(spark, sf, "customer").select(k, F.element_at(F.array(*forms), (k % 8 + 1).cast("int")).alias("line"))
+    return redact_columns(lines, ["line"], CREDENTIALS)

@@ -14,6 +14,7 @@ from ledgerlake.plans.joins import sorted_set, sql_set
 from ledgerlake.plans.lines import PATTERNS
 from ledgerlake.registry import query
 from ledgerlake.session import shared_folder, table
+from ledgerlake.sources.catalogs import controls
 from ledgerlake.sources.tables import DeviceTable
 
 
@@ -98,6 +99,34 @@ def oscal_catalog_source(spark: SparkSession, sf: str) -> DataFrame:
     return read.select(control_id(F.col("id")).alias("control_id"), "title").unionByName(below)
 
 
+_TREE_ID = "'RG-' || lpad(n_regionkey::VARCHAR, 2, '0')"
+
+
+@query(f"""SELECT DISTINCT {_TREE_ID} AS control_id, r_name AS title, '' AS statement, 1 AS depth FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey
+UNION ALL SELECT {_TREE_ID} || '(' || lpad(n_nationkey::VARCHAR, 2, '0') || ')', n_name, 'Keep [assignment: ' || n_nationkey || '_prm]:' || chr(10) || '  a. ' || n_name, 2 FROM nation WHERE n_nationkey % 7 <> 0 AND n_nationkey IN (SELECT s_nationkey FROM supplier)
+UNION ALL SELECT {_TREE_ID} || '(' || (s_suppkey + 100) || ')', s_name, 'See ' || s_name, 3 FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 5 <> 0""")
+def oscal_catalog_tree(spark: SparkSession, sf: str) -> DataFrame:
+    # regions hold nations, which hold suppliers; withdrawn nations keep what is below them
+    text = lambda *c: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in c])
+    field = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
+    props = lambda gone, label: F.array(field("label", label), field("status", F.when(gone, "withdrawn").otherwise("active")))
+    region, nation, key = (F.col(c).cast("string") for c in ("n_regionkey", "n_nationkey", "s_suppkey"))
+    rows = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    low = F.struct(
+        text("rg-", region, ".", (F.col("s_suppkey") + 100).cast("string")).alias("id"), F.col("s_name").alias("title"), props(F.col("s_suppkey") % 5 == 0, key).alias("props"),
+        F.array(F.struct(F.lit("statement").alias("name"), text("See ", F.col("s_name")).alias("prose"))).alias("parts"),
+    )
+    nations = rows.groupBy("n_nationkey", "n_regionkey", "n_name").agg(F.collect_list(low).alias("controls"))
+    item = F.struct(F.lit("item").alias("name"), F.col("n_name").alias("prose"), F.array(field("label", F.lit("a."))).alias("props"))
+    statement = F.struct(F.lit("statement").alias("name"), text("Keep {{ insert: param, ", nation, "_prm }}:").alias("prose"), F.array(item).alias("parts"))
+    middle = F.struct(text("rg-", region, ".", nation).alias("id"), F.col("n_name").alias("title"), props(F.col("n_nationkey") % 7 == 0, nation).alias("props"), F.array(statement).alias("parts"), F.col("controls"))
+    regions = nations.groupBy("n_regionkey").agg(F.collect_list(middle).alias("below")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    root = F.struct(text("rg-", region).alias("id"), F.col("r_name").alias("title"), F.col("below").alias("controls"))
+    trees = regions.select(F.col("r_regionkey").alias("catalog"), F.to_json(F.struct(F.array(root).alias("controls"))).alias("text"))
+    read = spark.read.schema("catalog int, text string").json(stored(trees, "json", "oscal-tree"))
+    return controls(read, "catalog", "text").select("control_id", "title", "statement", F.size("place").alias("depth"))
+
+
 @query("SELECT p_partkey::VARCHAR AS control_id, CASE WHEN p_size > 20 THEN p_name || chr(10) || chr(10) || p_type ELSE p_name END AS discussion FROM part WHERE p_partkey % 13 <> 0")
 def cis_catalog_source(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "part").select(F.when(F.col("p_partkey") % 13 == 0, "").otherwise(F.col("p_partkey").cast("string")).alias("section"), F.col("p_name").alias("description"), F.when(F.col("p_size") > 20, F.col("p_type")).otherwise("").alias("rationale"))

@@ -3,8 +3,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlake.operators.networks import memberships, star_edges
 from ledgerlake.sources.segments import HeadMoved, Ledger
 from ledgerlake.sources.tables import DeviceTable
+from ledgerlake.streaming.streams import arriving_in_order, run_available
 
 SCHEMA = "device string, version long, path string, value int"
 
@@ -67,3 +69,20 @@ def test_changed_records_show(spark, tmp_path):
     kept = spark.createDataFrame([tuple(r) for r in spark.read.parquet(f"{tmp_path}/ledger/segments/{first}").collect()], "id long, seq long")
     kept.withColumn("id", F.when(F.col("seq") == 5000, -1).otherwise(F.col("id"))).write.mode("overwrite").parquet(f"{tmp_path}/ledger/segments/{first}")
     assert ledger.broken() == [1]
+
+
+def test_state_of_a_stream_ends_after_its_horizon(spark, tmp_path):
+    day = 86_400_000_000
+    rows = spark.range(4000).select("id", F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 40 * day // 4000).alias("ts"))
+    twice = arriving_in_order(rows, "ts", f"{tmp_path}/in", 20, again=1)
+    once = twice.withWatermark("ts", "5 days").dropDuplicatesWithinWatermark(["id"])
+    held = run_available(once, lambda batch, n: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}"), f"{tmp_path}/checkpoint")
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(4000))
+    assert len(held) >= 20 and max(held) < 1500  # of 4,000 keys
+
+
+def test_networks_are_stars(spark):
+    rows = [(d, f"10.0.0.{d}", "255.255.255.0") for d in range(1, 200)] + [(5, "10.9.9.5", "255.255.0.0"), (6, "10.9.1.6", "255.255.0.0"), (7, "nonsense", "255.255.0.0"), (8, None, None), (None, "10.0.0.3", "255.255.255.0"), (5, "10.0.0.5", "255.255.255.0")]
+    m = memberships(spark.createDataFrame(rows, "d int, a string, m string"), "d", "a", "m")
+    got = {tuple(r) for r in star_edges(m).collect()}
+    assert got == {("10.0.0.0/24", 1, d) for d in range(2, 200)} | {("10.9.0.0/16", 5, 6)}
