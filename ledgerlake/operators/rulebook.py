@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import conditions as c
+from ledgerlake.session import kept
 
 #: Rows of the table of checks up to which it is sent to all executors.
 SMALL = 50_000
@@ -84,9 +85,9 @@ class Rulebook:
         return ("leaf", self.checks[key])
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """(path, path_id, device_checks, block_checks); sent to all executors where the checks are few."""
-        rows = [(p, i, *[[_fields(x) for x, _, _ in side] for side in sides]) for i, (p, sides) in enumerate(self.paths.items())]
-        table = spark.createDataFrame(rows, f"path string, path_id int, device_checks array<{_CHECK}>, block_checks array<{_CHECK}>")
+        """(path, path_id, on_device, checks): a path's checks, of which the first on_device are devices'; sent to all executors where the checks are few."""
+        rows = [(p, i, len(sides[0]), [_fields(x) for side in sides for x, _, _ in side]) for i, (p, sides) in enumerate(self.paths.items())]
+        table = spark.createDataFrame(rows, f"path string, path_id int, on_device int, checks array<{_CHECK}>")
         return F.broadcast(table) if len(self.checks) <= SMALL else table
 
     def positions(self, spark: SparkSession) -> DataFrame:
@@ -159,18 +160,22 @@ def tallied(lists: pa.Array, tallies: list[Tally]) -> Iterator[tuple[np.ndarray,
         yield row[at][first], tally, tally.outcomes(total, ok, bad)
 
 
+_NEGATED = ("ne", "not_in", "not_contains", "regex_not_match")
+
+
 def _decided(op: Column, v: Column, e: Column) -> Column:
-    """The operator that a column names."""
-    found = F.lit(None).cast("boolean")
-    for name, of in reversed(c.OPERATORS.items()):
-        found = F.when(op == name, of(v, e)).otherwise(found)
-    return found
+    """The operator that a column names. An operator and its negation share one expression, so that plans stay small."""
+    pairs = (("eq", "ne"), ("in", "not_in"), ("contains", "not_contains"), ("regex_match", "regex_not_match"), *[(x,) for x in ("gt", "gte", "lt", "lte", "subset_of", "superset_of", "disjoint_from")])
+    found = F.when(op.isin(*pairs[0]), c.OPERATORS[pairs[0][0]](v, e))
+    for names in pairs[1:]:
+        found = found.when(op.isin(*names), c.OPERATORS[names[0]](v, e))
+    return found != op.isin(*_NEGATED)
 
 
-def _codes(checks: str) -> Column:
+def _codes() -> Column:
     """For each check of a path whether the value satisfies it: 0, 1, or 2 where it cannot be compared."""
     one = lambda x: F.when(x["form"] != "FactCheck", F.lit(1)).otherwise(F.coalesce(_decided(x["op"], F.col("value"), x["e"]).cast("int"), F.lit(2))).cast("tinyint")
-    return F.transform(checks, one)
+    return F.transform("checks", one)
 
 
 def checked(facts: DataFrame, book: Rulebook, keys: list[str], block: str | None, label: str | None, place: str) -> DataFrame:
@@ -181,7 +186,10 @@ def checked(facts: DataFrame, book: Rulebook, keys: list[str], block: str | None
     met = facts.select(*keys, "path", "value", F.col(place).alias("place"), blk.alias("blk"), text.alias("label"))
     rows = met.join(book.table(facts.sparkSession), "path", "left" if named else "inner")
     rows = rows.filter(F.col("path_id").isNotNull() | F.col("blk").isNotNull()) if named else rows
-    return rows.select(*keys, "path", "path_id", "place", "blk", "label", _codes("device_checks").alias("device_codes"), (_codes("block_checks") if named else F.lit(None).cast("array<tinyint>")).alias("block_codes"))
+    coded = rows.select(*keys, "path", "path_id", "place", "blk", "label", "on_device", _codes().alias("codes"))
+    device = F.slice("codes", F.lit(1), F.col("on_device"))
+    block = F.slice("codes", F.col("on_device") + 1, F.size("codes") - F.col("on_device"))
+    return coded.select(*keys, "path", "path_id", "place", "blk", "label", device.alias("device_codes"), block.alias("block_codes"))
 
 
 def _counted(rows: DataFrame, book: Rulebook, keys: list[str]) -> DataFrame:
@@ -335,7 +343,10 @@ def _stages(scope: DataFrame, facts: DataFrame, book: Rulebook, keys: list[str],
     met = checked(facts, book, keys, block, label, place)
     counts = _counted(met, book, keys)
     blocks = _blocks(counts, book, keys) if block is not None and book.eaches else None
-    return met, blocks, _folded(scope, _device_leaves(counts, blocks, book, keys), book, keys, evidence)
+    if evidence and blocks is not None:  # evidence asks for the outcomes of blocks and devices more than once
+        blocks = kept(blocks, "blocks")
+    folded = _folded(scope, _device_leaves(counts, blocks, book, keys), book, keys, evidence)
+    return met, blocks, kept(folded, "devices") if evidence else folded
 
 
 def _named(rows: DataFrame, book: Rulebook, keys: list[str]) -> DataFrame:

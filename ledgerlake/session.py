@@ -47,6 +47,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, purpose: str) -> DataFrame:
+    """df as a table in the shared folder: what it was made of is neither planned nor run again, and a lost executor costs a reread."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """rows over all cores where the input comes in fewer tasks, for work that costs far more than to move them; a large table stays as it is read."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
