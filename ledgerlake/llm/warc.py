@@ -236,11 +236,13 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     for name in ("warc-type", "warc-record-id", "content-length"):
         if name not in fields:
             raise ValueError(f"no {name}")
-    for name in ("content-length", "warc-segment-number", "warc-segment-total-length", "x-archive-key", "x-archive-refers-to-key"):
-        if name in fields and not fields[name].lstrip("-").isdecimal():
+    for name, least, bits in (("content-length", 0, 63), ("warc-segment-number", 1, 31), ("warc-segment-total-length", 0, 63), ("x-archive-key", -(1 << 63), 63), ("x-archive-refers-to-key", -(1 << 63), 63)):
+        if name in fields and not fields[name].removeprefix("-").isdecimal():
             raise ValueError(f"{name} is no number")
+        if name in fields and not (len(fields[name]) <= 20 and least <= int(fields[name]) < 1 << bits):
+            raise ValueError(f"{name} is out of range")
     n = int(fields["content-length"])
-    if n < 0 or len(rest) < n:
+    if len(rest) < n:
         raise ValueError("the block is cut short")
     return fields, rest[:n]
 
@@ -358,25 +360,37 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def payloads(records: DataFrame) -> DataFrame:
-    """records with payload (binary) and n_bytes decoded from their HTTP message; a revisit has n_bytes from its head."""
+    """records with payload (binary) and n_bytes decoded from their HTTP message; a revisit has n_bytes from its head.
+
+    Only responses and revisits hold such a message; the block of any other record is its payload as it is.
+    """
 
     def decode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             bodies, lengths, errors = [], [], []
-            for block, error in zip(batch.column("block"), batch.column("error").to_pylist(), strict=True):
+            for block, kind, error in zip(batch.column("block"), batch.column("record_type").to_pylist(), batch.column("error").to_pylist(), strict=True):
                 body = length = None
-                if (raw := block.as_py()) is not None:
+                if (raw := block.as_py()) is not None and kind not in ("response", "revisit"):
+                    body, length = raw, len(raw)
+                elif raw is not None:
                     head, _, rest = raw.partition(b"\r\n\r\n")
                     try:
                         if b"transfer-encoding: chunked" in head.lower():
                             body = dechunked(rest)
                             length = len(body)
                         else:
-                            length = int(next(line for line in head.lower().split(b"\r\n") if line.startswith(b"content-length:"))[15:])
-                    except (ValueError, StopIteration) as e:
-                        error = f"broken message: {e}"
+                            told = next((line for line in head.lower().split(b"\r\n") if line.startswith(b"content-length:")), None)
+                            if told is None or not told[15:].strip().isdigit() or len(told) > 40 or int(told[15:]) >= 1 << 63:
+                                raise ValueError("no length of the content")
+                            length = int(told[15:])
+                            if kind == "response":
+                                if len(rest) != length:
+                                    raise ValueError("the content has another length")
+                                body = rest
+                    except ValueError as e:
+                        error, body, length = f"broken message: {e}", None, None
                 bodies.append(body)
                 lengths.append(length)
                 errors.append(error)

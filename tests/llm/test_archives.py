@@ -60,6 +60,26 @@ def test_broken_records_become_rows_with_errors(spark):
         assert all(r.payload is None for r in got if r.error is not None)
 
 
+def test_numbers_out_of_range_are_errors_and_other_records_pass_through(spark):
+    head = {"WARC-Record-ID": "<x>"}
+    odd = [warc.record(head | {"WARC-Type": "response"} | f, b"") for f in (
+        {"WARC-Segment-Number": "99999999999"}, {"WARC-Segment-Number": "0"}, {"X-Archive-Key": str(1 << 63)}, {"X-Archive-Refers-To-Key": "-" + "9" * 30}, {"WARC-Segment-Total-Length": "-1"}, {"X-Archive-Key": "--1"},
+    )]
+    odd.append(warc.record(head | {"WARC-Type": "response"}, b"HTTP/1.1 200 OK\r\nContent-Length: " + b"9" * 30 + b"\r\n\r\nx"))
+    odd.append(warc.record(head | {"WARC-Type": "response"}, b"no message"))
+    plain = [warc.record(head | {"WARC-Type": "warcinfo"}, b"software: x"), warc.record(head | {"WARC-Type": "metadata", "X-Archive-Key": "5"}, b""), warc.record(head | {"WARC-Type": "response", "X-Archive-Key": "6"}, b"HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\nabc")]
+    path = shared_dir(spark, "w")
+    warc.write_warc(spark.createDataFrame([(1, "u", b"page" * 40)], "id long, url string, payload binary").coalesce(1), path)
+    rewritten(path, lambda data: b"".join(warc._gzip(b) for b in [*odd, *plain]) + data)
+    entries = read_manifest(path)
+    store, name = open_store(f"{path}/{entries[0]['file']}")
+    entries[0]["bytes"] = store.get_file_info(name).size
+    warc.write_manifest(path, entries)
+    got = warc.payloads(warc.read_warc(spark, path)).collect()
+    assert sum(r.error is not None for r in got) == len(odd) and all(len(r.error) > len("broken message: ") for r in got if r.error)
+    assert sorted((r.record_type, bytes(r.payload), r.n_bytes) for r in got if r.error is None and r.key != 1) == [("metadata", b"", 0), ("response", b"abc", 3), ("warcinfo", b"software: x", 11)]
+
+
 def pages():
     rng = random.Random(1)
     big = "big é page " * 9000
