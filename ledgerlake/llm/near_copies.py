@@ -7,10 +7,14 @@ Any order finds all pairs. The one used puts shingles that are frequent in a par
 Candidates whose parities differ too much are dropped, which leaves few that are not near copies; the complete sets of those are
 compared.
 
-Equal sets are one node from the start. A prefix element that more than HOT nodes share is first compared with its least
-node alone: nodes that are near copies of it leave, round by round, so a large group of near copies takes one comparison for each
-of its nodes. What is left meets pair by pair. A node leaves only for a smaller one, and the least of each class is kept, so
-no two of the kept texts are near copies.
+Equal sets are one node from the start. Nodes have an order, that of their hashes, and a node stays if and only if no smaller node that
+stays is a near copy of it. So no two of the kept texts are near copies, and every text that goes is a near copy of one that
+stays, whatever the sizes of groups: with A like B, B like C and A unlike C, in this order, B goes and C stays.
+
+A prefix element that more than HOT nodes share is first compared with its least
+node alone: nodes that are near copies of it leave the search, round by round, so a large group of near copies takes one comparison for each
+of its nodes. What is left meets pair by pair. A node that has left for one that does not stay itself, and for no other, may stay
+after all: such nodes come back and meet those that are left, until no link is found any more.
 
 Words are those of operator 7. Texts of five words or fewer are one shingle; null, empty and blank texts are equal. A row is
 kept for its text: rows that share a doc_id, or have none, are separate. Of rows with equal sets the one of least doc_id stays.
@@ -18,6 +22,8 @@ kept for its text: rows that share a doc_id, or have none, are separate. Of rows
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,7 +31,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from ledgerlake.llm.common import small_enough, written
-from ledgerlake.llm.components import components
 
 SHINGLE = 5
 #: Least similarity, as a fraction of whole numbers.
@@ -144,43 +149,80 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return written(both.filter(common * b >= whole * a).select("u", "v"), "near-edges")
 
 
-def links(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
-    """(u, v), u < v, of nodes of docs(text) that are near copies, such that the least nodes of its components are none.
+def losers(edges: DataFrame) -> DataFrame:
+    """(node) of edges(u, v), u < v, whose smaller neighbours include one that is not among them itself.
 
-    asked are pairs (u, v), u < v, to verify first.
+    Rounds grow with the logarithm of the nodes if their order is a random one; each is written to the shared folder.
     """
-    edges = _verified(asked, nodes, docs)
-    left = written(edges.select(F.col("v").alias("node")).distinct(), "near-gone")
-    open_ = nodes.join(F.broadcast(left) if small_enough(left, 500_000) else left, "node", "left_anti")
-    each = open_.select("node", "first", F.posexplode("keys").alias("at", "key")).select("key", "node", (F.col("at") < F.col("first")).alias("first"))
-    by_key = each.repartition("key")
-    several = by_key.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    rows = written(by_key.join(several, "key", "left_semi"), "near-prefixes")
+    left, gone = written(edges.select("u", "v").distinct(), "near-links"), []
+    while not left.isEmpty():
+        stay = left.select("u").distinct().join(left.select(F.col("v").alias("u")), "u", "left_anti")
+        gone.append(written(left.join(stay, "u").select(F.col("v").alias("node")).distinct(), "near-gone"))
+        left = written(_without(_without(left, gone[-1], "u"), gone[-1], "v"), "near-links")
+    return reduce(DataFrame.union, gone) if gone else edges.select(F.col("v").alias("node"))
+
+
+def _without(rows: DataFrame, gone: DataFrame, column: str = "node") -> DataFrame:
+    gone = gone.withColumnRenamed("node", column)
+    return rows.join(F.broadcast(gone) if small_enough(gone, 500_000) else gone, column, "left_anti")
+
+
+def _prefixes(open_: DataFrame) -> DataFrame:
+    """(key, node, first, new) of the prefix elements that several nodes of open_(node, first, keys, new) share, one of them new."""
+    each = open_.select("node", "first", "new", F.posexplode("keys").alias("at", "key"))
+    by_key = each.select("key", "node", (F.col("at") < F.col("first")).alias("first"), "new").repartition("key")
+    several = by_key.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("new").alias("some")).filter("n > 1 AND some").select("key")
+    return written(by_key.join(several, "key", "left_semi"), "near-prefixes")
+
+
+def _search(rows: DataFrame, nodes: DataFrame, docs: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Tables of near copies (u, v) among the nodes of rows, and tables of the nodes that left before they had met all others."""
+    edges, early = [], []
     while True:
-        hot = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("u")).filter(F.col("n") > HOT).select("key", "u"), "near-hot")
+        hot = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("new", "node").alias("u_new"), F.min("node").alias("u")).filter(F.col("n") > HOT).drop("n"), "near-hot")
         if hot.isEmpty():
             break
         few = F.broadcast(hot) if small_enough(hot, 500_000) else hot
-        met = rows.join(few, "key").filter("node > u").select("u", F.col("node").alias("v"))
-        found = _verified(met, nodes, docs)
-        edges = edges.union(found)
-        gone = written(found.select(F.col("v").alias("node")).distinct(), "near-gone")
-        n_hot, n_gone = met.select("v").distinct().count(), gone.count()
+        met = rows.join(few, "key").filter("node > u AND (new OR u_new)").select("u", F.col("node").alias("v"))
+        edges.append(_verified(met, nodes, docs))
+        early.append(written(edges[-1].select(F.col("v").alias("node")).distinct(), "near-gone"))
+        n_hot, n_gone = met.select("v").distinct().count(), early[-1].count()
         # the least node has met all others of its element, so it need not stay there
-        told = rows.join(few.withColumnRenamed("u", "node"), ["key", "node"], "left_anti")
-        rows = written(told.join(F.broadcast(gone) if n_gone <= 500_000 else gone, "node", "left_anti"), "near-prefixes")
+        told = rows.join(few.select("key", F.col("u").alias("node")), ["key", "node"], "left_anti")
+        rows = written(_without(told, early[-1]), "near-prefixes")
         if n_gone < LEAST_GAIN * n_hot:
             break
-    met = rows.filter("first").select("key", F.col("node").alias("a")).join(rows.select("key", F.col("node").alias("b")), "key")
-    found = _verified(met.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")), nodes, docs)
-    return edges.union(found)
+    one, other = rows.filter("first").select("key", F.col("node").alias("a"), F.col("new").alias("a_new")), rows.select("key", F.col("node").alias("b"), "new")
+    met = one.join(other, "key").filter("a <> b AND (new OR a_new)")
+    edges.append(_verified(met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")), nodes, docs))
+    return edges, early
+
+
+def gone(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node) of the nodes of docs(text) that go: those with a smaller near copy that stays.
+
+    asked are pairs (u, v), u < v, to verify first.
+    """
+    edges = [_verified(asked, nodes, docs)]
+    early = [written(edges[0].select(F.col("v").alias("node")).distinct(), "near-gone")]
+    rows, first = _prefixes(_without(nodes, early[0]).withColumn("new", F.lit(True))), True
+    while True:
+        found, left = _search(rows, nodes, docs)
+        if not first and all(e.isEmpty() for e in found):
+            return lost
+        edges, early, first = edges + found, early + left, False
+        lost = written(losers(reduce(DataFrame.union, edges)), "near-lost")
+        back = written(_without(reduce(DataFrame.union, early).distinct(), lost), "near-back")
+        if back.isEmpty():
+            return lost
+        stay = _without(nodes, lost).join(back.withColumn("back", F.lit(True)), "node", "left")
+        rows = _prefixes(stay.withColumn("new", F.coalesce("back", F.lit(False))))
 
 
 def kept(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) with one row of each group of near copies; nodes are those of docs, asked as for links()."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    found = links(docs.select(F.coalesce("text", F.lit("")).alias("text")), nodes, asked)
-    gone = written(components(found).select("node"), "near-gone")
+    lost = gone(docs.select(F.coalesce("text", F.lit("")).alias("text")), nodes, asked)
     row = docs.select(_node("text").alias("node"), F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*columns)).alias("place"), F.struct(*columns).alias("row"))
-    stays = row.join(F.broadcast(gone) if small_enough(gone, 1_000_000) else gone, "node", "left_anti")
+    stays = _without(row, lost)
     return stays.groupBy("node").agg(F.min_by("row", "place").alias("row")).select("row.*")

@@ -48,3 +48,26 @@ def test_no_near_copy_stays_and_nothing_else_goes(spark, monkeypatch):
 
 def test_near_copies_of_an_empty_table(spark):
     assert simhash.near_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_meaning_in_chains_whatever_the_sizes_of_groups(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(12):  # A like B, B like C, C like D; A not like C
+        text = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(300))
+        for _ in range(4):
+            texts.append(text)
+            text = changed(rng, text, 5)
+    passage = " ".join(f"p{i}" for i in range(200))
+    texts += [changed(rng, passage, n) for n in range(1, 7) for _ in range(6)]
+    name = lambda t: int.from_bytes(near_copies._name(near_copies.shingle_set(t)).to_bytes(8, "big"), "big", signed=True)
+    stay = []
+    for text in sorted(texts, key=name):
+        if not any(similar(text, other) for other in stay):
+            stay.append(text)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for hot in (1, 4, 10**9):
+        monkeypatch.setattr(near_copies, "HOT", hot)
+        monkeypatch.setattr(near_copies, "PART", 1)
+        assert sorted(r.text for r in simhash.near_dedup(docs).collect()) == sorted(stay)
+    assert 12 < len(stay) < len(texts)
