@@ -41,6 +41,8 @@ HOT = 4
 PART, FREQUENT, MAX_FREQUENT = 8, 8, 500_000
 #: Rounds end when fewer than this share of the nodes in hot elements leave.
 LEAST_GAIN = 0.05
+#: Columns of a set's parity folded to 256 parts.
+SKETCH = ("s0", "s1", "s2", "s3")
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -97,15 +99,15 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """(node, hash, n, fp, first, keys, parity) of each distinct set of docs(text); fp is its fingerprint.
+    """(node, hash, n, fp, first, keys, parity, s0 to s3) of each distinct set of docs(text); fp is its fingerprint.
 
     hash is that of a text with the set. A set need be met by a longer one in its first keys alone. Sets differ in as many elements at
-    least as their parities.
+    least as their parities, and as those folded to 256 parts in s0 to s3.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
     a, b = SIMILARITY
 
-    @F.pandas_udf("struct<node: long, n: int, fp: long, first: int, keys: array<long>, parity: array<long>>")
+    @F.pandas_udf("struct<node: long, n: int, fp: long, first: int, keys: array<long>, parity: array<long>, " + ", ".join(f"{c}: long" for c in SKETCH) + ">")
     def prefix(texts: pd.Series) -> pd.DataFrame:
         known, times = shared.value
         out = []
@@ -117,8 +119,8 @@ def nodes(docs: DataFrame) -> DataFrame:
             if len(known):
                 at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                 s = s[np.argsort(np.where(known[at] == s, times[at], 0), kind="stable")]
-            out.append((node, n, fp, n - -(-2 * a * n // (a + b)) + 1, s[: n - -(-a * n // b) + 1], parity))
-        return pd.DataFrame(out, columns=["node", "n", "fp", "first", "keys", "parity"])
+            out.append((node, n, fp, n - -(-2 * a * n // (a + b)) + 1, s[: n - -(-a * n // b) + 1], parity, *np.bitwise_xor.reduce(parity.reshape(-1, len(SKETCH)))))
+        return pd.DataFrame(out, columns=["node", "n", "fp", "first", "keys", "parity", *SKETCH])
 
     found = docs.select(F.xxhash64("text").alias("hash"), prefix("text").alias("p"))
     return written(found.groupBy("p.node").agg(F.min("hash").alias("hash"), F.first("p").alias("p")).select("hash", "p.*"), "near-nodes")
@@ -190,10 +192,16 @@ def _search(rows: DataFrame, nodes: DataFrame, docs: DataFrame) -> tuple[list[Da
         # the least node has met all others of its element, so it need not stay there
         told = rows.join(few.select("key", F.col("u").alias("node")), ["key", "node"], "left_anti")
         rows = written(_without(told, early[-1]), "near-prefixes")
-        if n_gone < LEAST_GAIN * n_hot:
+        if n_gone <= LEAST_GAIN * n_hot:
             break
-    one, other = rows.filter("first").select("key", F.col("node").alias("a"), F.col("new").alias("a_new")), rows.select("key", F.col("node").alias("b"), "new")
-    met = one.join(other, "key").filter("a <> b AND (new OR a_new)")
+    # sizes and folded parities part most pairs in the join itself, before they are rows
+    facts = nodes.select("node", "n", *SKETCH)
+    rows = rows.join(F.broadcast(facts) if small_enough(facts, 500_000) else facts, "node")
+    one, other = rows.filter("first"), rows.select("key", *[F.col(c).alias(f"b_{c}") for c in rows.columns if c != "key"])
+    a, b = SIMILARITY
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCH), F.lit(0))
+    close = (F.least("n", "b_n") * b >= F.greatest("n", "b_n") * a) & (apart * (a + b) <= (F.col("n") + F.col("b_n")) * (b - a))
+    met = one.join(other, "key").filter(F.expr("node <> b_node AND (new OR b_new)") & close).select(F.col("node").alias("a"), F.col("b_node").alias("b"))
     edges.append(_verified(met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")), nodes, docs))
     return edges, early
 

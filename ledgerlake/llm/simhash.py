@@ -124,7 +124,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     Texts are compared by their sets of shingles (near_copies.py); rows with equal sets are one node. Fingerprints of the
     sets that lie within two bits are found by links(); a node whose set is verified to be similar to that of its group's least node
     leaves at once. Fingerprints of similar sets may differ in up to 11 bits, beyond what small Hamming balls reach, so
-    the remaining nodes meet by the prefixes of their sets, which finds every pair. No two of the kept rows are near copies.
+    the remaining nodes meet by the prefixes of their sets, which finds every pair. No two of the kept rows are near copies, and every
+    row that goes is a near copy of one that is kept.
 
     A row is kept for its own text: rows that share a doc_id, or have none, are separate. Of rows with equal sets that of least doc_id
     stays, null last, then by a hash of the row. Null, empty and blank texts are equal. An empty table gives no rows.
