@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerlake.functions.coercions import coerced
 from ledgerlake.operators import lines as ln
 from ledgerlake.operators.redact import CREDENTIALS, redact, redact_columns, redact_tail
 from ledgerlake.plans.facts import LINES_SQL
@@ -91,6 +92,27 @@ def value_coercion(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_EMIT = r"^Brand#(?P<neg>1)?(?P<minutes>[0-4])?(?P<seconds>\d)? (?P<value>\S+(?: \S+)*?) (?P<size>\d+)$"
+_EMITTED = [("true", "value"), ("false", "value"), ("const", "value"), ("line", "value"), ("negated_bool", "value"), ("minutes_seconds", "value"), ("group_present", "seconds"),
+            ("str", "value"), ("lower", "value"), ("int", "seconds"), ("int", "value"), ("word_list", "value"), ("auto", "size"), ("auto", "value")]
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_brand || ' ' || p_type || ' ' || p_size AS line FROM part),
+g AS (SELECT *, nullif(regexp_extract(line, '{_EMIT}', 1), '') AS neg, nullif(regexp_extract(line, '{_EMIT}', 2), '') AS m, nullif(regexp_extract(line, '{_EMIT}', 3), '') AS s,
+  regexp_extract(line, '{_EMIT}', 4) AS v, regexp_extract(line, '{_EMIT}', 5) AS size FROM p WHERE regexp_matches(line, '{_EMIT}')),
+e AS (SELECT p_partkey, unnest(['true.value', 'false.value', 'const.value', 'line.value', 'negated_bool.value', 'minutes_seconds.value', 'group_present.seconds', 'str.value', 'lower.value', 'int.seconds', 'int.value', 'word_list.value', 'auto.size', 'auto.value']) AS path,
+  unnest(['true', 'false', '"fixed"', to_json(line)::VARCHAR, (neg IS NULL)::VARCHAR, CASE WHEN m IS NULL AND s IS NULL THEN 'skip' ELSE (coalesce(m, '0')::BIGINT * 60 + coalesce(s, '0')::BIGINT)::VARCHAR END, (s IS NOT NULL)::VARCHAR,
+    to_json(v)::VARCHAR, to_json(lower(v))::VARCHAR, coalesce(s, 'skip'), 'error', to_json(list_sort(string_split(v, ' ')))::VARCHAR, size, to_json(v)::VARCHAR]) AS x FROM g)
+SELECT p_partkey, path, CASE WHEN x IN ('skip', 'error') THEN x ELSE 'value' END AS state, CASE WHEN x NOT IN ('skip', 'error') THEN x END AS value FROM e""")
+def emitted_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Every coercion over a line for each part."""
+    line = F.concat_ws(" ", "p_brand", "p_type", "p_size")
+    of = lambda kind, group: coerced(kind, F.col("line"), _EMIT, group, F.lit('"fixed"'))
+    facts = F.array(*[F.struct(F.lit(f"{kind}.{group}").alias("path"), of(kind, group).alias("v")) for kind, group in _EMITTED])
+    rows = table(spark, sf, "part").select("p_partkey", line.alias("line")).select("p_partkey", F.explode(facts).alias("f"))
+    return rows.filter("f.v IS NOT NULL").select("p_partkey", "f.path", "f.v.state", "f.v.value")
+
+
 @query(_CLAIMED + " SELECT doc_id, line_no, stripped FROM claimed WHERE pattern IS NULL")
 def unparsed_residue(spark: SparkSession, sf: str) -> DataFrame:
     return claimed(spark, sf).filter("pattern IS NULL").select("doc_id", "line_no", "stripped")
