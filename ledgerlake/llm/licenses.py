@@ -4,7 +4,8 @@ Words are runs of ASCII letters and digits and of all characters beyond ASCII, A
 word k-grams of a text are joined with the k-gram positions of license templates. A hit votes for the diagonal
 word position - template position. Diagonals of a template that lie at most DRIFT apart
 are merged, which bridges inserted or missing words, and the merged span is verified: the words of each vote
-are compared, not only their hashes, and the span counts if its votes cover at least COVERAGE of the template's k-grams.
+are compared, not only their hashes, and the span counts if votes whose diagonals lie in one band cover at least COVERAGE of the template's k-grams.
+A band is as wide as twice the drift that so many lost k-grams allow, so words strewn over a text do not add up to a license.
 
 Templates are a table (label, text), whole license texts or single sentences of them; without one those of TEMPLATES are used. A template
 of fewer than K words has no votes. Equal templates of a label count once. The templates' k-grams are broadcast while they are at most
@@ -100,19 +101,24 @@ def votes(docs: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def places(found: DataFrame, templates: DataFrame) -> DataFrame:
-    """(row_id, tpl, label, base, first_word, coverage) of each merged span of votes."""
-    facts = templates.select("tpl", "label", "base", "n_grams")
+    """(row_id, tpl, label, base, first_word, coverage) of each band of diagonals in each merged span of votes; a base phrase has one band."""
+    # a step between diagonals costs K - 1 grams, and 1 - COVERAGE of them may be lost
+    steps = F.floor(F.floor((1 - COVERAGE) * F.col("n_grams")) / (K - 1))
+    facts = templates.select("tpl", "label", "base", "n_grams", (DRIFT * F.greatest(steps, F.lit(1))).alias("most"))
     own = found.filter("tpl IS NOT NULL").select("row_id", "tpl", (F.col("pos") - F.col("tpl_pos")).alias("diagonal"), "tpl_pos", "pos")
     own = own.join(F.broadcast(facts) if small_enough(facts, BROADCAST_ROWS) else facts, "tpl")
     by = Window.partitionBy("row_id", "tpl").orderBy("diagonal", "pos")
     step = F.col("diagonal") - F.lag("diagonal").over(by)
     new = F.when(step.isNull() | (step > F.when(F.col("base"), 0).otherwise(DRIFT)), 1).otherwise(0)
     spans = own.withColumn("new", new).withColumn("span", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = spans.groupBy("row_id", "tpl", "span").agg(
+    # what drifts by most at most lies whole in a band of one of two grids
+    band = lambda shift: F.floor((F.col("diagonal") + shift) / (2 * F.col("most")))
+    bands = F.when(F.col("base"), F.array(F.lit(0).cast("long"))).otherwise(F.array(2 * band(0), 2 * band(F.col("most")) + 1))
+    merged = spans.withColumn("band", F.explode(bands)).groupBy("row_id", "tpl", "span", "band").agg(
         F.first("label").alias("label"), F.first("base").alias("base"), F.min("pos").alias("first_word"),
         (F.count_distinct("tpl_pos") / F.first("n_grams")).alias("coverage"),
     )
-    return merged.drop("span")
+    return merged.drop("span", "band")
 
 
 def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:

@@ -148,6 +148,8 @@ def test_license_scan(spark):
         None, "", "cc", "cc by", "CC-BY cc by. General Public License; all rights reserved", "general public general public license", "cc cc by by",
         "É licence: Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", f"words before {mit} and after", " ".join(broken), "all rights " * 3000 + "reserved",
         "permission is hereby granted and nothing else", "released under the same terms",
+        # every trigram of the template, each beside a filler word
+        " filler ".join(" ".join(mit.split()[i : i + 3]) for i in range(len(mit.split()) - 2)),
     ]
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, "cc by", "x"), (3, "cc by", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, labels string").repartition(3)
@@ -158,6 +160,7 @@ def test_license_scan(spark):
     assert by[4].labels == "cc-by,gpl,reserved" and by[4].score == 1
     assert by[7].labels == "mit" and by[8].labels == "apache-2.0" and by[9].labels == "mit" and by[10].labels == "mit"
     assert by[12].labels == "" and 0 < by[12].score < 0.7
+    assert by[14].labels == "" and 0 < by[14].score < 0.7
     assert all(0 <= r.score <= 1 for r in got)
     assert licenses.scan(docs.select("doc_id", "text").limit(0)).count() == 0
 
@@ -177,10 +180,16 @@ def plain_labels(text, templates):
         spans, last = [], None
         for diagonal, _, at in votes:
             if last is None or diagonal - last > licenses.DRIFT:
-                spans.append(set())
-            spans[-1].add(at)
+                spans.append([])
+            spans[-1].append((diagonal, at))
             last = diagonal
-        for span in spans:
+        most = licenses.DRIFT * max(1, int((1 - licenses.COVERAGE) * grams) // 2)
+        bands = {}
+        for i, span in enumerate(spans):
+            for diagonal, at in span:
+                for shift in (0, most):
+                    bands.setdefault((i, shift, (diagonal + shift) // (2 * most)), set()).add(at)
+        for span in bands.values():
             best = max(best, len(span) / grams)
             if len(span) / grams >= licenses.COVERAGE:
                 labels.add(label)
