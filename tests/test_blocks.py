@@ -90,3 +90,12 @@ strange""".split("\n")
     assert [(r.line_no, r.block, r.block_path, r.block_line) for r in residue.collect()] == [(7, 1, "interface", "interface one")]
     none = b.extract(lines, blocks.limit(0), "file", 3, children, [("ip", "ip ")], [])
     assert none[0].count() == 3 and {r.block_path for r in none[1].collect()} == {None}
+
+
+def test_tightest_broadcasts_nothing(spark):
+    # a few rows whose blocks cover many bins: by its estimate the planner would send the lookups of all bins through the driver
+    points = spark.range(64).select((F.col("id") % 2).alias("g"), (F.col("id") * 1000).alias("at"))
+    blocks = spark.range(8).select((F.col("id") % 2).alias("g"), F.col("id").alias("block"), (F.col("id") * 100).alias("start"), F.lit(60_000).alias("end"))
+    found = b.tightest(points, blocks, "g", "at", ["at"], 16)
+    assert {r.at: r.block for r in found.collect()} == {0: 0, **{1000 * k: 6 + k % 2 for k in range(1, 61)}}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
