@@ -32,6 +32,8 @@ from ledgerlake.session import kept
 
 #: Rows of the table of checks up to which it is sent to all executors.
 SMALL = 50_000
+#: Ordered checks of one path from which on their codes are made in Arrow batches, not by an expression for each.
+MANY = 4
 CODE = {r: i for i, r in enumerate(c.RESULTS)}
 PASS, FAIL, ERROR, UNKNOWN, INAPPLICABLE = (CODE[r] for r in ("pass", "fail", "error", "unknown", "notapplicable"))
 _CHECK = f"struct<form:string,op:string,e:{c.EXPECTED}>"
@@ -85,11 +87,17 @@ class Rulebook:
         return ("leaf", self.checks[key])
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """(path, path_id, on_device, checks): a path's checks, of which the first on_device are devices'; sent to all executors where the checks are few."""
-        rows = [(p, i, len(sides[0]), [_fields(x) for side in sides for x, _, _ in side]) for i, (p, sides) in enumerate(self.paths.items())]
+        """(path, path_id, on_device, checks): a path's checks but those in batched(), the first on_device of all are devices'; sent to all executors where the checks are few."""
+        apart = self.batched()
+        rows = [(p, i, len(sides[0]), [_fields(x) for x in _of_path(sides) if i not in apart or not _is_ordered(x)]) for i, (p, sides) in enumerate(self.paths.items())]
         table = spark.createDataFrame(rows, f"path string, path_id int, on_device int, checks array<{_CHECK}>")
         return F.broadcast(table) if len(self.checks) <= SMALL else table
 
+    def batched(self) -> dict[int, Ordered]:
+        """The ordered checks of the paths that have MANY of them, by path_id."""
+        found = {i: Ordered.of(_of_path(sides)) for i, sides in enumerate(self.paths.values())}
+        return {i: x for i, x in found.items() if len(x.at) >= MANY}
+
     def positions(self, spark: SparkSession) -> DataFrame:
         """(each, leaf, path, at, form, every) of every check; at is its place among those of its path, devices' and blocks' apart."""
         rows = [(each, leaf, p, at, type(x).__name__, getattr(x, "quantifier", "all") == "all") for p, sides in self.paths.items() for side in sides for at, (x, each, leaf) in enumerate(side)]
@@ -101,6 +109,14 @@ class Rulebook:
         return [Tally.of(sides[blocks]) for sides in self.paths.values()]
 
 
+def _of_path(sides: tuple[list, list]) -> list:
+    return [x for side in sides for x, _, _ in side]
+
+
+def _is_ordered(check) -> bool:
+    return isinstance(check, c.FactCheck) and check.op in c.ORDERED
+
+
 def _without_facts(check) -> int:
     if isinstance(check, c.FactCheck):
         return CODE[check.on_missing]
@@ -142,6 +158,36 @@ class Tally:
         return found.astype(np.int8)
 
 
+@dataclass(frozen=True)
+class Ordered:
+    """The ordered checks of a path: their places among its checks, operators and thresholds; rest are the places of its other checks."""
+
+    at: np.ndarray
+    op: np.ndarray
+    threshold: np.ndarray
+    rest: np.ndarray
+
+    @classmethod
+    def of(cls, checks: list) -> Ordered:
+        own = [(i, x.op, c.expected_of(x.op, x.expected)["number"]) for i, x in enumerate(checks) if _is_ordered(x)]
+        of = lambda k, kind: np.array([x[k] for x in own], kind)
+        return cls(of(0, np.int64), of(1, object), of(2, np.float64), np.array([i for i, x in enumerate(checks) if not _is_ordered(x)], np.int64))
+
+    def codes(self, n: np.ndarray, known: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """A row for each number, a column for each check of the path; NaN is above all numbers, as in Spark."""
+        found = np.empty((len(n), len(self.at) + len(self.rest)), np.int8)
+        found[:, self.rest] = others
+        for op in set(self.op):
+            own = self.op == op
+            x, t = n[:, None], self.threshold[own][None, :]
+            if op in ("gt", "lte"):
+                held = ((x > t) | (np.isnan(x) & ~np.isnan(t))) == (op == "gt")
+            else:
+                held = ((x < t) | (np.isnan(t) & ~np.isnan(x))) == (op == "lt")
+            found[:, self.at[own]] = np.where(known[:, None], held, 2)
+        return found
+
+
 def tallied(lists: pa.Array, tallies: list[Tally]) -> Iterator[tuple[np.ndarray, Tally, np.ndarray]]:
     """(rows, tally, outcomes) for each path that occurs in lists of (path_id, codes, n)."""
     sizes = np.diff(lists.offsets.to_numpy())
@@ -186,12 +232,37 @@ def checked(facts: DataFrame, book: Rulebook, keys: list[str], block: str | None
     met = facts.select(*keys, "path", "value", F.col(place).alias("place"), blk.alias("blk"), text.alias("label"))
     rows = met.join(book.table(facts.sparkSession), "path", "left" if named else "inner")
     rows = rows.filter(F.col("path_id").isNotNull() | F.col("blk").isNotNull()) if named else rows
-    coded = rows.select(*keys, "path", "path_id", "place", "blk", "label", "on_device", _codes().alias("codes"))
+    columns = [*keys, "path", "path_id", "place", "blk", "label", "on_device"]
+    if apart := book.batched():
+        numbered = rows.select(*columns, c.as_number(F.col("value")).alias("number"), _codes().alias("codes"))
+        coded = numbered.mapInArrow(lambda batches: (_filled(x, apart) for x in batches), ", ".join([*[f"`{k}` {numbered.schema[k].dataType.simpleString()}" for k in columns], "codes array<tinyint>"]))
+    else:
+        coded = rows.select(*columns, _codes().alias("codes"))
     device = F.slice("codes", F.lit(1), F.col("on_device"))
     block = F.slice("codes", F.col("on_device") + 1, F.size("codes") - F.col("on_device"))
     return coded.select(*keys, "path", "path_id", "place", "blk", "label", device.alias("device_codes"), block.alias("block_codes"))
 
 
+def _filled(batch: pa.RecordBatch, apart: dict[int, Ordered]) -> pa.RecordBatch:
+    """The batch with the codes of ordered checks among the other ones."""
+    path = batch.column("path_id").fill_null(-1).to_numpy(zero_copy_only=False)
+    codes, number = batch.column("codes"), batch.column("number")
+    known, n = ~number.is_null().to_numpy(zero_copy_only=False), number.fill_null(0.0).to_numpy(zero_copy_only=False)
+    starts, sizes, values = codes.offsets.to_numpy()[:-1], codes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), codes.values.to_numpy(zero_copy_only=False)
+    wide = sizes.copy()
+    for p, own in apart.items():
+        wide[path == p] = len(own.at) + len(own.rest)
+    ends = np.append(0, np.cumsum(wide))
+    flat = np.empty(ends[-1], np.int8)
+    for p in np.unique(path):
+        rows = np.flatnonzero(path == p)
+        others = values[starts[rows][:, None] + np.arange(sizes[rows[0]])]
+        flat[ends[rows][:, None] + np.arange(wide[rows[0]])] = apart[p].codes(n[rows], known[rows], others) if p in apart else others
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=codes.is_null() if codes.null_count else None)
+    kept_columns = [x for x in batch.schema.names if x not in ("codes", "number")]
+    return pa.RecordBatch.from_arrays([*[batch.column(x) for x in kept_columns], lists], [*kept_columns, "codes"])
+
+
 def _counted(rows: DataFrame, book: Rulebook, keys: list[str]) -> DataFrame:
     """(keys, blk, path_id, device_codes, block_codes, n): facts with equal codes together; with blocks also whether they are in one, and its label."""
     by = [*keys, "blk", "path_id", "device_codes", "block_codes"] if book.eaches else [*keys, "path_id", "device_codes"]
@@ -364,6 +435,26 @@ def decide(scope: DataFrame, facts: DataFrame, rules: dict[str, object], keys: l
     return _named(folded, book, keys)
 
 
+def outcome_counts(scope: DataFrame, facts: DataFrame, rules: dict[str, object], keys: list[str], block: str | None = None, label: str | None = None) -> DataFrame:
+    """(rule_id, outcome, devices): how many rows of scope have each outcome of decide(), added up in every batch before rows are made."""
+    if not rules:
+        return decide(scope, facts, rules, keys, block, label).groupBy("rule_id", "outcome").agg(F.count("*").alias("devices"))
+    book = Rulebook.of(rules)
+    _, _, folded = _stages(scope, facts.withColumn("__place", F.lit(0)), book, keys, block, label, "__place", False)
+    many = len(book.trees)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(CODE), many), np.int64)
+        for batch in batches:
+            codes = batch.column("codes").flatten().to_numpy(zero_copy_only=False).reshape(-1, many)
+            total += np.stack([(codes == x).sum(0) for x in range(len(CODE))])
+        code, rule = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(rule.astype(np.int32)), pa.array(code.astype(np.int32)), pa.array(total[code, rule])], ["r", "code", "n"])
+
+    counts = folded.select("codes").mapInArrow(add_up, "r int, code int, n long").groupBy("r", "code").agg(F.sum("n").alias("devices"))
+    return counts.select(F.get(F.lit(book.names), F.col("r")).alias("rule_id"), F.get(F.lit(list(c.RESULTS)), F.col("code")).alias("outcome"), "devices")
+
+
 def evidence(scope: DataFrame, facts: DataFrame, rules: dict[str, object], keys: list[str], place: str = "line_no", block: str | None = None, label: str | None = None) -> DataFrame:
     """(keys, rule_id, outcome, path, place): the distinct facts that speak for the outcome of each rule that passes or fails."""
     book = Rulebook.of(rules)

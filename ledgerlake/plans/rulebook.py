@@ -34,8 +34,7 @@ o AS (SELECT rule_id, CASE WHEN most > discount THEN 'fail' WHEN coalesce(n, 0)
 SELECT rule_id, outcome, count(*) AS devices FROM o GROUP BY 1, 2""")
 def rulebook_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     rules = c.rules_of(rule_set(spark))
-    decided = rb.decide(devices(spark, sf), facts(spark, sf), rules, ["device"])
-    return decided.groupBy("rule_id", "outcome").agg(F.count("*").alias("devices"))
+    return rb.outcome_counts(devices(spark, sf), facts(spark, sf), rules, ["device"])
 
 
 @query(f"""WITH {_EACH}, w AS (SELECT c_custkey AS customer, e.outcome, b.o_orderkey, b.sub FROM customer JOIN e ON e.customer = c_custkey JOIN b ON b.o_custkey = c_custkey WHERE e.outcome IN ('pass', 'fail'))

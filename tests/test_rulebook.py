@@ -180,3 +180,25 @@ def test_controls_fold_outcomes_and_their_evidence(spark):
     folded, told = rb.control_fold(outcomes, shown, controls, ["device"])
     assert sorted(map(tuple, folded.collect())) == [(1, "K1", "fail"), (1, "K2", "pass"), (2, "K1", "pass"), (2, "K2", "error"), (3, "K1", "pass"), (3, "K2", "pass")]
     assert sorted(map(tuple, told.collect())) == [(1, "K1", "p", 3), (1, "K2", "q", 4), (2, "K1", "p", 1), (3, "K1", "q", 9), (3, "K2", "q", 9)]
+
+
+def test_ordered_checks_in_batches_equal_expressions_and_counts_equal_rows(spark, rows, monkeypatch):
+    rng = random.Random(3)
+    thresholds = [0, 1, 2, "2", 2.5, 5, -1, float("nan"), "inf", 1e300]
+    rules = {f"o{i}": c.FactCheck(rng.choice("pqrs"), rng.choice(["gt", "gte", "lt", "lte"]), rng.choice(thresholds), rng.choice(["all", "any"])) for i in range(60)}
+    rules |= {f"x{i}": trees(rng) for i in range(20)}
+    facts = spark.createDataFrame([(d, b, la, p, typed(v), n, True) for d, b, la, p, v, n in [*rows, (1, None, None, "p", float("nan"), 99), (2, 1, "port1", "q", "NaN", 98)]], SCHEMA).repartition(3)
+    scope = spark.range(31).selectExpr("int(id) AS device")
+    told = []
+    for many in (1, 10**9):
+        monkeypatch.setattr(rb, "MANY", many)
+        told.append(sorted(map(tuple, rb.decide(scope, facts, rules, ["device"], "block", "label").collect())))
+    assert told[0] == told[1]
+    counts = {}
+    for _, rule, outcome in told[0]:
+        counts[rule, outcome] = counts.get((rule, outcome), 0) + 1
+    monkeypatch.setattr(rb, "MANY", 1)
+    assert {(r.rule_id, r.outcome): r.devices for r in rb.outcome_counts(scope, facts, rules, ["device"], "block", "label").collect()} == counts
+    # the many checks of a path are no part of the rows that meet its facts
+    book = rb.Rulebook.of(rules)
+    assert all(not any(x.form == "FactCheck" and x.op in c.ORDERED for x in r.checks) for r in book.table(spark).collect())
