@@ -154,9 +154,27 @@ def learned_mapping_match(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH m AS (SELECT DISTINCT s_suppkey AS device, s_nationkey * 2 + s_suppkey % 2 AS network FROM supplier)
 SELECT a.device AS a, b.device AS b, min(a.network) AS network FROM m a JOIN m b ON a.network = b.network AND a.device < b.device GROUP BY 1, 2""")
 def subnet_adjacency(spark: SparkSession, sf: str) -> DataFrame:
-    member = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("device"), (F.col("s_nationkey") * 2 + F.col("s_suppkey") % 2).alias("network")).distinct()
-    left, right = member.withColumnRenamed("device", "a"), member.withColumnRenamed("device", "b")
-    return left.join(right, "network").filter("a < b").groupBy("a", "b").agg(F.min("network").alias("network"))
+    member = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("device"), (F.col("s_nationkey") * 2 + F.col("s_suppkey") % 2).alias("network"))
+    return adjacent_pairs(member)
+
+
+#: Parts of a network's members on the left, so that a large network is many tasks.
+NETWORK_PARTS = 16
+
+
+def adjacent_pairs(member: DataFrame) -> DataFrame:
+    """(a, b, network): every pair a < b of devices of member(device, network) that share a network, with their least one.
+
+    A device carries its networks, so a pair tells by itself under which of them it is shown: pairs leave the join one by one and are never gathered.
+    """
+    nets = member.filter("device IS NOT NULL AND network IS NOT NULL").groupBy("device").agg(F.array_sort(F.collect_set("network")).alias("nets"))
+    own = nets.select("device", F.when(F.size("nets") > 1, F.col("nets")).alias("others"), F.explode("nets").alias("network"))
+    left = own.select(F.col("device").alias("a"), F.col("others").alias("a_nets"), "network", F.pmod(F.xxhash64("device"), F.lit(NETWORK_PARTS)).alias("part"))
+    right = own.select(F.col("device").alias("b"), F.col("others").alias("b_nets"), "network", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(NETWORK_PARTS - 1).cast("long"))).alias("part"))
+    pairs = left.join(right.hint("merge"), ["network", "part"]).filter("a < b")
+    # of two devices one of which has a single network, that one is all they share
+    shown = F.col("a_nets").isNull() | F.col("b_nets").isNull() | (F.col("network") == F.array_min(F.array_intersect("a_nets", "b_nets")))
+    return pairs.filter(shown).select("a", "b", "network")
 
 
 @query("""WITH m AS (SELECT c_custkey AS device, CASE c_custkey % 3 WHEN 0 THEN '10.' || c_nationkey || '.0.0/16' WHEN 1 THEN '10.' || c_nationkey || '.' || (c_custkey % 7) || '.0/24'

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from ledgerlake.operators.metrics import by_fold, folds
-from ledgerlake.plans import mining
+from ledgerlake.plans import joins, mining
 
 
 def test_scores_of_folds(spark):
@@ -52,3 +52,17 @@ def test_held_out_rows_are_told_apart(spark):
     share = sum(r.label == r.prediction for r in rows) / len(rows)
     usual = max(sum(r.label == k for r in rows) for k in (0.0, 1.0)) / len(rows)
     assert share >= usual - 0.05
+
+
+def test_pairs_of_a_network_leave_their_join_without_a_shuffle(spark):
+    rng = random.Random(11)
+    rows = [(rng.randrange(60), rng.choice([1, 1, 1, rng.randrange(12), None])) for _ in range(200)] + [(None, 1)]
+    found = joins.adjacent_pairs(spark.createDataFrame(rows, "device long, network long").repartition(3))
+    of = {}
+    for d, n in rows:
+        if d is not None and n is not None:
+            of.setdefault(d, set()).add(n)
+    want = sorted((a, b, min(of[a] & of[b])) for a in of for b in of if a < b and of[a] & of[b])
+    assert sorted(map(tuple, found.collect())) == want
+    top = found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "Aggregate" not in top and "Window" not in top
