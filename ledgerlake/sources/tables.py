@@ -6,7 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
-from pyspark.sql.window import Window
+
+from ledgerlake.session import kept
 
 HEAD, BUCKET = "__head", "__bucket"
 
@@ -39,16 +40,18 @@ class DeviceTable:
         by = [self.device, self.version]
         bucket = F.pmod(F.xxhash64(self.device), F.lit(self.buckets)).cast("int").alias(BUCKET)
         newest = heads.filter(F.col(self.device).isNotNull()).groupBy(self.device).agg(F.max(self.version).alias(self.version))
-        own = facts.join(newest, by, "left_semi").select(*by, *self.facts, F.lit(0).alias(HEAD), bucket)
-        new = own.unionByName(newest.select(*by, F.lit(1).alias(HEAD), bucket), allowMissingColumns=True).withColumn("__old", F.lit(0))
-        touched = [r[0] for r in newest.select(bucket).distinct().collect()]  # as many as there are buckets at most
+        # heads alone tell which devices change; where both have the same version the stored rows stay
+        has = self.devices().select(self.device, F.col(self.version).alias("__has"), F.lit(True).alias("__there"))
+        later = F.col(self.version).isNotNull() & (F.col("__has").isNull() | (F.col(self.version) > F.col("__has")))
+        newer = kept(newest.join(has, self.device, "left").filter(F.col("__there").isNull() | later).select(*by, bucket), "newer")
+        touched = [r[0] for r in newer.select(BUCKET).distinct().collect()]  # as many as there are buckets at most
         if not touched:
             return
-        rows = self._rows().filter(F.col(BUCKET).isin(touched)).withColumn("__old", F.lit(1)).unionByName(new)
-        # where both have the same version the stored rows stay
-        rank = F.struct(self.version, "__old")
-        kept = rows.withColumn("__top", F.max(rank).over(Window.partitionBy(BUCKET, self.device))).filter(rank == F.col("__top")).drop("__top", "__old")
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
+        own = facts.join(newer.select(*by), by, "left_semi").select(*by, *self.facts, F.lit(0).alias(HEAD), bucket)
+        new = own.unionByName(newer.select(*by, F.lit(1).alias(HEAD), BUCKET), allowMissingColumns=True)
+        stay = self._rows().filter(F.col(BUCKET).isin(touched)).join(newer.select(self.device), self.device, "left_anti")
+        rows = stay.unionByName(new).select(*self.stored.names)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
 
     def read(self) -> DataFrame:
         """The facts of all devices."""

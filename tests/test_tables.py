@@ -86,3 +86,14 @@ def test_networks_are_stars(spark):
     m = memberships(spark.createDataFrame(rows, "d int, a string, m string"), "d", "a", "m")
     got = {tuple(r) for r in star_edges(m).collect()}
     assert got == {("10.0.0.0/24", 1, d) for d in range(2, 200)} | {("10.9.0.0/16", 5, 6)}
+
+
+def test_a_delivery_that_changes_nothing_writes_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([(f"d{i}", 2, "a", i) for i in range(20)], SCHEMA)
+    t = DeviceTable(spark, f"{tmp_path}/facts", rows.schema, "device", "version", 4)
+    t.replace(rows.select("device", "version"), rows)
+    before = files(t.path)
+    for version in (1, 2):
+        late = rows.withColumn("version", F.lit(version).cast("long"))
+        t.replace(late.select("device", "version"), late)
+    assert files(t.path) == before and t.read().count() == 20
