@@ -13,11 +13,15 @@ from ledgerlake.plans.conditions import DISCOUNT, ENOUGH, LARGE, OPEN, RETURNED
 from ledgerlake.plans.joins import sorted_set, sql_set
 from ledgerlake.plans.lines import PATTERNS
 from ledgerlake.registry import query
-from ledgerlake.session import shared_folder, table
+from ledgerlake.session import shared_folder, spread, table
 from ledgerlake.sources.catalogs import controls
 from ledgerlake.sources.tables import DeviceTable
 
 
+#: Rows of a file of a format that is read file by file.
+ROWS = 50_000
+
+
 def stored(df: DataFrame, fmt: str, purpose: str, **options) -> str:
     path = shared_folder(df.sparkSession, purpose)
     df.write.format(fmt).options(**options).save(path)
@@ -71,14 +75,15 @@ def bulk_estate_ingest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT 'V-' || p_partkey AS control_id, p_name AS title, CASE WHEN p_size > 30 THEN 'high' WHEN p_size > 10 THEN 'medium' ELSE 'low' END AS severity, 'CCI-' || p_size AS cci, 'OLD-' || p_partkey AS legacy_ids FROM part")
 def xccdf_catalog_source(spark: SparkSession, sf: str) -> DataFrame:
-    part = table(spark, sf, "part")
+    part = spread(table(spark, sf, "part"))
     severity = F.when(F.col("p_size") > 30, "high").when(F.col("p_size") > 10, "medium").otherwise("low")
     ident = lambda system, prefix, key: F.struct(F.lit(system).alias("_system"), F.concat(F.lit(prefix), F.col(key).cast("string")).alias("_VALUE"))
     group = part.select(
         F.concat(F.lit("V-"), "p_partkey").alias("_id"),
         F.struct(severity.alias("_severity"), F.col("p_name").alias("title"), F.array(ident("http://cyber.mil/cci", "CCI-", "p_size"), ident("http://cyber.mil/legacy", "OLD-", "p_partkey")).alias("ident")).alias("Rule"),
     )
-    path = stored(group, "xml", "xccdf", rowTag="Group", rootTag="Benchmark")
+    # an XML file is one task's, whatever its size
+    path = stored(group, "xml", "xccdf", rowTag="Group", rootTag="Benchmark", maxRecordsPerFile=ROWS)
     schema = "_id string, Rule struct<_severity:string,title:string,ident:array<struct<_VALUE:string,_system:string>>>"
     read = spark.read.format("xml").option("rowTag", "Group").schema(schema).load(path)
     of = lambda word: F.array_join(F.array_sort(F.transform(F.filter("Rule.ident", lambda i: F.contains(i["_system"], F.lit(word))), lambda i: i["_VALUE"])), ",")

@@ -59,3 +59,11 @@ def test_trees_equal_recursion(spark):
     assert ids["ac-1"] == ("AC-01", [0]) and ids["ac-1.1"] == ("AC-01(01)", [0, 0]) and ids["ac-1.3"] == ("AC-01(03)", [0, 1, 0]) and ids["zz"][0] == "ZZ"
     none = cat.controls(spark.createDataFrame([], "doc string, text string"), "doc", "text")
     assert none.count() == 0 and none.columns == ["doc", "oscal_id", "control_id", "title", "statement", "place"]
+
+
+def test_a_catalog_in_xml_is_many_files(spark, monkeypatch):
+    from ledgerlake.plans import sources
+
+    monkeypatch.setattr(sources, "ROWS", 25)
+    found = sources.xccdf_catalog_source(spark, "/root/testdata/sf0.001")
+    assert found.count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count() <= 25 * len(found.inputFiles())
