@@ -294,13 +294,14 @@ class Compiled:
     """Aggregates over the facts of a group, and the outcome from them.
 
     A tree with ForEach takes two levels: aggregates and inner ones over each block, then counts summed over blocks and folds over the
-    blocks' outcomes. names are those of aggregates.
+    blocks' outcomes. names are those of aggregates, inner_names those of inner.
     """
 
     aggregates: list[Column] = field(default_factory=list)
     outcome: Column | None = None
     names: list[str] = field(default_factory=list)
     inner: list[Column] = field(default_factory=list)
+    inner_names: list[str] = field(default_factory=list)
     per_block: list[Column] = field(default_factory=list)
     folds: list[Column] = field(default_factory=list)
 
@@ -327,7 +328,7 @@ def compile_tree(tree, name: str = "n", block: str | None = None) -> Compiled:
     if isinstance(tree, AllOf | AnyOf | NoneOf):
         parts = [compile_tree(c, f"{name}_{i}", block) for i, c in enumerate(tree.children)]
         fold = {AllOf: fold_all, AnyOf: fold_any, NoneOf: fold_none}[type(tree)]
-        joined = {f: [x for p in parts for x in getattr(p, f)] for f in ("aggregates", "names", "inner", "per_block", "folds")}
+        joined = {f: [x for p in parts for x in getattr(p, f)] for f in ("aggregates", "names", "inner", "inner_names", "per_block", "folds")}
         return Compiled(outcome=fold([p.outcome for p in parts]) if parts else F.lit("error"), **joined)
     if isinstance(tree, ForEach):
         sub = compile_tree(tree.sub, f"{name}_s")
@@ -337,7 +338,7 @@ def compile_tree(tree, name: str = "n", block: str | None = None) -> Compiled:
         seen = F.when(F.col(block).isNotNull() & ~skipped, sub.outcome).alias(f"{name}_o")
         has = lambda *r: F.bool_or(F.col(f"{name}_o").isin(*r))
         folded = F.when(has("fail"), "fail").when(has("unknown", "error"), "unknown").when(F.count(f"{name}_o") > 0, "pass").alias(f"{name}_f")
-        return Compiled(outcome=F.coalesce(F.col(f"{name}_f"), F.lit(tree.on_no_blocks)), inner=sub.aggregates, per_block=[seen], folds=[folded])
+        return Compiled(outcome=F.coalesce(F.col(f"{name}_f"), F.lit(tree.on_no_blocks)), inner=sub.aggregates, inner_names=sub.names, per_block=[seen], folds=[folded])
     here = F.col("path") == tree.path
     total = F.count_if(here).alias(f"{name}_n")
     n = F.coalesce(F.col(f"{name}_n"), F.lit(0))
@@ -362,8 +363,12 @@ def audit(scope: DataFrame, facts: DataFrame, rules: dict[str, object], keys: li
     every = lambda f: [x for _, m in made for x in getattr(m, f)]
     counts = [*every("aggregates"), F.count("*").alias("__facts")]
     if every("per_block"):
-        called = F.max(label) if label else F.lit(None).cast("string")
-        parts = facts.groupBy(*keys, block).agg(*counts, *every("inner"), called.alias("__label"))
+        # numbers are counted by label first: the largest text of a group is found by sorting, which the facts themselves are spared
+        inner = [n for _, m in made for n in m.inner_names]
+        sums = [F.sum(n).alias(n) for n in [*every("names"), "__facts", *inner]]
+        called = F.col(label) if label else F.lit(None).cast("string")
+        parts = facts.groupBy(*keys, block, called.alias("__label")).agg(*counts, *every("inner"))
+        parts = parts.groupBy(*keys, block).agg(*sums, F.max("__label").alias("__label"))
         parts = parts.select(*keys, *every("names"), "__facts", *every("per_block"))
         counted = parts.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in [*every("names"), "__facts"]], *every("folds"))
     else:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import conditions as c
-from ledgerlake.plans.facts import devices, facts
+from ledgerlake.plans.facts import devices, facts, line_facts, order_facts
 from ledgerlake.registry import query
 from ledgerlake.session import table
 
@@ -125,8 +125,10 @@ FROM customer LEFT JOIN b ON c_custkey = o_custkey GROUP BY 1)
 
 def customer_facts(spark: SparkSession, sf: str) -> DataFrame:
     """facts() with customers as devices, their orders as blocks and priorities as labels."""
-    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("device"), F.col("o_orderpriority").alias("label"))
-    return orders.join(facts(spark, sf), "device")
+    orders = table(spark, sf, "orders").withColumns({"customer": F.col("o_custkey"), "label": F.col("o_orderpriority")})
+    # lines find their order before they become facts, of which there are several for each
+    lines = table(spark, sf, "lineitem").join(orders.select("o_orderkey", "customer", "label"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return line_facts(lines, "customer", "label").unionByName(order_facts(orders, "customer", "label"))
 
 
 @query(f"WITH {_EACH} SELECT customer, outcome FROM e")

@@ -25,24 +25,34 @@ def devices(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("device"), F.col("o_custkey").alias("customer"))
 
 
-def facts(spark: SparkSession, sf: str) -> DataFrame:
-    """(device, path, value, line_no, present): one row for each attribute of a line, and order-level ones, which have no line."""
-    line = table(spark, sf, "lineitem").select(
+def line_facts(rows: DataFrame, *more: str) -> DataFrame:
+    """The attributes of order lines as facts, with more columns of rows."""
+    return rows.select(
         F.col("l_orderkey").alias("device"),
+        *more,
         F.col("l_linenumber").alias("line_no"),
         F.explode(F.array(
             F.struct(F.lit("line.discount").alias("path"), value(n=F.col("l_discount")).alias("value")),
             F.struct(F.lit("line.quantity").alias("path"), value(n=F.col("l_quantity")).alias("value")),
             F.struct(F.lit("line.returnflag").alias("path"), value(s=F.col("l_returnflag")).alias("value")),
         )).alias("f"),
-    )
-    order = table(spark, sf, "orders").select(
+    ).select("device", *more, "f.path", "f.value", "line_no", F.lit(True).alias("present"))
+
+
+def order_facts(rows: DataFrame, *more: str) -> DataFrame:
+    """The attributes of orders as facts, which have no line, with more columns of rows."""
+    return rows.select(
         F.col("o_orderkey").alias("device"),
+        *more,
         F.lit(None).cast("int").alias("line_no"),
         F.explode(F.array(
             F.struct(F.lit("order.status").alias("path"), value(s=F.col("o_orderstatus")).alias("value")),
             F.struct(F.lit("order.priority").alias("path"), value(s=F.col("o_orderpriority")).alias("value")),
             F.struct(F.lit("order.total").alias("path"), value(n=F.col("o_totalprice")).alias("value")),
         )).alias("f"),
-    )
-    return line.unionByName(order).select("device", "f.path", "f.value", "line_no", F.lit(True).alias("present"))
+    ).select("device", *more, "f.path", "f.value", "line_no", F.lit(True).alias("present"))
+
+
+def facts(spark: SparkSession, sf: str) -> DataFrame:
+    """(device, path, value, line_no, present): one row for each attribute of a line, and order-level ones, which have no line."""
+    return line_facts(table(spark, sf, "lineitem")).unionByName(order_facts(table(spark, sf, "orders")))

@@ -135,3 +135,10 @@ def test_rule_tables(spark):
     rules = c.rules_of(spark.createDataFrame(rows, "rule_id string, condition string"))
     assert rules["a"] == c.Count("x", "gte", 2)
     assert all(isinstance(rules[k], c.Malformed) for k in "bcd")
+
+
+def test_audited_facts_are_not_sorted(spark):
+    from ledgerlake.plans import conditions as queries
+
+    plan = queries.audit_rules(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in [line for line in plan.splitlines() if "Aggregate(" in line][-1]
