@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RULES = (
-    (r'(token|secret|password)( = )"[^"<]+"', "$1$2<redacted:key>"),
-    (r"[A-Za-z0-9._]+@[A-Za-z0-9.]+[A-Za-z0-9]", "<redacted:mail>"),
+    (r'(token|secret|password)( = )"[^"<]+"', "$1$2<redacted:key>", ' = "'),
+    (r"[A-Za-z0-9._]+@[A-Za-z0-9.]+[A-Za-z0-9]", "<redacted:mail>", "@"),
     (r"\b[0-9]{12,19}\b", "<redacted:number>"),
 )
 
 
 def redact(text: Column, rules: tuple = RULES) -> Column:
-    for pattern, replacement in rules:
-        text = F.regexp_replace(text, pattern, replacement)
+    """text by rules of a pattern, its replacement and, where there is one, a text without which the pattern cannot match."""
+    for pattern, replacement, *needed in rules:
+        done = F.regexp_replace(text, pattern, replacement)
+        text = F.when(F.contains(text, F.lit(needed[0])), done).otherwise(text) if needed else done
     return text
 
 

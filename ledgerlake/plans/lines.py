@@ -185,8 +185,10 @@ SELECT doc_id, line_no, sha256(raw_out) AS raw_sha256, sha256(value_out) AS valu
 def redact_dataset(spark: SparkSession, sf: str) -> DataFrame:
     # the texts of facts, their values and what was not parsed, before anything is decided or stored; no row is lost
     rows = ln.significant(doc_lines(spark, sf)).select("doc_id", "line_no", F.col("raw").alias("before"), "raw", F.col("stripped").alias("value"))
-    done = redact_columns(rows, ["raw", "value"])
-    again = redact(F.col("raw")) != F.col("raw")
+    done = redact_columns(rows, ["raw"])
+    # what is the same text has the same redaction, and a text that stayed as it was stays so again
+    done = done.withColumn("value", F.when(F.col("value") == F.col("before"), F.col("raw")).otherwise(redact(F.col("value"))))
+    again = F.when(F.col("raw") == F.col("before"), False).otherwise(redact(F.col("raw")) != F.col("raw"))
     return done.select("doc_id", "line_no", F.sha2("raw", 256).alias("raw_sha256"), F.sha2("value", 256).alias("value_sha256"), (F.col("raw") != F.col("before")).alias("redacted"), again.alias("changed_again"))
 
 

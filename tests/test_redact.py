@@ -42,3 +42,15 @@ def test_credentials_go_and_the_rest_stays(spark, whole):
     for g, w in zip(got, want, strict=True):
         assert g.a == w and g.b == w
     assert spark.sql("SELECT CAST(NULL AS STRING) AS t").select(r.redact(F.col("t"), r.CREDENTIALS).alias("a")).first().a is None
+
+
+def test_what_a_rule_needs_changes_no_result(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlake.operators.redact import RULES, redact
+
+    texts = ["", "plain", "a@b.cd", "a@", 'token = "x y"', 'token = ""', "9" * 12, "9" * 20, 'secret = "a@b.cd" 123456789012 x_y@z', "@ = \""]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    assert any(len(r) == 3 for r in RULES)
+    found = rows.select(redact(F.col("t")).alias("a"), redact(F.col("t"), tuple(r[:2] for r in RULES)).alias("b")).collect()
+    assert [r.a for r in found] == [r.b for r in found]
