@@ -99,3 +99,48 @@ def test_tightest_broadcasts_nothing(spark):
     found = b.tightest(points, blocks, "g", "at", ["at"], 16)
     assert {r.at: r.block for r in found.collect()} == {0: 0, **{1000 * k: 6 + k % 2 for k in range(1, 61)}}
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spans_read_their_rows_once(spark):
+    rows = spark.createDataFrame([(1, 1, 1, True, 3), (1, 2, 0, True, 3), (1, 3, -1, False, 3)], "f int, no int, net int, anchor boolean, n int")
+    found = b.spans(rows, ["f"], "no", F.col("net"), F.col("anchor"), F.col("n"))
+    assert sorted((r.start, r.end, r.depth) for r in found.collect()) == [(1, 3, 1), (2, 2, 2)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_chains_take_few_joins(spark):
+    own = [("f", i, i, 100 - i, f"k{i}") for i in range(1, 12)] + [("g", 5, 5, 9, "x"), ("g", 20, 20, 30, "y")]
+    blocks = spark.createDataFrame(own, "file string, block int, start int, end int, kind string")
+    for depth in (1, 2, 5, 8):
+        found = b.around(blocks, "file", depth)
+        assert {(r.file, r.block): r.chain for r in found.collect()} == {(f, n): [k for g, m, *_, k in reversed(own) if g == f and (f == "f" and m <= n or m == n)][:depth] for f, n, *_ in own}
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 1
+
+
+def test_indentation_is_scanned_across_batches(spark):
+    rng = random.Random(4)
+    rows = [(f, n, rng.choice(["", "a x", "b y", "c"]), rng.randrange(4)) for f in [*range(12), None] for n in range(1, rng.randrange(2, 25))]
+    lines = spark.createDataFrame(rows, "file int, line_no int, stripped string, indent int").repartition(3)
+    want = []
+    for f in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == f and r[2]]
+        for i, (_, n, text, indent) in enumerate(own):
+            if text[0] in "ab":
+                stop = next((j for j in range(i + 1, len(own)) if own[j][3] <= indent), len(own))
+                want.append((f, n, own[stop - 1][1]))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        found = b.indent_blocks(lines, "file", "[ab] ")
+        assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+        assert "InPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_a_page_is_cut_once_and_not_for_each_piece(spark):
+    from ledgerlake.plans.blocks import block_spans_brace, pieces
+
+    for found in (pieces(spark, "/root/testdata/sf0.001"), block_spans_brace(spark, "/root/testdata/sf0.001")):
+        above = found._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+        assert "split(" not in above
