@@ -265,9 +265,10 @@ def _filled(batch: pa.RecordBatch, apart: dict[int, Ordered]) -> pa.RecordBatch:
 
 def _counted(rows: DataFrame, book: Rulebook, keys: list[str]) -> DataFrame:
     """(keys, blk, path_id, device_codes, block_codes, n): facts with equal codes together; with blocks also whether they are in one, and its label."""
-    by = [*keys, "blk", "path_id", "device_codes", "block_codes"] if book.eaches else [*keys, "path_id", "device_codes"]
-    more = [F.max(F.col("blk").isNotNull()).alias("inside"), F.max("label").alias("label")] if book.eaches else []
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), *more)
+    # by label, too: the largest text of a group would be found by sorting all facts
+    by = [*keys, "blk", "label", "path_id", "device_codes", "block_codes"] if book.eaches else [*keys, "path_id", "device_codes"]
+    counts = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    return counts.withColumn("inside", F.col("blk").isNotNull()) if book.eaches else counts
 
 
 # Folds over arrays: a row for each device or block of a batch, codes of outcomes.

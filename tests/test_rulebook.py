@@ -202,3 +202,21 @@ def test_ordered_checks_in_batches_equal_expressions_and_counts_equal_rows(spark
     # the many checks of a path are no part of the rows that meet its facts
     book = rb.Rulebook.of(rules)
     assert all(not any(x.form == "FactCheck" and x.op in c.ORDERED for x in r.checks) for r in book.table(spark).collect())
+
+
+def test_lines_meet_their_orders_before_they_become_facts(spark):
+    from ledgerlake.plans.conditions import customer_facts
+
+    plan = customer_facts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("Generate") < plan.find("Join")
+
+
+def test_the_first_fact_of_a_check_is_found_without_sorting(spark, rows):
+    facts = spark.createDataFrame([(d, b, l, p, typed(v), n, True) for d, b, l, p, v, n in rows], SCHEMA)
+    shown = rb.evidence(facts.select("device").distinct(), facts, {"a": c.FactCheck("p", "eq", 2, "any")}, ["device"])
+    assert "SortAggregate" not in shown._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for d, _, _, p, v, n in rows:
+        if p == "p" and not isinstance(v, bool) and v == 2:
+            want[d] = min(n, want.get(d, n))
+    assert {(r.device, r.path, r.line_no) for r in shown.collect() if r.outcome == "pass"} == {(d, "p", n) for d, n in want.items()}
