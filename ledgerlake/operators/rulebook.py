@@ -482,16 +482,17 @@ def evidence(scope: DataFrame, facts: DataFrame, rules: dict[str, object], keys:
     alone = passed & (F.col("form").isin("Presence") | ((F.col("form") == "FactCheck") & ~F.col("every")))
     rows = joined.filter(speaks).select(*keys, "rule", "out", "each", "blk", "leaf", "path", "place", alone.alias("alone"))
     many = rows.filter("NOT alone").select(*keys, "rule", "out", "path", "place", "each", "blk")
-    first = rows.filter("alone").groupBy(*keys, "rule", "out", "each", "blk", "leaf").agg(F.min(F.struct(F.col("place").isNull(), "place", "path")).alias("m"))
-    found = many.unionByName(first.select(*keys, "rule", "out", "m.path", "m.place", "each", "blk"))
+    # a leaf has one path
+    first = rows.filter("alone").groupBy(*keys, "rule", "out", "each", "blk", "leaf", "path").agg(F.min("place").alias("place"))
+    found = many.unionByName(first.select(*keys, "rule", "out", "path", "place", "each", "blk"))
     if anchors is not None:
         starts = met.filter("blk IS NOT NULL").groupBy(*keys, "blk").agg(F.min(F.struct(F.col("place").isNull(), "place", "path")).alias("m"))
         # a failing block without evidence of its own shows its anchor
         bare = anchors.join(found.filter("each >= 0").select(*keys, "rule", "blk", "each").distinct(), [*keys, "rule", "blk", "each"], "left_anti")
         found = found.unionByName(bare.join(starts, [*keys, "blk"]).select(*keys, "rule", "out", "m.path", "m.place", "each", "blk"))
     names, results = F.lit(book.names), F.lit(list(c.RESULTS))
-    told = found.select(*keys, F.get(names, F.col("rule")).alias("rule_id"), F.get(results, F.col("out").cast("int")).alias("outcome"), "path", F.col("place").alias(place))
-    return told.distinct()
+    told = found.select(*keys, "rule", "out", "path", "place").distinct()
+    return told.select(*keys, F.get(names, F.col("rule")).alias("rule_id"), F.get(results, F.col("out").cast("int")).alias("outcome"), "path", F.col("place").alias(place))
 
 
 def control_fold(outcomes: DataFrame, shown: DataFrame, controls: DataFrame, keys: list[str], place: str = "line_no") -> tuple[DataFrame, DataFrame]:
