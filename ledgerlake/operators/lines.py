@@ -67,14 +67,17 @@ MASKS = (
     r"(?<!\w-)\b\d+\b",
 )
 OPERAND = r"""("[^"]*"|'[^']*'|\S+)"""
+#: A line without a match holds nothing that a mask could match, and no mark.
+MASKABLE = r"""["'0-9:<]|[A-Fa-f]{16}"""
 
 
 def template(line: Column) -> Column:
     """A line with its operands masked; masks without a blank between them become one."""
-    out = F.trim(F.regexp_replace(line, r"[ \t\r\n\x0b\x0c]+", " "))
+    bare = out = F.trim(F.when(line.rlike(r"[\t\r\n\x0b\x0c]|  "), F.regexp_replace(line, r"[ \t\r\n\x0b\x0c]+", " ")).otherwise(line))
     for pattern in MASKS:
         out = F.regexp_replace(out, pattern, "<*>")
-    return F.regexp_replace(out, r"(?:<\*>){2,}", "<*>")
+    # most lines of prose have nothing to mask
+    return F.when(line.rlike(MASKABLE), F.regexp_replace(out, r"(?:<\*>){2,}", "<*>")).otherwise(bare)
 
 
 def template_id(template_: Column) -> Column:

@@ -134,3 +134,37 @@ def test_terms_for_fits_are_held_on_disk(spark):
 def test_templates_are_mined_once(spark):
     plan = mining.template_embedding(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "split(" not in plan
+
+
+def test_embeddings_come_from_stored_counts_and_equal_mllib(spark):
+    import numpy as np
+    from pyspark.ml.feature import PCA, Normalizer
+
+    rng = random.Random(17)
+    texts = ["", None, "grüße " * 9, "ab " * 300, "a\tb  c"] + [" ".join("".join(rng.choices("abcdé", k=rng.randrange(1, 7))) for _ in range(rng.randrange(1, 30))) for _ in range(120)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    made = mining.embedded(rows, "text", 64, 16)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(" not in plan and "Window" not in plan
+    got = {r.id: r.vector for r in made.collect()}
+    terms = mining.tfidf(rows, F.col("text"), 64)
+    reduced = PCA(k=16, inputCol="vector", outputCol="reduced").fit(terms).transform(terms)
+    want = {r.id: r.unit.toArray() for r in Normalizer(inputCol="reduced", outputCol="unit").transform(reduced).collect()}
+    assert set(got) == set(want)
+    a, b = (np.array([m[i] for i in sorted(want)]) for m in (got, want))
+    assert np.abs(a @ a.T - b @ b.T).max() < 1e-8  # axes may point either way
+    assert sorted(mining.embedded(rows.filter("id < 0"), "text", 64, 16).collect()) == []
+
+
+def test_masks_run_only_where_they_can_match(spark):
+    from ledgerlake.operators import lines
+
+    rng = random.Random(19)
+    parts = ['"', "'", "$1$ab", "abcdefABCDEFabcd", "deadbeefdeadbee", "1.2.3.4/24", "::", "a:b:c", "Gi0/1", "x-7", " ", "  ", "\t", "<*>", "<", "é", "word", "7", "٣"]
+    rows = spark.createDataFrame([("".join(rng.choices(parts, k=rng.randrange(8))),) for _ in range(3000)] + [(None,)], "l string")
+    plain = F.trim(F.regexp_replace("l", r"[ \t\r\n\x0b\x0c]+", " "))
+    for mask in lines.MASKS:
+        plain = F.regexp_replace(plain, mask, "<*>")
+    every = F.regexp_replace(plain, r"(?:<\*>){2,}", "<*>")
+    assert rows.filter(~lines.template(F.col("l")).eqNullSafe(every)).count() == 0
+    assert 0 < rows.filter(~F.col("l").rlike(lines.MASKABLE)).count() < 3000
