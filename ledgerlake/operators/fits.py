@@ -5,13 +5,15 @@ A row holds its counts as one byte for each bucket in counts; 255 stands for a n
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from ledgerlake.session import kept
+
 #: Numbers in a matrix of rows by buckets that is worked on at a time, and bytes of counts that a task of a pass reads where all cores have two tasks.
 CELLS, READ = 1 << 20, 1 << 28
 #: What a count weighs: nothing, or 1 + log(count).
@@ -138,3 +140,163 @@ def placed(held: DataFrame, idf: np.ndarray, axes: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[rows.column(f.name) for f in own], lists], [*[f.name for f in own], "vector"])
 
     return held.mapInArrow(place, StructType([*own, StructField("vector", ArrayType(DoubleType()))]))
+
+
+def fold_guesses(counted: DataFrame, features: int, k: int = 5, iterations: int = 50, penalty: float = 0.01) -> DataFrame:
+    """(fold, label, prediction) of each row of counted(fold, label, counts, over): told by a logistic model of tf-idf that learned from all other folds.
+
+    What MLlib fits fold by fold (weights of buckets, deviations, a penalty on standardized coefficients) is fitted for all k folds in the same passes:
+    a pass gives the loss and slope of every fold. The driver holds a few vectors of features for each fold, which do not grow with the rows.
+    """
+    held = kept(counted, "counts", compression="zstd")
+
+    def told(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return batch.column("fold").to_numpy(), batch.column("label").to_numpy()
+
+    def seen(batch: pa.RecordBatch) -> np.ndarray:
+        (fold, label), out = told(batch), np.zeros((k, features + 3))
+        for part, tf in frequencies(batch, features):
+            for f in range(k):
+                out[f, :features] += np.count_nonzero(tf[fold[part] == f], axis=0)
+        out[:, features:] = np.stack([np.bincount(fold, w, k) for w in (np.ones(len(fold)), label == 1, (label != 0) & (label != 1))], axis=1)
+        return out
+
+    sums = total(held, seen, (k, features + 3))
+    if sums[:, -1].any():
+        raise ValueError("labels are 0 or 1")
+    own, (rows, ones) = sums[:, features], (sums[:, c].sum() - sums[:, c] for c in (features, features + 1))
+    if (alone := np.flatnonzero((own > 0) & (rows == 0))).size:
+        raise ValueError(f"no rows outside fold {alone[0]} to learn from")
+    idf = _idf(rows[:, None], sums[:, :features].sum(0) - sums[:, :features])
+    active = np.flatnonzero((own > 0) & (ones > 0) & (ones < rows))
+    measured = kept(_with_lengths(held, idf), "terms", compression="zstd")
+    passes = few_tasks(measured, int(own.sum()), features)
+
+    def shares(batch: pa.RecordBatch, of: np.ndarray) -> np.ndarray:
+        """What a row's weights are divided by, turned over; 0 where the row isn't learned from."""
+        return _lists(batch.column("turned"), k)[:, of] * (told(batch)[0][:, None] != of)
+
+    def moments(batch: pa.RecordBatch) -> np.ndarray:
+        by, out = shares(batch, active), np.zeros((2 * len(active), features))
+        for part, tf in frequencies(batch, features):
+            out[: len(active)] += by[part].T @ tf
+            out[len(active) :] += np.square(by[part]).T @ np.square(tf, out=tf)
+        return out
+
+    n, weights = rows[active, None], idf[active]
+    first, second = np.split(total(passes, moments, (2 * len(active), features)), 2) if len(active) else (weights, weights)
+    mean = first * weights / n
+    spread = (second * weights**2 - n * mean**2) / np.maximum(n - 1, 1)
+    # what rounding leaves of a bucket that is the same in all rows is no deviation
+    deviation = np.sqrt(np.where(spread > 1e-11 * mean**2, spread, np.inf))
+    scale, centre = weights / deviation, mean / deviation
+
+    def margins(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.ascontiguousarray((points[:, :-1] * scale[at]).T), points[:, -1] - np.einsum("ij,ij->i", points[:, :-1], centre[at])
+
+    def losses(points: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray]]:
+        at = np.array(list(points))
+        x = np.stack(list(points.values()))
+        slopes, offsets = margins(x, at)
+
+        def losses_of(batch: pa.RecordBatch) -> np.ndarray:
+            (fold, label), out = told(batch), np.zeros((len(at), features + 2))
+            by, learned, y = shares(batch, active[at]), fold[:, None] != active[at], label[:, None]
+            for part, tf in frequencies(batch, features):
+                m = tf @ slopes * by[part] + offsets
+                missed = (0.5 + 0.5 * np.tanh(m / 2) - y[part]) * learned[part]
+                out[:, :features] += (missed * by[part]).T @ tf
+                out[:, features] += missed.sum(0)
+                out[:, -1] += ((np.logaddexp(0, m) - y[part] * m) * learned[part]).sum(0)
+            return out
+
+        sums = total(passes, losses_of, (len(at), features + 2)) / n[at]
+        slope = sums[:, :features] * scale[at] - sums[:, features, None] * centre[at] + penalty * x[:, :-1]
+        value = sums[:, -1] + penalty / 2 * np.square(x[:, :-1]).sum(1)
+        return {f: (value[i], np.append(slope[i], sums[i, features])) for i, f in enumerate(points)}
+
+    starts = [np.append(np.zeros(features), np.log(ones[f] / (rows[f] - ones[f]))) for f in active]
+    found = minima(starts, losses, iterations)
+    slopes, offsets = np.zeros((features, k)), np.where(ones > 0, np.inf, -np.inf)
+    if found:
+        slopes[:, active], offsets[active] = margins(np.stack(found), np.arange(len(active)))
+
+    def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (fold, _), by = told(batch), _lists(batch.column("turned"), k)
+            for part, tf in frequencies(batch, features):
+                m = np.take_along_axis(tf @ slopes * by[part] + offsets, fold[part, None], 1)[:, 0]
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(part.start, len(m)) for c in ("fold", "label")] + [pa.array((m > 0).astype(float))], ["fold", "label", "prediction"])
+
+    return measured.select("fold", "label", "counts", "over", "turned").mapInArrow(guess, "fold long, label double, prediction double")
+
+
+def _with_lengths(held: DataFrame, idf: np.ndarray) -> DataFrame:
+    """held with turned: for each row of idf one over the length of the tf-idf vector, 0 without terms."""
+    names = held.columns
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, tf in frequencies(batch, idf.shape[1]):
+                length = np.sqrt(np.square(tf, out=tf) @ np.square(idf).T)
+                turned = np.divide(1, length, out=np.zeros_like(length), where=length > 0)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(turned) + 1, dtype=np.int32) * len(idf)), pa.array(turned.ravel()))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(part.start, len(turned)) for c in names], lists], [*names, "turned"])
+
+    return held.mapInArrow(measure, StructType([*held.schema.fields, StructField("turned", ArrayType(DoubleType()))]))
+
+
+def _lists(column: pa.Array, k: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, k)
+
+
+Losses = Callable[[dict[int, np.ndarray]], dict[int, tuple[float, np.ndarray]]]
+
+
+def minima(starts: list[np.ndarray], losses: Losses, iterations: int) -> list[np.ndarray]:
+    """Where L-BFGS from each start ends. All searches go on together: losses gets a point of each that has not ended, and gives its values and slopes."""
+    searches = [_search(x, iterations) for x in starts]
+    asked, found = {i: next(s) for i, s in enumerate(searches)}, {}
+    while asked:
+        for i, told in losses(asked).items():
+            try:
+                asked[i] = searches[i].send(told)
+            except StopIteration as end:
+                found[i] = end.value
+                del asked[i]
+    return [found[i] for i in range(len(starts))]
+
+
+def _search(x: np.ndarray, iterations: int, memory: int = 10, tolerance: float = 1e-6, past: int = 20) -> Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]:
+    """Asks for the value and slope at points and returns the best; ends as MLlib does, by the slope or by what the last values gained."""
+    value, slope = yield x
+    values, steps = [value], []
+    for _ in range(iterations):
+        if np.linalg.norm(slope) <= max(tolerance * abs(value), 1e-8) or (len(values) > past and max(values[-past - 1 :]) - value <= tolerance * abs(values[0])):
+            break
+        way, kept_back = -slope, []
+        for s, y in reversed(steps):
+            kept_back.append(s @ way / (s @ y))
+            way = way - kept_back[-1] * y
+        if steps:
+            s, y = steps[-1]
+            way = way * (s @ y) / (y @ y)
+        for (s, y), a in zip(steps, reversed(kept_back), strict=True):
+            way = way + (a - y @ way / (s @ y)) * s
+        # the step is halved between one that is too long and one that is too short, and doubled while there is none too long
+        down, short, long, step = slope @ way, 0.0, None, 1.0 if steps else 1 / np.linalg.norm(way)
+        for _ in range(20):
+            there, its = yield x + step * way
+            if not there <= value + 1e-4 * step * down or its @ way > -0.9 * down:
+                long = step
+            elif its @ way < 0.9 * down:
+                short = step
+            else:
+                break
+            step = 2 * short if long is None else (short + long) / 2
+        if not there < value:
+            break
+        steps = [*steps, (step * way, its - slope)][-memory:]
+        x, value, slope = x + step * way, there, its
+        values.append(value)
+    return x

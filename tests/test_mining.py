@@ -168,3 +168,43 @@ def test_masks_run_only_where_they_can_match(spark):
     every = F.regexp_replace(plain, r"(?:<\*>){2,}", "<*>")
     assert rows.filter(~lines.template(F.col("l")).eqNullSafe(every)).count() == 0
     assert 0 < rows.filter(~F.col("l").rlike(lines.MASKABLE)).count() < 3000
+
+
+def test_folds_are_fitted_together_and_guess_as_mllib(spark):
+    import pytest
+
+    from ledgerlake.operators import fits
+
+    rng = random.Random(23)
+    word = lambda y: "".join(rng.choices("abcdefgh" if y else "efghijkl", k=rng.randrange(2, 7)))
+    rows = [(i, i % 2, float(y := rng.random() < 0.6), " ".join(word(y) for _ in range(rng.randrange(1, 12)))) for i in range(160)] + [(160, 0, 1.0, ""), (161, 1, 0.0, "a " * 300)]
+    texts = spark.createDataFrame(rows, "id long, fold long, label double, text string").repartition(3)
+
+    def guesses(some):
+        return fits.fold_guesses(mining.counted(some.select("fold", "label", "text"), F.col("text"), 128).drop("text"), 128, 3)
+
+    held = mining.held_terms(texts, 128)
+    want = []
+    for k in range(2):
+        told = mining.classifier().fit(held.filter(F.col("fold") != k)).transform(held.filter(F.col("fold") == k))
+        want += [(r.fold, r.label, r.prediction) for r in told.collect()]
+    held.unpersist()
+    assert sorted(map(tuple, guesses(texts).collect())) == sorted(want)
+    # a fold whose model saw one class guesses it, a table without rows has no guesses, and a fold alone or another label is an error
+    same = guesses(texts.withColumn("label", F.when(F.col("fold") == 1, 0.0).otherwise(F.col("label"))))
+    assert {r.prediction for r in same.filter("fold = 0").collect()} == {0.0}
+    assert guesses(texts.filter("id < 0")).collect() == []
+    for wrong in (texts.filter("fold = 0"), texts.withColumn("label", F.lit(2.0))):
+        with pytest.raises(ValueError):
+            guesses(wrong)
+
+
+def test_scores_of_folds_take_the_passes_of_one_fit(spark):
+    context = spark.sparkContext
+    context.setJobGroup("fits of folds", "")
+    try:
+        scores = mining.grouped_kfold_scores(spark, "/root/testdata/sf0.001")
+        assert len(context.statusTracker().getJobIdsForGroup("fits of folds")) < 150
+        assert {r.fold for r in scores.collect()} == {None, 0, 1, 2, 3, 4}
+    finally:
+        context._jsc.clearJobGroup()
